@@ -118,3 +118,106 @@ def url_valid_domain(spark, sf_dir):
     """Validity and domain of every page URL."""
     return read_table(spark, sf_dir, "pages").select(
         "page_id", U.is_valid_url("url").alias("is_valid"), U.url_domain("url").alias("domain"))
+
+
+# --------------------------------------------------------------------------- links, graph
+
+from sitelens.operators import graph as GR  # noqa: E402
+from sitelens.operators import links as LK  # noqa: E402
+
+
+@register("page_links", f"{Q.page_links_cte()}")
+def page_links(spark, sf_dir):
+    """Resolved, validated, normalised anchors of every page (duplicates kept)."""
+    return LK.page_links(read_table(spark, sf_dir, "pages"))
+
+
+@register("exclude_urls", f"""SELECT page_id, u AS url FROM (SELECT page_id, {Q.normalize_url('url')} AS u FROM pages)
+WHERE NOT {Q.exclusion('u', LK.DEFAULT_EXCLUDES)}""")
+def exclude_urls(spark, sf_dir):
+    """Normalised page URLs without those matching the default exclusion regexes."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", U.normalize_url("url").alias("url"))
+    return LK.exclude_urls(p)
+
+
+@register("allow_domains", f"""SELECT page_id, url FROM pages
+WHERE {Q.domain('url')} IN (SELECT {Q.domain('url')} FROM pages WHERE {Q.scheme('url')} = 'https')""")
+def allow_domains(spark, sf_dir):
+    """Pages whose domain is on an allow-list (here: the domains seen over https), as a semi join."""
+    p = read_table(spark, sf_dir, "pages")
+    allowed = p.where(U.scheme("url") == "https").select(U.url_domain("url").alias("domain"))
+    return LK.allow_domains(p.select("page_id", "url"), allowed)
+
+
+@register("html_only", f"""SELECT page_id, url FROM ({Q.page_records_cte()})
+WHERE starts_with({Q.mime_type('content_type')}, 'text/html')""")
+def html_only(spark, sf_dir):
+    """E5: page records served as text/html."""
+    return LK.html_only(FX.page_records(spark, sf_dir)).select("page_id", "url")
+
+
+@register("unseen_links", f"""WITH e AS ({Q.page_links_cte()})
+SELECT src_url, pos, dst_url FROM e WHERE dst_url NOT IN (SELECT {Q.normalize_url('url')} FROM pages)""")
+def unseen_links(spark, sf_dir):
+    """discovered links whose target is not an already crawled page."""
+    p = read_table(spark, sf_dir, "pages")
+    e = LK.page_links(p).withColumnRenamed("dst_url", "url")
+    seen = p.select(U.normalize_url("url").alias("url"))
+    return LK.unseen(e, seen).withColumnRenamed("url", "dst_url")
+
+
+@register("fan_out_types", """SELECT page_id, unnest(['desktop', 'mobile', 'image']) AS crawler_type FROM pages""")
+def fan_out_types(spark, sf_dir):
+    """every page once per crawler type."""
+    return LK.fan_out(read_table(spark, sf_dir, "pages").select("page_id"))
+
+
+@register("crawler_stats", f"""WITH r AS ({Q.page_records_cte()}), e AS ({Q.page_links_cte()}),
+l AS (SELECT src_url, count(*) AS n_links FROM e GROUP BY src_url)
+SELECT crawler_type, count(*) AS pages_crawled, CAST(coalesce(sum(n_links), 0) AS BIGINT) AS urls_discovered,
+  CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes_downloaded, CAST(0 AS BIGINT) AS errors
+FROM r LEFT JOIN l ON r.url = l.src_url GROUP BY crawler_type""")
+def crawler_stats(spark, sf_dir):
+    """Per crawler type pages, discovered links, bytes and errors."""
+    r = FX.page_records(spark, sf_dir)
+    return LK.crawler_stats(r, LK.page_links(r))
+
+
+@register("urls_by_domain", f"""SELECT {Q.domain('url')} AS domain, count(*) AS n_urls, count(DISTINCT url) AS n_distinct,
+  min(url) AS first_url, max(url) AS last_url FROM pages GROUP BY 1""")
+def urls_by_domain(spark, sf_dir):
+    """Page URLs grouped by domain."""
+    return LK.urls_by_domain(read_table(spark, sf_dir, "pages"))
+
+
+BFS_MAX_DEPTH = 3
+
+
+def sql_bfs(max_depth: int) -> str:
+    n = Q.normalize_url
+    ex = lambda c: Q.exclusion(c, LK.DEFAULT_EXCLUDES)
+    return f"""WITH RECURSIVE e AS (SELECT DISTINCT {n('src_url')} AS src, {n('dst_url')} AS dst FROM ({Q.derived_edges_cte()})),
+seeds AS (SELECT DISTINCT {n('u')} AS url FROM (SELECT min(url) AS u FROM pages GROUP BY {Q.domain('url')})),
+walk(url, depth) AS (
+  SELECT url, 0 FROM seeds
+  UNION ALL
+  SELECT e.dst, walk.depth + 1 FROM walk JOIN e ON e.src = walk.url
+  WHERE walk.depth < {max_depth} AND NOT {ex('walk.url')})
+SELECT url, CAST(min(depth) AS BIGINT) AS depth FROM walk GROUP BY url HAVING NOT {ex('url')}"""
+
+
+def bfs_seeds(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages")
+    return p.groupBy(U.url_domain("url").alias("d")).agg(F.min("url").alias("url")).select("url")
+
+
+@register("crawl_bfs", sql_bfs(BFS_MAX_DEPTH))
+def crawl_bfs(spark, sf_dir):
+    """BFS to depth 3 from the first URL of each domain over the derived link graph."""
+    return GR.crawl_bfs(bfs_seeds(spark, sf_dir), FX.derived_edges(spark, sf_dir), BFS_MAX_DEPTH)
+
+
+@register("limit_pages", f"SELECT url, depth FROM ({sql_bfs(BFS_MAX_DEPTH)}) ORDER BY depth, url LIMIT 50")
+def limit_pages(spark, sf_dir):
+    """page budget of 50 over the BFS result (first by depth, url)."""
+    return GR.limit_pages(crawl_bfs(spark, sf_dir), 50)
