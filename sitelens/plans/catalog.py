@@ -221,3 +221,121 @@ def crawl_bfs(spark, sf_dir):
 def limit_pages(spark, sf_dir):
     """page budget of 50 over the BFS result (first by depth, url)."""
     return GR.limit_pages(crawl_bfs(spark, sf_dir), 50)
+
+
+# --------------------------------------------------------------------------- results browser
+
+from sitelens.operators import browse as BR  # noqa: E402
+
+BROWSE_TERM = "tion"
+
+
+def results_table(spark, sf_dir):
+    r = FX.page_records(spark, sf_dir)
+    return r.select("url", H.page_title("html").alias("title"), H.visible_text("html").alias("content"),
+                    "crawler_type", "crawl_time", "content_type", F.col("page_id").alias("seq"))
+
+
+def _has(col: str, term: str) -> str:
+    return f"coalesce(strpos(lower({col}), {Q.lit(term)}) > 0, false)"
+
+
+@register("filter_results", f"""SELECT url, seq FROM ({Q.results_cte()}) WHERE crawler_type = 'desktop'
+AND ({_has('title', BROWSE_TERM)} OR {_has('url', BROWSE_TERM)} OR {_has('content', BROWSE_TERM)})""")
+def filter_results(spark, sf_dir):
+    """Desktop results whose title, url or content contains the term."""
+    return BR.filter_results(results_table(spark, sf_dir), BROWSE_TERM, "desktop").select("url", "seq")
+
+
+@register("indexable", f"SELECT url, seq FROM ({Q.results_cte()}) WHERE url IS NOT NULL AND title IS NOT NULL")
+def indexable_rows(spark, sf_dir):
+    """Results that carry a url and a title."""
+    return IX.indexable(results_table(spark, sf_dir)).select("url", "seq")
+
+
+SQL_TS = "coalesce(CAST(crawl_time AS TIMESTAMP), TIMESTAMP '1970-01-01 00:00:00')"
+
+
+@register("sort_date_page2", f"""SELECT url, seq, crawl_time, CAST(position AS BIGINT) AS position FROM (
+  SELECT url, seq, crawl_time, row_number() OVER (ORDER BY {SQL_TS} DESC, seq) AS position FROM ({Q.results_cte()}))
+WHERE position BETWEEN 11 AND 20""")
+def sort_date_page2(spark, sf_dir):
+    """H5 + H7: newest-first results, page 2 of 10 per page."""
+    r = results_table(spark, sf_dir)
+    return BR.paginate(r, BR.sort_keys(r, "date_desc"), page=2).select("url", "seq", "crawl_time", "position")
+
+
+@register("sort_date_asc_page1", f"""SELECT url, seq, CAST(position AS BIGINT) AS position FROM (
+  SELECT url, seq, row_number() OVER (ORDER BY {SQL_TS}, seq) AS position FROM ({Q.results_cte()}))
+WHERE position <= 10""")
+def sort_date_asc_page1(spark, sf_dir):
+    """H5 + H7: oldest-first results, first page."""
+    r = results_table(spark, sf_dir)
+    return BR.paginate(r, BR.sort_keys(r, "date_asc"), page=1).select("url", "seq", "position")
+
+
+SQL_REL = (f"(CASE WHEN {_has('title', 'ment')} THEN 10 ELSE 0 END + "
+           f"CASE WHEN {_has('content', 'ment')} THEN 5 ELSE 0 END)")
+
+
+@register("relevance_page1", f"""SELECT url, seq, relevance, CAST(position AS BIGINT) AS position FROM (
+  SELECT url, seq, {SQL_REL} AS relevance, row_number() OVER (ORDER BY {SQL_REL} DESC, seq) AS position
+  FROM ({Q.results_cte()}) WHERE crawler_type <> 'image') WHERE position <= 10""")
+def relevance_page1(spark, sf_dir):
+    """H6 + H7: non-image results by relevance to 'ment' (title 10, content 5), first page."""
+    r = BR.relevance(results_table(spark, sf_dir).where(F.col("crawler_type") != "image"), "ment")
+    return BR.paginate(r, BR.sort_keys(r, "relevance"), page=1).select(
+        "url", "seq", F.col("relevance").cast("int").alias("relevance"), "position")
+
+
+@register("total_pages", f"""SELECT count(*) AS total_results, CAST(ceil(count(*) / 10) AS BIGINT) AS total_pages
+FROM ({Q.results_cte()})""")
+def total_pages(spark, sf_dir):
+    """H7: result and page counts at 10 rows per page."""
+    return BR.total_pages(results_table(spark, sf_dir))
+
+
+@register("most_recent", f"SELECT url, crawl_time FROM ({Q.results_cte()}) ORDER BY coalesce(crawl_time, '') DESC, seq LIMIT 1000")
+def most_recent(spark, sf_dir):
+    """H4: the 1000 most recent results."""
+    return BR.most_recent(results_table(spark, sf_dir)).select("url", "crawl_time")
+
+
+FEED_TIME = "2024-06-01T00:00:00"
+
+
+@register("results_feed", f"""WITH top AS (SELECT row_number() OVER (ORDER BY coalesce(crawl_time, '') DESC, seq) AS rank,
+  url, title, crawler_type, crawl_time FROM ({Q.results_cte()}) ORDER BY coalesce(crawl_time, '') DESC, seq LIMIT 1000)
+SELECT count(*) AS total_results,
+  to_json(list({{'rank': CAST(rank AS BIGINT), 'url': url, 'title': title, 'crawler_type': crawler_type,
+                 'crawl_time': crawl_time}} ORDER BY rank)) AS results,
+  '{FEED_TIME}' AS last_updated FROM top""")
+def results_feed(spark, sf_dir):
+    """JSON feed of the 1000 most recent results."""
+    return BR.results_feed(results_table(spark, sf_dir), last_updated=FEED_TIME)
+
+
+@register("result_counters", f"""SELECT count(DISTINCT url) AS total_urls,
+  count(*) FILTER (WHERE coalesce(crawler_type = 'image', false) = false) AS total_pages,
+  count(*) FILTER (WHERE crawler_type = 'image') AS total_images FROM ({Q.results_cte()})""")
+def result_counters(spark, sf_dir):
+    """Dashboard counters."""
+    return BR.result_counters(results_table(spark, sf_dir))
+
+
+@register("result_cards", f"""SELECT url, CASE WHEN length(title) > 0 THEN title ELSE 'No Title' END AS card_title,
+  'Crawler: ' || coalesce(crawler_type, 'unknown') AS card_crawler,
+  'Type: ' || CASE WHEN length(content_type) > 0 THEN split_part(content_type, ';', 1) ELSE 'unknown' END AS card_type,
+  {Q.snippet('content')} AS card_snippet, coalesce(crawl_time, '') AS card_time FROM ({Q.results_cte()})""")
+def result_cards(spark, sf_dir):
+    """I9 (with I7 snippet): result card fields."""
+    return BR.result_cards(results_table(spark, sf_dir))
+
+
+@register("snippet_highlight", f"""SELECT doc_id, {Q.snippet('text')} AS snippet,
+  {Q.highlight(Q.snippet('text'), 'The')} AS highlighted FROM documents""")
+def snippet_highlight(spark, sf_dir):
+    """I7 + I8: 200-character snippets of every document and the first match of 'The' highlighted."""
+    d = read_table(spark, sf_dir, "documents")
+    s = T.snippet("text")
+    return d.select("doc_id", s.alias("snippet"), T.highlight(s, "The").alias("highlighted"))
