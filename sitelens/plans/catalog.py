@@ -339,3 +339,89 @@ def snippet_highlight(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     s = T.snippet("text")
     return d.select("doc_id", s.alias("snippet"), T.highlight(s, "The").alias("highlighted"))
+
+
+# --------------------------------------------------------------------------- document index, batch search, upsert
+
+def documents_postings(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents")
+    stand_in = d.select("doc_id", F.lit("").alias("title"), F.lit("").alias("snippet"), F.col("text").alias("content"))
+    return IX.build_postings(stand_in)
+
+
+SQL_DOC_POSTINGS = f"""dtoks AS (SELECT doc_id, {Q.tokenize("'' || ' ' || '' || ' ' || text")} AS tokens FROM documents),
+dpost AS (SELECT DISTINCT unnest(list_distinct(tokens)) AS term, doc_id FROM dtoks)"""
+
+
+@register("search_batch", f"""WITH {SQL_DOC_POSTINGS},
+qs AS (SELECT item_id AS query_id, array_to_string(list_slice({Q.tokenize('text')}, 1, 3), ' ') AS query FROM benchmark),
+qt AS (SELECT query_id, token, count(*) AS weight FROM (SELECT query_id, unnest({Q.tokenize('query')}) AS token FROM qs) GROUP BY ALL),
+vocab AS (SELECT DISTINCT term FROM dpost),
+m AS (SELECT DISTINCT v.term, t.token FROM vocab v JOIN (SELECT DISTINCT token FROM qt) t ON strpos(v.term, t.token) > 0),
+w AS (SELECT qt.query_id, m.term, sum(qt.weight) AS w FROM qt JOIN m USING (token) GROUP BY ALL),
+scored AS (SELECT w.query_id, p.doc_id, sum(w.w) AS score FROM w JOIN dpost p USING (term) GROUP BY ALL),
+ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""")
+def search_batch(spark, sf_dir):
+    """Every benchmark query (its first three index tokens) against the whole document index, top 10 each."""
+    return IX.search_batch(documents_postings(spark, sf_dir), FX.benchmark_queries(spark, sf_dir))
+
+
+BOOST_QUERY = "tion ment"
+
+
+def _sql_boost(query: str) -> str:
+    toks = [t for t in query.lower().split() if len(t) >= 3]
+    parts = []
+    for field, boost in IX.BOOSTS.items():
+        col = {"description": "NULL"}.get(field, field)
+        hits = " + ".join(f"(CASE WHEN strpos(lower(coalesce({col}, '')), {Q.lit(t)}) > 0 THEN 1 ELSE 0 END)" for t in toks)
+        if field != "description":
+            parts.append(f"({hits}) * {boost}")
+    return " + ".join(parts)
+
+
+@register("search_boosted", f"""SELECT seq AS doc_id, round({_sql_boost(BOOST_QUERY)}, 2) AS score FROM ({Q.results_cte()})
+WHERE {_sql_boost(BOOST_QUERY)} > 0 ORDER BY score DESC, seq LIMIT 100""")
+def search_boosted(spark, sf_dir):
+    """Field-boosted search (title 3, url 2, content 1) over the results table, top 100."""
+    r = results_table(spark, sf_dir).withColumnRenamed("seq", "doc_id")
+    return IX.search_boosted(r, BOOST_QUERY)
+
+
+def _upsert_inputs(spark, sf_dir):
+    r = results_table(spark, sf_dir)
+    base = r.where(F.col("crawler_type").isin("desktop", "mobile")).select("url", "title", "content")
+    batch = r.where(F.col("crawler_type").isin("mobile", "image")).select(
+        "url", "title", "content", F.col("crawler_type").alias("type"))
+    docs = IX.build_documents(base, order_by="url")
+    return docs, IX.build_postings(docs), batch
+
+
+SQL_UPSERT = f"""WITH r AS ({Q.results_cte()}),
+base AS (SELECT row_number() OVER (ORDER BY url) - 1 AS doc_id, url, title, '' AS snippet, 'unknown' AS type, '' AS date, content
+         FROM r WHERE crawler_type IN ('desktop', 'mobile')),
+batch AS (SELECT url, title, '' AS snippet, crawler_type AS type, '' AS date, content FROM r WHERE crawler_type IN ('mobile', 'image')),
+upd AS (SELECT b.doc_id, n.url, n.title, n.snippet, n.type, n.date, n.content FROM batch n JOIN base b USING (url)),
+fresh AS (SELECT (SELECT max(doc_id) FROM base) + row_number() OVER (ORDER BY n.url) AS doc_id, n.url, n.title, n.snippet, n.type, n.date, n.content
+          FROM batch n WHERE n.url NOT IN (SELECT url FROM base)),
+docs AS (SELECT * FROM base WHERE doc_id NOT IN (SELECT doc_id FROM upd) UNION ALL SELECT * FROM upd UNION ALL SELECT * FROM fresh)"""
+
+
+@register("upsert_documents", f"""{SQL_UPSERT}
+SELECT CAST(doc_id AS BIGINT) AS doc_id, url, title, type FROM docs""")
+def upsert_documents(spark, sf_dir):
+    """I4: merge a crawl batch into the index: matched urls keep ids, new urls get ids after the maximum."""
+    docs, post, batch = _upsert_inputs(spark, sf_dir)
+    new_docs, _ = IX.upsert_documents(docs, post, batch)
+    return new_docs.select("doc_id", "url", "title", "type")
+
+
+@register("upsert_postings", f"""{SQL_UPSERT},
+toks AS (SELECT doc_id, {Q.tokenize("title || ' ' || snippet || ' ' || content")} AS tokens FROM docs)
+SELECT DISTINCT unnest(list_distinct(tokens)) AS term, CAST(doc_id AS BIGINT) AS doc_id FROM toks""")
+def upsert_postings(spark, sf_dir):
+    """I4: postings after the merge (old postings of updated documents replaced)."""
+    docs, post, batch = _upsert_inputs(spark, sf_dir)
+    _, new_post = IX.upsert_documents(docs, post, batch)
+    return new_post
