@@ -425,3 +425,147 @@ def upsert_postings(spark, sf_dir):
     docs, post, batch = _upsert_inputs(spark, sf_dir)
     _, new_post = IX.upsert_documents(docs, post, batch)
     return new_post
+
+
+# --------------------------------------------------------------------------- SEO and sitemap
+
+from sitelens.operators import seo as SEO  # noqa: E402
+
+
+def page_factors(spark, sf_dir):
+    r = FX.page_records(spark, sf_dir)
+    return SEO.seo_factors(r, LK.page_links(r))
+
+
+FACTOR_COLS = ["h1_count", "word_count", "keyword_density", "image_count", "image_alt_count", "mobile_friendly",
+               "is_https", "has_structured_data", "internal_links", "external_links"]
+SQL_FACTORS = Q.seo_factors_cte(Q.page_records_cte())
+
+
+@register("seo_factors", f"SELECT page_id, {', '.join(FACTOR_COLS)} FROM {SQL_FACTORS}")
+def seo_factors(spark, sf_dir):
+    """SEO factor inputs of every page (headings, words, density, images, links, viewport, https, JSON-LD)."""
+    return page_factors(spark, sf_dir).select("page_id", *FACTOR_COLS)
+
+
+@register("seo_metrics", f"""SELECT page_id, CAST(length(title) AS INTEGER) AS title_length,
+  CAST(length(description) AS INTEGER) AS meta_desc_length, keyword_density, has_structured_data, has_og_tags, mobile_friendly
+FROM {SQL_FACTORS}""")
+def seo_metrics(spark, sf_dir):
+    """SEO metrics struct per page (flattened)."""
+    return SEO.seo_metrics(page_factors(spark, sf_dir)).select("page_id", "seo_metrics.*")
+
+
+@register("seo_score_band", f"""SELECT page_id, score AS seo_score,
+  CASE WHEN score >= 80 THEN 'good' WHEN score >= 60 THEN 'average' WHEN score IS NOT NULL THEN 'poor' END AS band
+FROM (SELECT page_id, {Q.seo_score_expr()} AS score FROM {SQL_FACTORS})""")
+def seo_score_band(spark, sf_dir):
+    """J3 + J5: weighted SEO score (one decimal) and its band."""
+    s = SEO.seo_score(page_factors(spark, sf_dir))
+    return s.select("page_id", "seo_score", SEO.score_band("seo_score").alias("band"))
+
+
+def _sql_issues() -> str:
+    passes = Q.seo_pass_exprs()
+    items = [f"(CASE WHEN {passes[k]} THEN 'good' ELSE '{'issue' if v['weight'] >= 4 else 'improvement'}' END) || ':{k}'"
+             for k, v in SEO.FACTORS.items()]
+    return "array_to_string([" + ", ".join(items) + "], ',')"
+
+
+@register("seo_issues", f"SELECT page_id, {_sql_issues()} AS issues FROM {SQL_FACTORS}")
+def seo_issues(spark, sf_dir):
+    """Per-factor good / issue / improvement list of every page."""
+    s = SEO.seo_issues(page_factors(spark, sf_dir))
+    return s.select("page_id", F.array_join(F.transform("seo_issues", lambda x: F.concat(x["type"], F.lit(":"), x["factor"])), ",").alias("issues"))
+
+
+@register("keyword_density_documents", f"""WITH tk AS (SELECT doc_id, {Q.tokenize('text')} AS toks FROM documents),
+tc AS (SELECT doc_id, term, count(*) AS c FROM (SELECT doc_id, unnest(toks) AS term FROM tk) GROUP BY ALL),
+best AS (SELECT doc_id, max(c) AS b FROM tc GROUP BY doc_id)
+SELECT tk.doc_id, CASE WHEN len(toks) > 0 THEN ((20000 * coalesce(b, 0) + len(toks)) // (2 * len(toks))) / 100.0 ELSE 0.0 END
+  AS keyword_density FROM tk LEFT JOIN best USING (doc_id)""")
+def keyword_density_documents(spark, sf_dir):
+    """Keyword density (share of the most frequent token, percent) of every whole document."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", SEO.keyword_density(T.tokenize("text")).alias("keyword_density"))
+
+
+def _sql_detect(text: str) -> str:
+    w = f"list_distinct({Q.words(text)})"
+    votes = {lang: f"len(list_intersect({w}, {Q.str_list(T.LANG_STOPWORDS[lang])}))" for lang in T.LANG_ORDER}
+    best = "greatest(" + ", ".join(votes.values()) + ")"
+    cases = " ".join(f"WHEN {best} > 0 AND {votes[lang]} = {best} THEN '{lang}'" for lang in T.LANG_ORDER)
+    return f"(CASE {cases} ELSE 'unknown' END)"
+
+
+@register("detect_language_documents", f"SELECT doc_id, lang, {_sql_detect('text')} AS detected FROM documents")
+def detect_language_documents(spark, sf_dir):
+    """K3: stopword-vote language of every whole document, next to the given label."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", T.detect_language("text").alias("detected"))
+
+
+@register("language_checks", f"""SELECT page_id, declared_lang, has_hreflang, detected_lang,
+  length(declared_lang) > 0 AS lang_declared, declared_lang = detected_lang AS lang_matches FROM (
+  SELECT page_id, split_part(replace(lower(regexp_extract(coalesce(html, ''), {Q.lit(H.LANG_RE)}, 1)), '_', '-'), '-', 1) AS declared_lang,
+    len(regexp_extract_all(coalesce(html, ''), {Q.lit(H.HREFLANG_RE)}, 1)) > 0 AS has_hreflang,
+    {_sql_detect(Q.visible_text('html'))} AS detected_lang FROM pages)""")
+def language_checks(spark, sf_dir):
+    """Declared html lang, hreflang presence, detected language and agreement per page."""
+    p = read_table(spark, sf_dir, "pages")
+    return SEO.language_checks(p).select("page_id", "declared_lang", "has_hreflang", "detected_lang",
+                                         "lang_declared", "lang_matches")
+
+
+SQL_LATEST = f"""SELECT * EXCLUDE (_rn) FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY crawl_time DESC, seq) AS _rn
+  FROM ({Q.page_versions_cte()})) WHERE _rn = 1"""
+
+
+@register("latest_by_url", f"SELECT url, crawl_time, seq, md5(html) AS html_md5 FROM ({SQL_LATEST})")
+def latest_by_url(spark, sf_dir):
+    """H1: newest snapshot per URL over all page versions."""
+    v = SEO.latest_by_url(FX.page_versions(spark, sf_dir))
+    return v.select("url", "crawl_time", "seq", F.md5("html").alias("html_md5"))
+
+
+def sitemap_table(spark, sf_dir):
+    latest = SEO.latest_by_url(FX.page_versions(spark, sf_dir))
+    scored = SEO.seo_score(SEO.seo_factors(latest, LK.page_links(latest)))
+    return SEO.sitemap_rows(scored, latest_only=True)
+
+
+SQL_SITEMAP = f"""SELECT {Q.domain('url')} AS domain, url AS loc, crawl_time AS lastmod,
+  CASE WHEN strpos(lower(coalesce(content_type, '')), 'news') > 0 OR strpos(lower(coalesce(content_type, '')), 'blog') > 0 THEN 'daily'
+       WHEN strpos(lower(coalesce(content_type, '')), 'product') > 0 THEN 'weekly' ELSE 'monthly' END AS changefreq,
+  round(CASE WHEN depth IS NOT NULL THEN greatest(0.1, p - depth * 0.1) ELSE p END, 1) AS priority
+FROM (SELECT *, CASE WHEN score >= 90 THEN 1.0 WHEN score >= 80 THEN 0.8 WHEN score >= 70 THEN 0.6 ELSE 0.5 END AS p
+      FROM (SELECT *, {Q.seo_score_expr()} AS score FROM {Q.seo_factors_cte(SQL_LATEST)}))"""
+
+
+@register("sitemap", SQL_SITEMAP)
+def sitemap(spark, sf_dir):
+    """J11 (H1 + J9 + J10): sitemap rows of the newest version of every URL, priority from its SEO score and depth."""
+    return sitemap_table(spark, sf_dir)
+
+
+SHARD_SIZE = 2
+
+
+@register("sitemap_shards", f"""SELECT domain, loc, CAST((row_number() OVER (PARTITION BY domain ORDER BY loc) - 1) // {SHARD_SIZE} AS BIGINT) AS shard
+FROM ({SQL_SITEMAP})""")
+def sitemap_shards(spark, sf_dir):
+    """H9: sitemap shard per URL (2 URLs per shard here, so several shards per domain)."""
+    return SEO.shard_sitemap(sitemap_table(spark, sf_dir), SHARD_SIZE).select("domain", "loc", "shard")
+
+
+SITEMAP_BASE = "https://example.com/"
+SITEMAP_LASTMOD = "2024-06-01T00:00:00"
+
+
+@register("sitemap_index", f"""SELECT DISTINCT domain, shard, 'https://example.com/sitemap_' || domain || '_' || CAST(shard AS VARCHAR) || '.xml' AS loc,
+  '{SITEMAP_LASTMOD}' AS lastmod FROM (SELECT domain, (row_number() OVER (PARTITION BY domain ORDER BY loc) - 1) // {SHARD_SIZE} AS shard
+  FROM ({SQL_SITEMAP}))""")
+def sitemap_index(spark, sf_dir):
+    """Sitemap index entries (one per domain shard file)."""
+    shards = SEO.shard_sitemap(sitemap_table(spark, sf_dir), SHARD_SIZE)
+    return SEO.sitemap_index(shards, SITEMAP_BASE, SITEMAP_LASTMOD)

@@ -45,11 +45,12 @@ def page_records(spark, sf_dir: str) -> DataFrame:
 def page_versions(spark, sf_dir: str) -> DataFrame:
     """H1/F8 input: every record plus a second snapshot one day later for a
     quarter of the pages, with changed html for half of those."""
-    r = page_records(spark, sf_dir)
+    r = page_records(spark, sf_dir).withColumn("seq", F.col("page_id") * 2)
     later = (
         r.where(F.col("page_id") % 4 == 0)
         .withColumn("crawl_time", F.date_format(F.to_timestamp("crawl_time") + F.expr("INTERVAL 1 DAY"), ISO))
         .withColumn("html", F.when(F.col("page_id") % 8 == 0, F.concat("html", F.lit("<!-- v2 -->"))).otherwise(F.col("html")))
+        .withColumn("seq", F.col("seq") + 1)
     )
     return r.unionByName(later)
 
