@@ -569,3 +569,141 @@ def sitemap_index(spark, sf_dir):
     """Sitemap index entries (one per domain shard file)."""
     shards = SEO.shard_sitemap(sitemap_table(spark, sf_dir), SHARD_SIZE)
     return SEO.sitemap_index(shards, SITEMAP_BASE, SITEMAP_LASTMOD)
+
+
+# --------------------------------------------------------------------------- domains
+
+from sitelens.operators import domains as DM  # noqa: E402
+from sitelens.operators import notify as NT  # noqa: E402
+
+SQL_ANALYSED = f"""SELECT domain, {Q.domain_features_sql('domain')} FROM (
+  SELECT DISTINCT regexp_replace(domain, '^\\s+|\\s+$', '', 'g') AS domain FROM ({Q.domain_rows_cte()}))"""
+
+
+def analysed_domains(spark, sf_dir):
+    return DM.analyze_domains(FX.domain_rows(spark, sf_dir))
+
+
+@register("analyze_domains", f"""SELECT domain, length, num_parts, num_digits, num_hyphens, tld, tld_category,
+  array_to_string(suspicious_patterns, ' ') AS patterns FROM ({SQL_ANALYSED})""")
+def analyze_domains(spark, sf_dir):
+    """L1-L4: lexical features, TLD category and suspicious patterns of every distinct domain."""
+    a = analysed_domains(spark, sf_dir)
+    return a.select("domain", "length", "num_parts", "num_digits", "num_hyphens", "tld", "tld_category",
+                    F.array_join("suspicious_patterns", " ").alias("patterns"))
+
+
+@register("domain_summary", f"""WITH a AS ({SQL_ANALYSED})
+SELECT 'tld_distribution' AS metric, tld AS key, CAST(count(*) AS DOUBLE) AS value FROM a GROUP BY tld
+UNION ALL SELECT 'tld_category_distribution', tld_category, CAST(count(*) AS DOUBLE) FROM a GROUP BY tld_category
+UNION ALL SELECT 'suspicious_patterns', p, CAST(count(*) AS DOUBLE) FROM (SELECT unnest(suspicious_patterns) AS p FROM a) GROUP BY p
+UNION ALL SELECT 'total_domains', '', CAST(count(*) AS DOUBLE) FROM a
+UNION ALL SELECT 'avg_domain_length', '', round(avg(length), 6) FROM a
+UNION ALL SELECT 'avg_num_parts', '', round(avg(num_parts), 6) FROM a
+UNION ALL SELECT 'avg_num_digits', '', round(avg(num_digits), 6) FROM a""")
+def domain_summary(spark, sf_dir):
+    """Distributions and means over the analysed domains."""
+    return DM.domain_summary(analysed_domains(spark, sf_dir))
+
+
+@register("union_domains_tagged", f"""SELECT domain, type FROM ({Q.domain_rows_cte()}) WHERE type = 'new_registration'
+UNION ALL SELECT domain, type FROM ({Q.domain_rows_cte()}) WHERE type = 'phishing'""")
+def union_domains_tagged(spark, sf_dir):
+    """H8: both domain sources with their tags."""
+    d = FX.domain_rows(spark, sf_dir)
+    return DM.union_domains(d.where(F.col("type") == "new_registration"), d.where(F.col("type") == "phishing"))
+
+
+@register("union_domains_distinct", f"""SELECT DISTINCT {Q.domain('url')} AS domain FROM pages""")
+def union_domains_distinct(spark, sf_dir):
+    """H8: distinct union of the hosts seen over http and over https."""
+    p = read_table(spark, sf_dir, "pages")
+    a = p.where(U.scheme("url") == "http").select(U.url_domain("url").alias("domain"))
+    b = p.where(U.scheme("url") == "https").select(U.url_domain("url").alias("domain"))
+    return DM.union_domains(a, b, distinct=True)
+
+
+DATASET_DATE = "2024-01-01"
+
+
+@register("domain_dataset", f"""SELECT domain, 'whoisds' AS source, '{DATASET_DATE}' AS date, 'new_registration' AS type
+FROM ({Q.domain_rows_cte()}) WHERE type = 'new_registration'
+UNION ALL SELECT domain, 'phishing_list', '{DATASET_DATE}', 'phishing' FROM ({Q.domain_rows_cte()}) WHERE type = 'phishing'""")
+def domain_dataset(spark, sf_dir):
+    """Labelled domain dataset (domain, source, date, type)."""
+    d = FX.domain_rows(spark, sf_dir)
+    new = d.where(F.col("type") == "new_registration").withColumn("date", F.lit(DATASET_DATE))
+    return DM.domain_dataset(new, d.where(F.col("type") == "phishing"), DATASET_DATE)
+
+
+# --------------------------------------------------------------------------- notification batches, user agents
+
+UA_KEYS = list(NT.USER_AGENTS) + ["NoSuchBot"]
+
+
+@register("user_agents", f"""SELECT page_id, k AS ua_key, coalesce(ua.user_agent, '{NT.DEFAULT_USER_AGENT}') AS user_agent
+FROM (SELECT page_id, ({Q.str_list(UA_KEYS)})[CAST(page_id % {len(UA_KEYS)} AS INTEGER) + 1] AS k FROM pages) p
+LEFT JOIN (VALUES {', '.join(f"({Q.lit(k)}, {Q.lit(v)})" for k, v in NT.USER_AGENTS.items())}) ua(ua_key, user_agent) ON p.k = ua.ua_key""")
+def user_agents(spark, sf_dir):
+    """User-agent string per page for a crawler key (22 keys, one unknown -> default)."""
+    p = read_table(spark, sf_dir, "pages")
+    keyed = p.select("page_id", F.element_at(F.array(*[F.lit(k) for k in UA_KEYS]),
+                                              (F.col("page_id") % len(UA_KEYS) + 1).cast("int")).alias("ua_key"))
+    return NT.with_user_agent(keyed).select("page_id", "ua_key", "user_agent")
+
+
+NOTIFY_KEY = "0123456789abcdef"
+
+
+def _sql_batches() -> str:
+    sch, host = Q.part("url", 2), Q.part("url", 4)
+    fh, fs = Q.part("urlList[1]", 4), Q.part("urlList[1]", 2)
+    return f"""WITH u AS (SELECT DISTINCT url FROM pages WHERE url IS NOT NULL AND length(url) > 0),
+o AS (SELECT url, {sch} || '://' || {host} AS origin FROM u),
+n AS (SELECT *, count(*) OVER (PARTITION BY origin) AS _n, row_number() OVER (PARTITION BY origin ORDER BY url) - 1 AS _pos FROM o),
+g AS (SELECT origin, CAST(CASE WHEN _n > 1 THEN _pos // {NT.MAX_URLS_PER_BATCH} ELSE 0 END AS BIGINT) AS chunk,
+      list(url ORDER BY url) AS urlList FROM n GROUP BY ALL),
+b AS (SELECT origin, chunk, {fh} AS host, '{NOTIFY_KEY}' AS key, {fs} || '://' || {fh} || '/{NOTIFY_KEY}.txt' AS keyLocation,
+      urlList, CAST(len(urlList) AS BIGINT) AS n_urls FROM g)
+SELECT origin, chunk, host, key, keyLocation, n_urls,
+  to_json({{'host': host, 'key': key, 'keyLocation': keyLocation, 'urlList': urlList}}) AS payload FROM b"""
+
+
+def batches(spark, sf_dir):
+    return NT.notify_batches(read_table(spark, sf_dir, "pages"), NOTIFY_KEY)
+
+
+@register("submit_candidates", "SELECT page_id, url FROM pages WHERE url IS NOT NULL AND length(url) > 0")
+def submit_candidates(spark, sf_dir):
+    """M1: pages with a submittable URL."""
+    return NT.submit_candidates(read_table(spark, sf_dir, "pages")).select("page_id", "url")
+
+
+@register("notify_batches", _sql_batches())
+def notify_batches(spark, sf_dir):
+    """M2: per-origin payloads (bulk, at most 10,000 URLs each)."""
+    return batches(spark, sf_dir).drop("urlList")
+
+
+ENGINES = ("bing", "yandex", "nosuch")
+
+
+@register("fan_out_engines", f"""WITH b AS ({_sql_batches()})
+SELECT b.origin, b.chunk, e.engine, ep.endpoint,
+  CASE WHEN ep.endpoint IS NULL THEN 'Unknown search engine: ' || e.engine END AS error
+FROM b, (SELECT unnest({Q.str_list(ENGINES)}) AS engine) e
+LEFT JOIN (VALUES {', '.join(f"({Q.lit(k)}, {Q.lit(v)})" for k, v in NT.ENDPOINTS.items())}) ep(engine, endpoint) ON e.engine = ep.engine""")
+def fan_out_engines(spark, sf_dir):
+    """M3 + E8: every payload per requested engine, unknown engines as error rows."""
+    return NT.fan_out_engines(batches(spark, sf_dir), ENGINES).select("origin", "chunk", "engine", "endpoint", "error")
+
+
+@register("notify_rollup", f"""WITH b AS ({_sql_batches()}),
+r AS (SELECT e.engine, e.engine IN ({', '.join(Q.lit(k) for k in NT.ENDPOINTS)}) AS success
+      FROM b, (SELECT unnest({Q.str_list(ENGINES)}) AS engine) e)
+SELECT engine, count(*) AS submissions, count(*) FILTER (WHERE success) AS success_count, bool_and(success) AS overall_success
+FROM r GROUP BY engine""")
+def notify_rollup(spark, sf_dir):
+    """Per-engine roll-up (a submission counts as a success when its engine is known)."""
+    f = NT.fan_out_engines(batches(spark, sf_dir), ENGINES).withColumn("success", F.col("error").isNull())
+    return NT.notify_rollup(f)
