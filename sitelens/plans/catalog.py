@@ -707,3 +707,70 @@ def notify_rollup(spark, sf_dir):
     """Per-engine roll-up (a submission counts as a success when its engine is known)."""
     f = NT.fan_out_engines(batches(spark, sf_dir), ENGINES).withColumn("success", F.col("error").isNull())
     return NT.notify_rollup(f)
+
+
+# --------------------------------------------------------------------------- more column functions
+
+@register("url_file_key", f"SELECT page_id, {Q.file_key('url')} AS file_key FROM pages")
+def url_file_key(spark, sf_dir):
+    """File-safe key of every page URL."""
+    return read_table(spark, sf_dir, "pages").select("page_id", U.url_file_key("url").alias("file_key"))
+
+
+@register("url_cache_key", f"""SELECT page_id, md5(url) AS cache_key,
+  md5(url || '?' || 'depth=' || CAST(depth AS VARCHAR) || '&type=' || crawler_type) AS cache_key_params
+FROM ({Q.page_records_cte()})""")
+def url_cache_key(spark, sf_dir):
+    """Cache key of every page URL, plain and with a parameter map {type, depth}."""
+    r = FX.page_records(spark, sf_dir)
+    params = F.create_map(F.lit("type"), F.col("crawler_type"), F.lit("depth"), F.col("depth").cast("string"))
+    return r.select("page_id", U.cache_key("url").alias("cache_key"), U.cache_key("url", params).alias("cache_key_params"))
+
+
+@register("mime_types", f"SELECT page_id, {Q.mime_type('content_type')} AS mime FROM ({Q.page_records_cte()})")
+def mime_types(spark, sf_dir):
+    """Media type of every page record."""
+    return FX.page_records(spark, sf_dir).select("page_id", U.mime_type("content_type").alias("mime"))
+
+
+@register("key_locations", f"""SELECT page_id, {Q.part('url', 4)} AS host,
+  {Q.part('url', 2)} || '://' || {Q.part('url', 4)} || '/{NOTIFY_KEY}.txt' AS key_location FROM pages""")
+def key_locations(spark, sf_dir):
+    """C11: notification host and key location of every page URL."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", U.url_host("url").alias("host"), U.key_location("url", NOTIFY_KEY).alias("key_location"))
+
+
+@register("extract_urls_text", f"""SELECT doc_id, CAST(len(u) AS BIGINT) AS n_urls, array_to_string(u, ' ') AS urls FROM (
+  SELECT doc_id, regexp_extract_all(text, {Q.lit(U.TEXT_URL_PATTERN)}) AS u FROM documents)""")
+def extract_urls_text(spark, sf_dir):
+    """Every http(s) URL mentioned in each whole document."""
+    d = read_table(spark, sf_dir, "documents")
+    u = U.extract_urls("text")
+    return d.select("doc_id", F.size(u).cast("long").alias("n_urls"), F.array_join(u, " ").alias("urls"))
+
+
+@register("page_title", f"SELECT page_id, {Q.title('html')} AS title FROM pages")
+def page_title(spark, sf_dir):
+    """Page titles."""
+    return read_table(spark, sf_dir, "pages").select("page_id", H.page_title("html").alias("title"))
+
+
+@register("js_heavy", f"""SELECT page_id, CAST(len(s) AS BIGINT) AS n_scripts,
+  len(s) > {H.JS_HEAVY_SCRIPT_COUNT} OR len(list_filter(s, lambda x: regexp_matches(x, '(?i)(react|vue|angular)'))) > 0 AS js_heavy
+FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), {Q.lit(H.SCRIPT_OPEN_RE)}, 1) AS s FROM pages)""")
+def js_heavy(spark, sf_dir):
+    """Script count and JavaScript-heavy flag per page."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", H.script_count("html").cast("long").alias("n_scripts"), H.is_js_heavy("html").alias("js_heavy"))
+
+
+@register("mobile_signals", f"""SELECT page_id,
+  nullif(regexp_extract(coalesce(html, ''), {Q.lit(H.VIEWPORT_RE)}, 1), '') AS viewport_meta,
+  nullif(regexp_extract(coalesce(html, ''), {Q.lit(H.AMP_RE)}, 1), '') AS amp_url,
+  CAST(len(regexp_extract_all(coalesce(html, ''), {Q.lit(H.JSONLD_RE)}, 1)) AS BIGINT) AS n_jsonld FROM pages""")
+def mobile_signals(spark, sf_dir):
+    """Viewport meta, AMP link and JSON-LD block count per page."""
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", H.viewport_meta("html").alias("viewport_meta"), H.amp_url("html").alias("amp_url"),
+                    F.size(H.structured_data("html")).cast("long").alias("n_jsonld"))
