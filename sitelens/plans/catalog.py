@@ -774,3 +774,61 @@ def mobile_signals(spark, sf_dir):
     p = read_table(spark, sf_dir, "pages")
     return p.select("page_id", H.viewport_meta("html").alias("viewport_meta"), H.amp_url("html").alias("amp_url"),
                     F.size(H.structured_data("html")).cast("long").alias("n_jsonld"))
+
+
+# --------------------------------------------------------------------------- robots
+
+from sitelens.operators import robots as RB  # noqa: E402
+
+ROBOTS_AGENT_MAIN = RB.DEFAULT_AGENT.lower().split("/")[0].strip()
+SQL_RULES = f"""SELECT DISTINCT host, directive AS kind, value AS path FROM {Q.robots_lines_cte(ROBOTS_AGENT_MAIN)}
+WHERE directive IN ('allow', 'disallow') AND applies AND length(value) > 0"""
+
+
+def robots_parsed(spark, sf_dir):
+    return RB.parse_robots(FX.robots_files(spark, sf_dir))
+
+
+@register("robots_rules", SQL_RULES)
+def robots_rules(spark, sf_dir):
+    """allow/disallow rules that apply to our agent, per host."""
+    return robots_parsed(spark, sf_dir)[0]
+
+
+def _sql_rule_hit() -> str:
+    path = f"regexp_extract({Q.part('url', U.G_PATH)}, {Q.PARAMS_RE}, 1)"
+    p = f"(CASE WHEN length({path}) > 0 THEN {path} ELSE '/' END)"
+    quoted = "regexp_replace(regexp_replace(r.path, '\\$$', ''), '([\\\\.\\[\\]{}()+?^$|])', '\\\\\\1', 'g')"
+    rx = f"('^' || replace({quoted}, '*', '.*') || CASE WHEN ends_with(r.path, '$') THEN '$' ELSE '' END)"
+    return (f"CASE WHEN strpos(r.path, '*') > 0 OR ends_with(r.path, '$') THEN regexp_matches({p}, {rx}) "
+            f"ELSE starts_with({p}, r.path) END")
+
+
+@register("robots_filter", f"""WITH r AS ({SQL_RULES}), u AS (SELECT DISTINCT url FROM pages),
+m AS (SELECT u.url, max(CASE WHEN r.kind = 'disallow' THEN length(r.path) END) AS dis,
+             max(CASE WHEN r.kind = 'allow' THEN length(r.path) END) AS alw
+      FROM u JOIN r ON lower({Q.part('u.url', U.G_NETLOC)}) = r.host WHERE {_sql_rule_hit().replace("'url'", "'u.url'")} GROUP BY u.url)
+SELECT p.page_id, p.url, coalesce(m.dis IS NULL OR coalesce(m.alw, -1) > m.dis, true) AS allowed
+FROM pages p LEFT JOIN m ON p.url = m.url""")
+def robots_filter(spark, sf_dir):
+    """robots verdict for every page URL under its host's rules."""
+    rules = robots_parsed(spark, sf_dir)[0]
+    return RB.robots_filter(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+@register("effective_delay", f"""WITH d AS (SELECT host, arg_max(TRY_CAST(value AS DOUBLE), line_no) AS crawl_delay
+  FROM {Q.robots_lines_cte(ROBOTS_AGENT_MAIN)} WHERE directive = 'crawl-delay' AND applies AND TRY_CAST(value AS DOUBLE) IS NOT NULL GROUP BY host)
+SELECT h.host, d.crawl_delay, greatest(1.0, coalesce(d.crawl_delay, 1.0)) AS delay
+FROM (SELECT DISTINCT lower({Q.part('url', U.G_NETLOC)}) AS host FROM pages) h LEFT JOIN d USING (host)""")
+def effective_delay(spark, sf_dir):
+    """per host, the larger of the configured 1.0 s and the robots crawl-delay."""
+    _, delays, _ = robots_parsed(spark, sf_dir)
+    hosts = read_table(spark, sf_dir, "pages").select(F.lower(U.netloc("url")).alias("host")).distinct()
+    return RB.effective_delay(hosts, delays, 1.0)
+
+
+@register("robots_sitemaps", f"""SELECT host, line_no, value AS sitemap FROM {Q.robots_lines_cte(ROBOTS_AGENT_MAIN)}
+WHERE directive = 'sitemap' AND length(value) > 0""")
+def robots_sitemaps(spark, sf_dir):
+    """sitemap URLs listed in each host's robots file."""
+    return RB.robots_sitemaps(robots_parsed(spark, sf_dir)[2]).withColumn("line_no", F.col("line_no").cast("long"))

@@ -83,3 +83,29 @@ def benchmark_queries(spark, sf_dir: str) -> DataFrame:
     b = read_table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"),
                     F.array_join(F.slice(tokenize("text"), 1, 3), " ").alias("query"))
+
+
+# One robots file per host (a stand-in: the driver tables hold no robots files).
+ROBOTS_TEMPLATE = (
+    "# robots for {host}\n"
+    "User-agent: *\n"
+    "Disallow: /fr/\n"
+    "Allow: /fr/1\n"
+    "Disallow: /*.html$\n"
+    "Crawl-delay: 2\n"
+    "\n"
+    "User-agent: otherbot\n"
+    "Disallow: /\n"
+    "Crawl-delay: 30\n"
+    "\n"
+    "Sitemap: https://{host}/sitemap.xml\n"
+)
+
+
+def robots_files(spark, sf_dir: str) -> DataFrame:
+    """(host, body) for every distinct host of `pages`."""
+    from sitelens.functions.urls import netloc
+    hosts = pages(spark, sf_dir).select(F.lower(netloc("url")).alias("host")).distinct()
+    head, tail = ROBOTS_TEMPLATE.split("{host}", 1)
+    mid, end = tail.split("{host}", 1)
+    return hosts.select("host", F.concat(F.lit(head), F.col("host"), F.lit(mid), F.col("host"), F.lit(end)).alias("body"))
