@@ -832,3 +832,86 @@ WHERE directive = 'sitemap' AND length(value) > 0""")
 def robots_sitemaps(spark, sf_dir):
     """sitemap URLs listed in each host's robots file."""
     return RB.robots_sitemaps(robots_parsed(spark, sf_dir)[2]).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+# --------------------------------------------------------------------------- extraction, images, snapshots, stats
+
+from sitelens.operators import changes as CH  # noqa: E402
+from sitelens.operators import extract as EX  # noqa: E402
+from sitelens.operators import images as IM  # noqa: E402
+from sitelens.sources import io as IO  # noqa: E402
+
+
+@register("extract_pages", None)
+def extract_pages(spark, sf_dir):
+    """One parser pass per page (selector content, metadata, images, JSON-LD, mobile signals)."""
+    e = EX.extract_pages(read_table(spark, sf_dir, "pages"))
+    return e.select("page_id", "url", "title", F.length("content").cast("long").alias("content_length"),
+                    F.md5("content").alias("content_md5"), F.col("metadata")["title"].alias("meta_title"),
+                    F.size("images").cast("long").alias("n_images"), F.size("structured_data").cast("long").alias("n_jsonld"),
+                    "viewport_meta", "amp_url", "text_length", "error")
+
+
+@register("page_images", None)
+def page_images(spark, sf_dir):
+    """D5 + H2: image candidates of every page, resolved, first tag type per URL."""
+    e = EX.extract_pages(read_table(spark, sf_dir, "pages"))
+    return EX.page_images(e).select("page_url", "url", "tag_type", "pos")
+
+
+@register("dedupe_documents", """SELECT md5(text) AS hash, min(doc_id) AS doc_id, count(*) AS n_copies
+FROM documents GROUP BY md5(text)""")
+def dedupe_documents(spark, sf_dir):
+    """H3: one document per content md5 (the lowest doc_id) with its copy count."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return IM.dedupe_by_hash(d, "text", "doc_id").select("hash", "doc_id", "n_copies")
+
+
+@register("changed_pages", f"""WITH prev AS ({Q.page_records_cte()}), cur AS ({SQL_LATEST})
+SELECT c.url, CASE WHEN p.url IS NULL THEN 'new' WHEN md5(c.html) = md5(p.html) THEN 'unchanged' ELSE 'changed' END AS change_status
+FROM cur c LEFT JOIN prev p ON c.url = p.url""")
+def changed_pages(spark, sf_dir):
+    """F8: newest snapshot of every URL against the first crawl (no ETag/Last-Modified stored, so body md5)."""
+    prev = FX.page_records(spark, sf_dir)
+    cur = SEO.latest_by_url(FX.page_versions(spark, sf_dir))
+    return CH.changed_pages(prev, cur).select("url", "change_status")
+
+
+@register("crawl_stats", f"""WITH r AS (SELECT {Q.domain('url')} AS seed, crawler_type, CAST(crawl_time AS TIMESTAMP) AS t
+  FROM ({Q.page_records_cte()})),
+runs AS (SELECT seed, crawler_type, count(*) AS n, min(t) AS t0, max(t) AS t1 FROM r GROUP BY ALL)
+SELECT count(*) AS urls_crawled, CAST(sum(n) AS BIGINT) AS pages_indexed, CAST(0 AS BIGINT) AS errors,
+  CAST(epoch(min(t0)) AS DOUBLE) AS start_time, CAST(epoch(max(t1)) - epoch(min(t0)) AS DOUBLE) AS duration FROM runs""")
+def crawl_stats(spark, sf_dir):
+    """G1: run statistics over the page records, one run per (seed domain, crawler type)."""
+    r = FX.page_records(spark, sf_dir).withColumn("seed", U.url_domain("url"))
+    return CH.crawl_stats(r)
+
+
+@register("project_export", f"""SELECT url, {Q.title('html')} AS title, {Q.visible_text('html')} AS content,
+  CAST(NULL AS VARCHAR) AS metadata, crawler_type, crawl_time, CAST(NULL AS VARCHAR) AS seo_score FROM ({Q.page_records_cte()})""")
+def project_export(spark, sf_dir):
+    """The export columns of the page records, absent ones as nulls."""
+    r = results_table(spark, sf_dir)
+    return IO.project_export(r)
+
+
+@register("page_records", f"""SELECT page_id, url, CAST(200 AS BIGINT) AS status_code, 'text/html' AS content_type,
+  CAST(0 AS BIGINT) AS depth, CAST(strlen(html) AS BIGINT) AS size FROM pages""")
+def page_records(spark, sf_dir):
+    """The pages table as crawl records with default fetch metadata."""
+    r = IO.page_records(read_table(spark, sf_dir, "pages"), {"status_code": 200, "content_type": "text/html", "depth": 0})
+    return r.select("page_id", "url", F.col("status_code").cast("long").alias("status_code"), "content_type",
+                    F.col("depth").cast("long").alias("depth"), "size")
+
+
+@register("text_summary", f"""SELECT doc_id,
+  array_to_string(list_slice(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), {Q.lit(T.SENTENCE)}),
+    lambda s: trim(s)), lambda s: length(s) > 0), 1, 3), ' ') AS summary,
+  substr(text, 1, 1024) AS truncated,
+  CAST(len({Q.tokenize('text')}) AS BIGINT) AS n_keywords FROM documents""")
+def text_summary(spark, sf_dir):
+    """K1, K2, K4: keyword count, three-sentence summary and 1024-character truncation of every document."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.summary("text").alias("summary"), T.truncate_text("text").alias("truncated"),
+                    F.size(T.keywords("text")).cast("long").alias("n_keywords"))
