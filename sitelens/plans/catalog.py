@@ -915,3 +915,48 @@ def text_summary(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
     return d.select("doc_id", T.summary("text").alias("summary"), T.truncate_text("text").alias("truncated"),
                     F.size(T.keywords("text")).cast("long").alias("n_keywords"))
+
+
+# --------------------------------------------------------------------------- text models, streaming
+
+def _labelled(spark, sf_dir, label: str):
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+    return d.join(lab, "doc_id")
+
+
+@register("toxicity_scores", None)
+def toxicity_scores(spark, sf_dir):
+    """K5 + K7: classifier trained on labels.toxic, then every document scored (label, probability)."""
+    from sitelens.operators import textmodels as TM
+    model, _ = TM.train_classifier(_labelled(spark, sf_dir, "toxic"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TM.score_text(d, model, prefix="toxicity", labels=("clean", "toxic")).drop("text")
+
+
+@register("quality_scores", None)
+def quality_scores(spark, sf_dir):
+    """K6 + K7: classifier trained on labels.quality, then every document scored (label, probability)."""
+    from sitelens.operators import textmodels as TM
+    model, _ = TM.train_classifier(_labelled(spark, sf_dir, "quality"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TM.score_text(d, model, prefix="quality", labels=("low", "high")).drop("text")
+
+
+@register("stream_index", f"""SELECT CAST(row_number() OVER (ORDER BY url) - 1 AS BIGINT) AS doc_id, url, {Q.title('html')} AS title
+FROM (SELECT url, html FROM pages WHERE url IN (SELECT DISTINCT url FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)""")
+def stream_index(spark, sf_dir):
+    """Structured Streaming over the pages file (availableNow), merged into a versioned index; returns its documents."""
+    import uuid
+
+    from sitelens.session import ensure_checkpoint_dir
+    from sitelens.streaming import index_stream as ST
+    from pyspark.sql import types as TT
+    schema = TT.StructType([TT.StructField("page_id", TT.LongType()), TT.StructField("url", TT.StringType()),
+                            TT.StructField("html", TT.StringType())])
+    src = ST.crawl_file_stream(spark, sf_dir, schema, fmt="parquet", glob="pages.parquet")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-index-{uuid.uuid4().hex}"
+    q = ST.stream_index(ST.pages_as_index_rows(src), f"{base}/index", f"{base}/checkpoint")
+    q.awaitTermination()
+    docs, _ = ST.read_latest_index(spark, f"{base}/index")
+    return docs.select("doc_id", "url", "title")
