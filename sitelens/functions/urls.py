@@ -90,6 +90,16 @@ def canonical_query(q) -> Column:
     return F.when(F.length(q) > 0, F.array_join(encoded, "&")).otherwise(F.lit(""))
 
 
+def let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it several times in ``fn`` (a one-element
+    array mapped by a lambda): keeps a regex split from being re-evaluated
+    for every reference."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+_PARAMS_RE = r"^((?:.*/)?[^;/]*)(;[^/]*)?$"
+
+
 def normalize_url(col) -> Column:
     """Canonical URL.
 
@@ -99,36 +109,49 @@ def normalize_url(col) -> Column:
     null or '' -> ''.
     """
     u = _c(col)
-    sch = scheme(u)
-    host = F.lower(netloc(u))
-    host = F.when(host.startswith("www."), F.substring(host, 5, 1 << 30)).otherwise(host)
-    host = (
-        F.when((sch == "http") & host.endswith(":80"), F.substring(host, F.lit(1), F.length(host) - 3))
-        .when((sch == "https") & host.endswith(":443"), F.substring(host, F.lit(1), F.length(host) - 4))
-        .otherwise(host)
-    )
-    full_path = path(u)
-    # urlparse splits ";params" off the last path segment; the trailing-slash rule sees the path only
-    p = F.regexp_extract(full_path, r"^((?:.*/)?[^;/]*)(;[^/]*)?$", 1)
-    params = F.regexp_extract(full_path, r"^((?:.*/)?[^;/]*)(;[^/]*)?$", 2)
-    p = F.when((p != "/") & p.endswith("/"), F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
-    p = F.concat(p, params)
-    q = canonical_query(query(u))
-    has_host = F.length(host) > 0
-    body = (
-        F.when(has_host, F.concat(F.lit("//"), host,
-                                  F.when((F.length(p) > 0) & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)))
-        .when(p.startswith("//"), F.concat(F.lit("//"), p))
-        .when((F.length(sch) > 0) & sch.isin(*USES_NETLOC) & ((F.length(p) == 0) | p.startswith("/")),
-              F.concat(F.lit("//"), p))
-        .otherwise(p)
+    parts = F.struct(
+        F.lower(url_part(u, G_SCHEME)).alias("sch"),
+        F.regexp_replace(F.lower(netloc(u)), r"^www\.", "").alias("host"),
+        path(u).alias("path"),
+        query(u).alias("q"),
     )
-    out = F.concat(
-        F.when(F.length(sch) > 0, F.concat(sch, F.lit(":"))).otherwise(F.lit("")),
-        body,
-        F.when(F.length(q) > 0, F.concat(F.lit("?"), q)).otherwise(F.lit("")),
-    )
-    return F.when(u.isNull() | (u == ""), F.lit("")).otherwise(out)
+
+    def build(s):
+        sch, h = s["sch"], s["host"]
+        host = (
+            F.when((sch == "http") & h.endswith(":80"), F.substring(h, F.lit(1), F.length(h) - 3))
+            .when((sch == "https") & h.endswith(":443"), F.substring(h, F.lit(1), F.length(h) - 4))
+            .otherwise(h)
+        )
+        # urlparse splits ";params" off the last path segment; the trailing-slash rule sees the path only
+        split = F.regexp_extract_all(s["path"], F.lit(r"^(?:.*/)?[^;/]*|;[^/]*$"), 0)
+
+        def with_path(pp):
+            p0 = F.element_at(pp, 1)
+            params = F.coalesce(F.try_element_at(pp, F.lit(2)), F.lit(""))
+            p1 = F.when((p0 != "/") & p0.endswith("/"), F.substring(p0, F.lit(1), F.length(p0) - 1)).otherwise(p0)
+            p = F.concat(p1, params)
+            q = canonical_query(s["q"])
+            body = (
+                F.when(F.length(host) > 0, F.concat(
+                    F.lit("//"), host,
+                    F.when((F.length(p) > 0) & ~p.startswith("/"), F.concat(F.lit("/"), p)).otherwise(p)))
+                .when(p.startswith("//"), F.concat(F.lit("//"), p))
+                .when((F.length(sch) > 0) & sch.isin(*USES_NETLOC) & ((F.length(p) == 0) | p.startswith("/")),
+                      F.concat(F.lit("//"), p))
+                .otherwise(p)
+            )
+            return F.concat(
+                F.when(F.length(sch) > 0, F.concat(sch, F.lit(":"))).otherwise(F.lit("")),
+                body,
+                F.when(F.length(s["q"]) > 0,
+                       let(q, lambda qq: F.when(F.length(qq) > 0, F.concat(F.lit("?"), qq)).otherwise(F.lit(""))))
+                .otherwise(F.lit("")),
+            )
+
+        return let(split, with_path)
+
+    return F.when(u.isNull() | (u == ""), F.lit("")).otherwise(let(parts, build))
 
 
 def is_valid_url(col) -> Column:
@@ -210,7 +233,7 @@ def resolve_url(base, href) -> Column:
     merged = F.concat(F.when(F.length(dir_) > 0, dir_).otherwise(F.lit("/")), h)
     return (
         F.when(h.isNull(), F.lit(None))
-        .when(F.length(h) == 0, F.regexp_replace(b, r"#.*$", ""))
+        .when(F.length(h) == 0, b)
         .when(F.length(has_scheme) > 0, h)
         .when(h.startswith("//"), F.concat(b_scheme, F.lit(":"), h))
         .when(h.startswith("/"), F.concat(prefix, remove_dot_segments(h)))
