@@ -33,13 +33,11 @@ def read_crawl_results(spark: SparkSession, path: str, data_type: str | None = N
 
 
 def read_json_tree(spark: SparkSession, root: str, schema: T.StructType = CRAWL_RESULT) -> DataFrame:
-    """A2: all JSON under a directory tree; unreadable files are skipped
-    (permissive parse, corrupt records dropped)."""
-    s = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(s).option("multiLine", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", "*.json").option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").json(root))
-    return df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """A2: all JSON under a directory tree; unparsable records and unreadable
+    files are skipped (DROPMALFORMED + ignoreCorruptFiles)."""
+    return (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED")
+            .option("ignoreCorruptFiles", True).json(root))
 
 
 def read_store(spark: SparkSession, root: str, data_type: str | None = None) -> DataFrame:
@@ -95,10 +93,11 @@ def page_records(pages: DataFrame, defaults: dict | None = None) -> DataFrame:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Stored image files: bytes length, md5, and decoded dimensions
     (Spark's image source; undecodable files keep their row with an error)."""
+    # both sources expose the same file path in _metadata (their own path columns differ in URI form)
     raw = spark.read.format("binaryFile").load(path).select(
-        F.col("path"), F.col("length").alias("size_bytes"), F.md5("content").alias("hash"))
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("size_bytes"), F.md5("content").alias("hash"))
     img = (spark.read.format("image").option("dropInvalid", False).load(path)
-           .select(F.col("image.origin").alias("path"), F.col("image.width").alias("px_width"),
+           .select(F.col("_metadata.file_path").alias("path"), F.col("image.width").alias("px_width"),
                    F.col("image.height").alias("px_height"), F.col("image.nChannels").alias("channels")))
     out = raw.join(img, "path", "left")
     bad = F.col("px_width").isNull() | (F.col("px_width") < 0)
