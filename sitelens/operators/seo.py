@@ -1,9 +1,8 @@
 """SEO factors, metrics, score, issues and sitemap rows.
 
-Per-page factors are column expressions over the stored HTML plus one
-aggregate over the page's own link edges (internal/external counts), joined
-back on the page URL. Keyword density is computed inside the row (sort the
-token array, longest run) so no (page, term) shuffle is needed.
+Per-page factors are column expressions over the stored HTML plus two small
+per-page aggregates (internal/external link counts, keyword density) joined
+back on the page URL after the html column is dropped.
 """
 
 from __future__ import annotations
@@ -56,23 +55,20 @@ PRIORITY_DEFAULT, PRIORITY_FLOOR, PRIORITY_DEPTH_STEP = 0.5, 0.1, 0.1
 SITEMAP_SHARD_SIZE = 50000
 
 
-def top_token_count(tokens: Column) -> Column:
-    """Count of the most frequent token, from the sorted array (in-row)."""
-    init = F.struct(F.lit(None).cast("string").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+def keyword_density(df: DataFrame, key_col: str, tokens_col: str = "tokens", out: str = "keyword_density") -> DataFrame:
+    """(key, density) with density = 100 x (count of the most frequent
+    token) / (number of tokens), half-up to 2 decimals; 0 without tokens.
 
-    def step(acc, t):
-        run = F.when(acc["prev"] == t, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(t.alias("prev"), run.alias("run"), F.greatest(acc["best"], run).alias("best"))
-
-    return F.aggregate(F.array_sort(tokens), init, step)["best"]
-
-
-def keyword_density(tokens: Column) -> Column:
-    """100 x (count of the most frequent token) / (number of tokens), 2 decimals; 0 without tokens."""
-    n = F.size(tokens)
+    Counted as a distributed aggregation: explode, count per (key, term) with
+    map-side partial counts, max per key. A single huge document spreads over
+    many tasks instead of being sorted inside one row.
+    """
+    ex = df.select(key_col, F.explode_outer(tokens_col).alias("_t"))
+    per_term = ex.groupBy(key_col, "_t").agg(F.count("_t").alias("_c"))
+    per_key = per_term.groupBy(key_col).agg(F.max("_c").alias("_b"), F.sum("_c").alias("_n"))
     # half-up rounding in exact integer arithmetic: floor((20000 b + n) / 2n) / 100
-    x100 = F.floor((F.lit(20000) * top_token_count(tokens) + n) / (F.lit(2) * n))
-    return F.when(n > 0, x100 / F.lit(100.0)).otherwise(F.lit(0.0))
+    x100 = F.floor((F.lit(20000) * F.col("_b") + F.col("_n")) / (F.lit(2) * F.col("_n")))
+    return per_key.select(key_col, F.when(F.col("_n") > 0, x100 / F.lit(100.0)).otherwise(F.lit(0.0)).alias(out))
 
 
 def link_counts(edges: DataFrame) -> DataFrame:
@@ -85,18 +81,21 @@ def link_counts(edges: DataFrame) -> DataFrame:
 
 
 def seo_factors(pages: DataFrame, edges: DataFrame | None = None, url_col: str = "url",
-                html_col: str = "html") -> DataFrame:
-    """Factor inputs per page."""
+                html_col: str = "html", keep_html: bool = False) -> DataFrame:
+    """Factor inputs per page (pages unique by ``url_col``).
+
+    Everything read from the HTML is a narrow projection; the html column is
+    then dropped before the two small per-page aggregates (link counts,
+    keyword density) are joined back on the URL.
+    """
     h = F.col(html_col)
     text = H.visible_text(h)
-    toks = tokenize(text)
     out = pages.select(
         "*",
         H.page_title(h).alias("title"),
         F.regexp_extract(F.coalesce(h, F.lit("")), DESCRIPTION_RE, 1).alias("description"),
         H.count_matches(h, H.H1_RE).cast("long").alias("h1_count"),
         F.size(words(text)).cast("long").alias("word_count"),
-        keyword_density(toks).alias("keyword_density"),
         H.count_matches(h, H.IMG_RE).cast("long").alias("image_count"),
         H.count_matches(h, H.IMG_ALT_RE).cast("long").alias("image_alt_count"),
         H.viewport_meta(h).isNotNull().alias("mobile_friendly"),
@@ -104,6 +103,10 @@ def seo_factors(pages: DataFrame, edges: DataFrame | None = None, url_col: str =
         (F.size(H.structured_data(h)) > 0).alias("has_structured_data"),
         H.has_og_tags(h).alias("has_og_tags"),
     )
+    density = keyword_density(pages.select(F.col(url_col).alias("_k"), tokenize(text).alias("tokens")), "_k")
+    if not keep_html:
+        out = out.drop(html_col)
+    out = out.join(density, out[url_col] == density["_k"], "left").drop("_k").fillna(0.0, ["keyword_density"])
     if edges is not None:
         lc = link_counts(edges)
         out = out.join(lc, out[url_col] == lc["src_url"], "left").drop("src_url")

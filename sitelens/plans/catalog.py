@@ -487,7 +487,7 @@ SELECT tk.doc_id, CASE WHEN len(toks) > 0 THEN ((20000 * coalesce(b, 0) + len(to
 def keyword_density_documents(spark, sf_dir):
     """Keyword density (share of the most frequent token, percent) of every whole document."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", SEO.keyword_density(T.tokenize("text")).alias("keyword_density"))
+    return SEO.keyword_density(d.select("doc_id", T.tokenize("text").alias("tokens")), "doc_id")
 
 
 def _sql_detect(text: str) -> str:

@@ -139,3 +139,10 @@ def test_effective_delay(spark):
     hosts = spark.createDataFrame([("h.com",), ("x.com",)], "host string")
     got = {r.host: r.delay for r in RB.effective_delay(hosts, d, 1.0).collect()}
     assert got == {"h.com": 3.5, "x.com": 1.0}
+
+
+def test_error_rows_are_kept(spark):
+    df = spark.createDataFrame([(1, "<p>x</p>")], "page_id long, html string")
+    # an unsupported selector makes every page fail: the row stays, with the error text
+    r = EX.extract_pages(df, selectors=["div > p"]).first()
+    assert r.page_id == 1 and r.content is None and "unsupported selector" in r.error

@@ -24,8 +24,10 @@ def test_priority_changefreq_band(spark):
 
 
 def test_keyword_density_in_row(spark):
-    df = spark.createDataFrame([(["b", "a", "b", "c"],), ([],), (["x"] * 3 + ["y"] * 197,)], "t array<string>")
-    assert [r[0] for r in df.select(SEO.keyword_density(F.col("t"))).collect()] == [50.0, 0.0, 98.5]
+    df = spark.createDataFrame([(0, ["b", "a", "b", "c"]), (1, []), (2, ["x"] * 3 + ["y"] * 197), (3, None)],
+                               "k long, tokens array<string>")
+    got = {r.k: r.keyword_density for r in SEO.keyword_density(df, "k").collect()}
+    assert got == {0: 50.0, 1: 0.0, 2: 98.5, 3: 0.0}
 
 
 def test_latest_by_url_first_wins_on_ties(spark):
