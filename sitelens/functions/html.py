@@ -14,9 +14,8 @@ from sitelens.functions.urls import py_strip
 
 # Patterns shared with the SQL oracle (valid in Java and RE2).
 TITLE_RE = r"(?is)<title[^>]*>(.*?)</title>"
-SCRIPT_RE = r"(?is)<script\b[^>]*>.*?</script>"
-STYLE_RE = r"(?is)<style\b[^>]*>.*?</style>"
-COMMENT_RE = r"(?s)<!--.*?-->"
+# scripts, styles and comments in one leftmost-first alternation (one pass)
+HIDDEN_RE = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
 TAG_RE = r"<[^>]*>"
 SPACE_RE = r"[\t\n\x0B\f\r ]+"
 HREF_RE = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
@@ -26,7 +25,6 @@ LANG_RE = r"(?is)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z0-9_-]+)"
 VIEWPORT_RE = r"""(?is)<meta[^>]*name\s*=\s*["']viewport["'][^>]*content\s*=\s*["']([^"']*)["']"""
 AMP_RE = r"""(?is)<link[^>]*rel\s*=\s*["']amphtml["'][^>]*href\s*=\s*["']([^"']*)["']"""
 H1_RE = r"(?is)<h1[\s>]"
-HEADING_RE = r"(?is)<h[1-6][\s>]"
 IMG_RE = r"(?is)<img\b[^>]*>"
 IMG_ALT_RE = r"""(?is)<img\b[^>]*\salt\s*=\s*["'][^"']+["'][^>]*>"""
 HREFLANG_RE = r"""(?is)<link[^>]*hreflang\s*=\s*["']([^"']*)["']"""
@@ -62,9 +60,7 @@ def page_title(col) -> Column:
 def visible_text(col) -> Column:
     """Text of the page without script, style, comments and tags, whitespace
     collapsed to single spaces (the regex text path used by the index)."""
-    h = F.coalesce(_c(col), F.lit(""))
-    for pat in (SCRIPT_RE, STYLE_RE, COMMENT_RE):
-        h = F.regexp_replace(h, pat, " ")
+    h = F.regexp_replace(F.coalesce(_c(col), F.lit("")), HIDDEN_RE, " ")
     h = F.regexp_replace(h, TAG_RE, " ")
     h = decode_entities(h)
     return py_strip(F.regexp_replace(h, SPACE_RE, " "))

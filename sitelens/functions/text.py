@@ -41,10 +41,17 @@ def words(col) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), 0)
 
 
+# One regex does the whole token rule (no per-token lambda): a maximal word run
+# (not preceded by a word character) of at least MIN_TOKEN_LEN characters that
+# is not exactly a stopword. Shorter stopwords already fail the length rule.
+_W = r"[\p{L}\p{N}_]"
+_LONG_STOP = [s for s in STOPWORDS if len(s) >= MIN_TOKEN_LEN]
+TOKEN_RE = rf"(?<!{_W})(?!(?:{'|'.join(_LONG_STOP)})(?!{_W})){_W}{{{MIN_TOKEN_LEN},}}"
+
+
 def tokenize(col) -> Column:
     """Lower-case word runs longer than two characters that are not stopwords."""
-    stop = F.array(*[F.lit(s) for s in STOPWORDS])
-    return F.filter(words(col), lambda t: (F.length(t) >= MIN_TOKEN_LEN) & ~F.array_contains(stop, t))
+    return F.regexp_extract_all(F.lower(F.coalesce(_c(col), F.lit(""))), F.lit(TOKEN_RE), 0)
 
 
 def keywords(col) -> Column:
