@@ -9,10 +9,9 @@ Layout (all plain DataFrames, written as Parquet by :mod:`sitelens.sources`):
 
 Search semantics: every query token (repeats count again) adds 1 for each index
 term that *contains* it, to every document holding that term. The substring
-match is done as an equi-join: each vocabulary term is expanded into its
-substrings of exactly the query-token lengths and joined on equality with the
-query tokens. That keeps the join shuffle/broadcast-able and linear in the
-vocabulary instead of a nested loop over vocabulary x tokens.
+match is a trigram-index equi-join (vocabulary trigrams x each token's rarest
+trigram, then an exact positional check), so it stays shuffle/broadcast-able
+and never becomes a nested loop over vocabulary x tokens.
 """
 
 from __future__ import annotations
@@ -92,23 +91,30 @@ def query_tokens(queries: DataFrame, text_col: str = "query", id_col: str = "que
 
 
 def _substring_matches(vocab_terms: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Distinct (term, token) with token a substring of term, as an equi-join.
-
-    The set of distinct token lengths is bounded by the longest token (a
-    handful of integers), so it is safe to bring to the driver and inline.
+    """Distinct (term, token) with token a substring of term, as equi-joins.
+
+    Trigram index: every vocabulary term is exploded into its trigrams (with
+    positions); each query token (all are >= 3 characters) picks its rarest
+    trigram; candidates are the term positions holding that trigram, and a
+    positional substring comparison makes the result exact. The work grows
+    with the vocabulary (about length-2 rows per term) plus the candidates of
+    the rarest trigrams, never with vocabulary x tokens.
     """
-    lengths = sorted(r[0] for r in tokens.select(F.length("token").alias("n")).distinct().collect())
-    if not lengths:
-        return vocab_terms.sparkSession.createDataFrame([], "term string, token string")
-    lens = F.array(*[F.lit(int(n)) for n in lengths])
-    subs = F.array_distinct(F.flatten(F.transform(
-        F.filter(lens, lambda n: n <= F.length("term")),
-        lambda n: F.transform(F.sequence(F.lit(1), F.length("term") - n + 1),
-                              lambda i: F.substring(F.col("term"), i, n)),
-    )))
-    expanded = vocab_terms.select("term", F.explode(subs).alias("token"))
-    distinct_tokens = tokens.select("token").distinct()
-    return expanded.join(distinct_tokens, "token").select("term", "token")
+    tri = vocab_terms.select(
+        "term", F.explode(F.sequence(F.lit(1), F.greatest(F.length("term") - 2, F.lit(1)))).alias("p")
+    ).select("term", "p", F.substring(F.col("term"), F.col("p"), 3).alias("g"))
+    freq = tri.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
+    tok_tri = tokens.select("token").distinct().select(
+        "token", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1)))).alias("off")
+    ).select("token", "off", F.substring(F.col("token"), F.col("off"), 3).alias("g"))
+    # a trigram absent from the vocabulary has frequency 0: that token matches nothing
+    rarest = (tok_tri.join(freq, "g", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+              .groupBy("token").agg(F.min_by(F.struct("g", "off"), F.struct("f", "off")).alias("r"))
+              .select("token", F.col("r.g").alias("g"), F.col("r.off").alias("off")))
+    start = F.col("p") - F.col("off") + 1
+    cand = tri.join(rarest, "g").where(
+        (start >= 1) & (F.substring(F.col("term"), start, F.length("token")) == F.col("token")))
+    return cand.select("term", "token").distinct()
 
 
 def search_batch(postings: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT,

@@ -125,3 +125,16 @@ def test_boosted_search(spark):
                                "doc_id long, title string, url string, content string")
     got = IX.search_boosted(df, "spark engine").collect()
     assert [(r.doc_id, r.score) for r in got] == [(0, 3.0 * 2 + 2.0 * 1 + 1.0 * 1)]
+
+
+def test_substring_matches_random(spark):
+    import random
+    rng = random.Random(11)
+    alpha = "abé"
+    terms = sorted({"".join(rng.choice(alpha) for _ in range(rng.randint(3, 9))) for _ in range(300)})
+    toks = sorted({"".join(rng.choice(alpha) for _ in range(rng.randint(3, 6))) for _ in range(60)} | {"zzz", "aaaa"})
+    v = spark.createDataFrame([(t,) for t in terms], "term string")
+    q = spark.createDataFrame([(t,) for t in toks], "token string")
+    got = {(r.term, r.token) for r in IX._substring_matches(v, q).collect()}
+    exp = {(a, b) for a in terms for b in toks if b in a}
+    assert got == exp
