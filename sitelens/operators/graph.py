@@ -5,12 +5,15 @@ depth ``d``) with the edges, removes everything already visited (left anti
 join) and makes that the next frontier. A URL is thus visited once, at its
 smallest depth. Excluded URLs are marked visited but neither emitted nor
 expanded. The edge table is hash-partitioned on ``src`` once and checkpointed,
-so each round only shuffles the (small) frontier; the visited set is
-checkpointed every round to keep lineage flat and survive executor loss.
+so each round only shuffles the frontier; every new level is checkpointed
+(reliable, under spark.checkpoint.dir) to keep lineage flat and survive
+executor loss, and the visited set is the union of the levels.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,26 +36,26 @@ def crawl_bfs(seeds: DataFrame, edges: DataFrame, max_depth: int = DEFAULT_MAX_D
         .repartition(nparts, "src")
     )
     e = cut_lineage(e)
-    visited = cut_lineage(
+    # every level is checkpointed once; the visited set is the union of the
+    # levels (flat lineage of checkpoint scans), so each URL is written once
+    levels = [cut_lineage(
         seeds.select(normalize_url(seed_col).alias("url")).distinct()
         .withColumn("depth", F.lit(0).cast("long"))
         .withColumn("excluded", exclusion_predicate("url", exclude, mode))
-    )
-    frontier = visited
+    )]
     for d in range(max_depth):
-        expand = frontier.where(~F.col("excluded")).select(F.col("url").alias("src"))
-        nxt = (
+        visited = reduce(DataFrame.unionByName, levels).select("url")
+        expand = levels[-1].where(~F.col("excluded")).select(F.col("url").alias("src"))
+        nxt = cut_lineage(
             expand.join(e, "src").select("url").distinct()
-            .join(visited.select("url"), "url", "left_anti")
+            .join(visited, "url", "left_anti")
             .withColumn("depth", F.lit(d + 1).cast("long"))
             .withColumn("excluded", exclusion_predicate("url", exclude, mode))
         )
-        nxt = cut_lineage(nxt)
         if nxt.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt))
-        frontier = nxt
-    return visited.where(~F.col("excluded")).select("url", "depth")
+        levels.append(nxt)
+    return reduce(DataFrame.unionByName, levels).where(~F.col("excluded")).select("url", "depth")
 
 
 def limit_pages(df: DataFrame, n: int, order=("depth", "url")) -> DataFrame:
