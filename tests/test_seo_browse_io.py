@@ -26,7 +26,7 @@ def test_priority_changefreq_band(spark):
 def test_keyword_density_in_row(spark):
     df = spark.createDataFrame([(0, ["b", "a", "b", "c"]), (1, []), (2, ["x"] * 3 + ["y"] * 197), (3, None)],
                                "k long, tokens array<string>")
-    got = {r.k: r.keyword_density for r in SEO.keyword_density(df, "k").collect()}
+    got = {r.k: r.d for r in df.select("k", SEO.keyword_density("tokens").alias("d")).collect()}
     assert got == {0: 50.0, 1: 0.0, 2: 98.5, 3: 0.0}
 
 
