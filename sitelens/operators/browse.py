@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import snippet
+from sitelens.plans.ids import dense_ids
 
 PAGE_SIZE = 10
+TOPK_PAGE_LIMIT = 100_000
 FEED_SIZE = 1000
 EPOCH_ISO = "1970-01-01T00:00:00"
 
@@ -52,7 +54,7 @@ def sort_results(df: DataFrame, order: str = "date_desc", term: str | None = Non
     """H5 (date_desc/date_asc, missing time = epoch) and H6 (relevance)."""
     if order == "relevance":
         df = relevance(df, term)
-    return df.orderBy(*sort_keys(df, order))
+    return df.orderBy(*_orders(sort_keys(df, order)))
 
 
 def relevance(df: DataFrame, term: str | None) -> DataFrame:
@@ -66,24 +68,44 @@ def relevance(df: DataFrame, term: str | None) -> DataFrame:
     )
 
 
-def paginate(df: DataFrame, order: list[Column], page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """H7: rows of page ``page`` (1-based, ``size`` rows) in the given total
-    order, with their 1-based ``position`` in the whole order."""
-    start = (max(page, 1) - 1) * size
-    ordered = df.orderBy(*order)
-    rows = ordered.offset(start).limit(size) if start else ordered.limit(size)
-    w = Window.orderBy(*order)  # numbers at most `size` rows
-    return rows.withColumn("position", (F.row_number().over(w) + start).cast("long"))
 
 
-def sort_keys(df: DataFrame, order: str = "date_desc") -> list[Column]:
-    """Total order of H5/H6 (relevance expects a ``relevance`` column)."""
+def paginate(df: DataFrame, order: list[tuple[Column, bool]], page: int = 1, size: int = PAGE_SIZE) -> DataFrame:
+    """H7: rows of page ``page`` (1-based, ``size`` rows) in a total order
+    given as (expression, ascending) pairs, with their 1-based ``position``.
+
+    Early pages are a bounded take-ordered step (each partition keeps only
+    ``offset + size`` rows); deep pages number the whole order with
+    distributed dense ids and filter the range, so no task ever holds
+    ``offset`` rows.
+    """
+    start = (max(page, 1) - 1) * size
+    if start + size <= TOPK_PAGE_LIMIT:
+        ordered = df.orderBy(*_orders(order))
+        rows = ordered.offset(start).limit(size) if start else ordered.limit(size)
+        w = Window.orderBy(*_orders(order))  # numbers at most `size` rows
+        return rows.withColumn("position", (F.row_number().over(w) + start).cast("long"))
+    keys = [f"_o{i}" for i in range(len(order))]
+    keyed = df.select("*", *[e.alias(k) for (e, _), k in zip(order, keys)])
+    numbered = dense_ids(keyed, _orders([(F.col(k), asc) for (_, asc), k in zip(order, keys)]), "_pos")
+    return (numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size))
+            .withColumn("position", (F.col("_pos") + 1).cast("long")).drop("_pos", *keys))
+
+
+def _orders(spec: list[tuple[Column, bool]]) -> list[Column]:
+    return [e.asc() if asc else e.desc() for e, asc in spec]
+
+
+def sort_keys(df: DataFrame, order: str = "date_desc") -> list[tuple[Column, bool]]:
+    """Total order of H5/H6 as (expression, ascending) pairs (relevance
+    expects a ``relevance`` column); ties broken by input order."""
+    tie = (F.col("seq"), True) if "seq" in df.columns else (F.col("url"), True)
     if order == "date_desc":
-        return [_ts().desc(), *_tiebreak(df)]
+        return [(_ts(), False), tie]
     if order == "date_asc":
-        return [_ts().asc(), *_tiebreak(df)]
+        return [(_ts(), True), tie]
     if order == "relevance":
-        return [F.col("relevance").desc(), *_tiebreak(df)]
+        return [(F.col("relevance"), False), tie]
     raise ValueError(f"unknown order {order!r}")
 
 

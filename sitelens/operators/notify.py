@@ -84,12 +84,10 @@ def notify_batches(df: DataFrame, key: str, bulk: bool = True, key_loc: str | No
     """
     u = submit_candidates(df, col).select(F.col(col).alias("url")).distinct()
     u = u.withColumn("origin", F.concat(url_part("url", G_SCHEME), F.lit("://"), netloc("url")))
-    sizes = u.groupBy("origin").agg(F.count(F.lit(1)).alias("_n"))
-    u = u.join(sizes, "origin")
     if bulk:
+        # an origin with a single URL lands in chunk 0 alone: the single-URL payload
         numbered = dense_ids(u, "url", "_pos", group_by="origin")
-        chunk = F.when(F.col("_n") > 1, F.floor(F.col("_pos") / F.lit(max_urls))).otherwise(F.lit(0))
-        keyed = numbered.withColumn("chunk", chunk.cast("long"))
+        keyed = numbered.withColumn("chunk", F.floor(F.col("_pos") / F.lit(max_urls)).cast("long"))
         grouped = keyed.groupBy("origin", "chunk").agg(
             F.sort_array(F.collect_list("url")).alias("urlList"))
     else:

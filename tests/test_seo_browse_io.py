@@ -195,3 +195,16 @@ def test_stream_index_idempotent(spark, tmp_path):
     terms = {r.term for r in post.where("doc_id = 1").collect()}
     assert "gamma" in terms and "beta" not in terms
     assert len(ST.finished_versions(spark, f"{d}/index")) == 2
+
+
+def test_deep_pagination_matches_topk(spark):
+    df = spark.range(0, 500).select(F.col("id").alias("seq"), (F.col("id") * 37 % 101).alias("score"), F.lit("u").alias("url"))
+    order = [(F.col("score"), False), (F.col("seq"), True)]
+    old = BR.TOPK_PAGE_LIMIT
+    try:
+        shallow = [(r.seq, r.position) for r in BR.paginate(df, order, page=7, size=25).orderBy("position").collect()]
+        BR.TOPK_PAGE_LIMIT = 0  # force the dense-id path
+        deep = [(r.seq, r.position) for r in BR.paginate(df, order, page=7, size=25).orderBy("position").collect()]
+    finally:
+        BR.TOPK_PAGE_LIMIT = old
+    assert shallow == deep and [p for _, p in deep] == list(range(151, 176))
