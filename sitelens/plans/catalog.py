@@ -132,6 +132,14 @@ def page_links(spark, sf_dir):
     return LK.page_links(read_table(spark, sf_dir, "pages"))
 
 
+@register("same_domain_links", f"""SELECT src_url, pos, dst_url, {Q.domain('src_url')} = {Q.domain('dst_url')} AS same_domain
+FROM ({Q.page_links_cte()})""")
+def same_domain_links(spark, sf_dir):
+    """C4: whether each discovered link stays on its page's domain."""
+    e = LK.page_links(read_table(spark, sf_dir, "pages"))
+    return e.select("src_url", "pos", "dst_url", U.same_domain("src_url", "dst_url").alias("same_domain"))
+
+
 @register("exclude_urls", f"""SELECT page_id, u AS url FROM (SELECT page_id, {Q.normalize_url('url')} AS u FROM pages)
 WHERE NOT {Q.exclusion('u', LK.DEFAULT_EXCLUDES)}""")
 def exclude_urls(spark, sf_dir):
@@ -307,8 +315,8 @@ FEED_TIME = "2024-06-01T00:00:00"
 @register("results_feed", f"""WITH top AS (SELECT row_number() OVER (ORDER BY coalesce(crawl_time, '') DESC, seq) AS rank,
   url, title, crawler_type, crawl_time FROM ({Q.results_cte()}) ORDER BY coalesce(crawl_time, '') DESC, seq LIMIT 1000)
 SELECT count(*) AS total_results,
-  to_json(list({{'rank': CAST(rank AS BIGINT), 'url': url, 'title': title, 'crawler_type': crawler_type,
-                 'crawl_time': crawl_time}} ORDER BY rank)) AS results,
+  CAST(to_json(list({{'rank': CAST(rank AS BIGINT), 'url': url, 'title': title, 'crawler_type': crawler_type,
+                 'crawl_time': crawl_time}} ORDER BY rank)) AS VARCHAR) AS results,
   '{FEED_TIME}' AS last_updated FROM top""")
 def results_feed(spark, sf_dir):
     """JSON feed of the 1000 most recent results."""
@@ -381,7 +389,7 @@ def _sql_boost(query: str) -> str:
     return " + ".join(parts)
 
 
-@register("search_boosted", f"""SELECT seq AS doc_id, round({_sql_boost(BOOST_QUERY)}, 2) AS score FROM ({Q.results_cte()})
+@register("search_boosted", f"""SELECT seq AS doc_id, CAST(round({_sql_boost(BOOST_QUERY)}, 2) AS DOUBLE) AS score FROM ({Q.results_cte()})
 WHERE {_sql_boost(BOOST_QUERY)} > 0 ORDER BY score DESC, seq LIMIT 100""")
 def search_boosted(spark, sf_dir):
     """Field-boosted search (title 3, url 2, content 1) over the results table, top 100."""
@@ -537,7 +545,7 @@ def sitemap_table(spark, sf_dir):
 SQL_SITEMAP = f"""SELECT {Q.domain('url')} AS domain, url AS loc, crawl_time AS lastmod,
   CASE WHEN strpos(lower(coalesce(content_type, '')), 'news') > 0 OR strpos(lower(coalesce(content_type, '')), 'blog') > 0 THEN 'daily'
        WHEN strpos(lower(coalesce(content_type, '')), 'product') > 0 THEN 'weekly' ELSE 'monthly' END AS changefreq,
-  round(CASE WHEN depth IS NOT NULL THEN greatest(0.1, p - depth * 0.1) ELSE p END, 1) AS priority
+  CAST(round(CASE WHEN depth IS NOT NULL THEN greatest(0.1, p - depth * 0.1) ELSE p END, 1) AS DOUBLE) AS priority
 FROM (SELECT *, CASE WHEN score >= 90 THEN 1.0 WHEN score >= 80 THEN 0.8 WHEN score >= 70 THEN 0.6 ELSE 0.5 END AS p
       FROM (SELECT *, {Q.seo_score_expr()} AS score FROM {Q.seo_factors_cte(SQL_LATEST)}))"""
 
@@ -666,7 +674,7 @@ g AS (SELECT origin, CAST(CASE WHEN _n > 1 THEN _pos // {NT.MAX_URLS_PER_BATCH}
 b AS (SELECT origin, chunk, {fh} AS host, '{NOTIFY_KEY}' AS key, {fs} || '://' || {fh} || '/{NOTIFY_KEY}.txt' AS keyLocation,
       urlList, CAST(len(urlList) AS BIGINT) AS n_urls FROM g)
 SELECT origin, chunk, host, key, keyLocation, n_urls,
-  to_json({{'host': host, 'key': key, 'keyLocation': keyLocation, 'urlList': urlList}}) AS payload FROM b"""
+  CAST(to_json({{'host': host, 'key': key, 'keyLocation': keyLocation, 'urlList': urlList}}) AS VARCHAR) AS payload FROM b"""
 
 
 def batches(spark, sf_dir):
@@ -845,13 +853,21 @@ from sitelens.sources import io as IO  # noqa: E402
 @register("extract_pages", None)
 def extract_pages(spark, sf_dir):
     """One parser pass per page (selector content, metadata, images, JSON-LD, mobile signals)."""
-    e = EX.extract_pages(read_table(spark, sf_dir, "pages"))
+    e = EX.extract_pages(read_table(spark, sf_dir, "pages")).withColumn("status_code", F.lit(200))
     return e.select("page_id", "url", "title", F.length("content").cast("long").alias("content_length"),
                     F.md5("content").alias("content_md5"), F.col("metadata")["title"].alias("meta_title"),
                     F.size("images").cast("long").alias("n_images"), F.size("structured_data").cast("long").alias("n_jsonld"),
+                    F.size("og_tags").cast("long").alias("n_og_tags"), F.col("mobile_app_data").isNotNull().alias("has_app_data"),
+                    EX.has_mobile_redirect(status_col="status_code", headers_col=None).alias("has_mobile_redirect"),
                     "viewport_meta", "amp_url", "text_length", "error")
 
 
+@register("jsonld_validity", None)
+def jsonld_validity(spark, sf_dir):
+    """Every JSON-LD block of every page: parses or not, and its @type."""
+    return EX.validate_jsonld(EX.extract_pages(read_table(spark, sf_dir, "pages")))
+
+
 @register("page_images", None)
 def page_images(spark, sf_dir):
     """D5 + H2: image candidates of every page, resolved, first tag type per URL."""
