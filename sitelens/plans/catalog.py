@@ -976,3 +976,13 @@ def stream_index(spark, sf_dir):
     q.awaitTermination()
     docs, _ = ST.read_latest_index(spark, f"{base}/index")
     return docs.select("doc_id", "url", "title")
+
+
+@register("conversation_text", f"""SELECT conv_id, turn, role, CAST(len({Q.tokenize('text')}) AS BIGINT) AS n_keywords,
+  array_to_string(list_slice(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), {Q.lit(T.SENTENCE)}),
+    lambda s: trim(s)), lambda s: length(s) > 0), 1, 3), ' ') AS summary FROM conversations""")
+def conversation_text(spark, sf_dir):
+    """K1 + K2 over every conversation turn: keyword count and three-sentence summary."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", "role", F.size(T.keywords("text")).cast("long").alias("n_keywords"),
+                    T.summary("text").alias("summary"))
