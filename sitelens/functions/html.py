@@ -32,22 +32,27 @@ OG_RE = r"""(?is)<meta[^>]*property\s*=\s*["']og:"""
 JS_FRAMEWORK_RE = r"(?i)(react|vue|angular)"
 JS_HEAVY_SCRIPT_COUNT = 10
 
-# named/numeric entities decoded in extracted text ("&amp;" last
-# so that "&amp;lt;" becomes "&lt;" and not "<").
+# named/numeric entities decoded in extracted text. The legacy
+# names (all but apos) also decode without the semicolon, as HTML5 parsers do;
+# "&amp" comes last so a decoded "&" never starts another entity.
 ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
+    ("lt", "<", True), ("gt", ">", True), ("quot", '"', True), ("#39", "'", True), ("apos", "'", False),
+    ("nbsp", " ", True), ("copy", "©", True), ("middot", "·", True), ("amp", "&", True),
 ]
 
 
+def entity_pattern(name: str, legacy: bool) -> str:
+    return f"&{name};?" if legacy else f"&{name};"
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def decode_entities(col) -> Column:
     c = _c(col)
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
+    for name, ch, legacy in ENTITIES:
+        c = F.regexp_replace(c, entity_pattern(name, legacy), ch)
     return c
 
 

@@ -850,7 +850,7 @@ from sitelens.operators import images as IM  # noqa: E402
 from sitelens.sources import io as IO  # noqa: E402
 
 
-@register("extract_pages", None)
+@register("extract_pages", Q.extract_pages_sql())
 def extract_pages(spark, sf_dir):
     """One parser pass per page (selector content, metadata, images, JSON-LD, mobile signals)."""
     e = EX.extract_pages(read_table(spark, sf_dir, "pages")).withColumn("status_code", F.lit(200))
