@@ -47,7 +47,8 @@ def _tiebreak(df: DataFrame) -> list[Column]:
 
 
 def _ts(col: str = "crawl_time") -> Column:
-    return F.coalesce(F.to_timestamp(F.col(col)), F.to_timestamp(F.lit(EPOCH_ISO)))
+    # crawl times are zone-less ISO strings: compare them as wall-clock values
+    return F.coalesce(F.to_timestamp_ntz(F.col(col)), F.to_timestamp_ntz(F.lit(EPOCH_ISO)))
 
 
 def sort_results(df: DataFrame, order: str = "date_desc", term: str | None = None) -> DataFrame:

@@ -39,13 +39,14 @@ def crawl_stats(results: DataFrame, run_cols=("seed", "crawler_type"), time_col:
     runs = results.groupBy(*run_cols).agg(
         F.max(has_err.cast("int")).alias("_failed"),
         F.count(F.lit(1)).alias("_rows"),
-        F.min(F.to_timestamp(time_col)).alias("_t0"),
-        F.max(F.to_timestamp(time_col)).alias("_t1"),
+        F.min(F.to_timestamp_ntz(time_col)).alias("_t0"),
+        F.max(F.to_timestamp_ntz(time_col)).alias("_t1"),
     )
     return runs.agg(
         F.count_if(F.col("_failed") == 0).alias("urls_crawled"),
         F.coalesce(F.sum(F.when(F.col("_failed") == 0, F.col("_rows"))), F.lit(0)).cast("long").alias("pages_indexed"),
         F.count_if(F.col("_failed") == 1).alias("errors"),
-        F.min("_t0").cast("double").alias("start_time"),
-        (F.max("_t1").cast("double") - F.min("_t0").cast("double")).alias("duration"),
+        # zone-less crawl times: seconds since the epoch read as wall-clock UTC
+        F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.min("_t0")).cast("double").alias("start_time"),
+        F.timestamp_diff("SECOND", F.min("_t0"), F.max("_t1")).cast("double").alias("duration"),
     )

@@ -29,7 +29,8 @@ def page_records(spark, sf_dir: str) -> DataFrame:
     time of 2024-01-01 + page_id minutes (ISO string) and a crawler type."""
     p = pages(spark, sf_dir)
     slashes = F.length(path("url")) - F.length(F.replace(path("url"), F.lit("/"), F.lit("")))
-    ts = F.to_timestamp(F.lit(EPOCH)) + F.make_dt_interval(mins=F.col("page_id"))
+    # wall-clock arithmetic without a time zone (no DST shifts whatever the session zone)
+    ts = F.to_timestamp_ntz(F.lit(EPOCH)) + F.make_dt_interval(mins=F.col("page_id"))
     ctype = F.element_at(F.array(*[F.lit(t) for t in CRAWLER_TYPES]), (F.col("page_id") % 3 + 1).cast("int"))
     return p.select(
         "page_id", "url", "html",
@@ -48,7 +49,7 @@ def page_versions(spark, sf_dir: str) -> DataFrame:
     r = page_records(spark, sf_dir).withColumn("seq", F.col("page_id") * 2)
     later = (
         r.where(F.col("page_id") % 4 == 0)
-        .withColumn("crawl_time", F.date_format(F.to_timestamp("crawl_time") + F.expr("INTERVAL 1 DAY"), ISO))
+        .withColumn("crawl_time", F.date_format(F.to_timestamp_ntz("crawl_time") + F.expr("INTERVAL 1 DAY"), ISO))
         .withColumn("html", F.when(F.col("page_id") % 8 == 0, F.concat("html", F.lit("<!-- v2 -->"))).otherwise(F.col("html")))
         .withColumn("seq", F.col("seq") + 1)
     )
