@@ -120,3 +120,58 @@ def has_og_tags(col) -> Column:
 
 def hreflangs(col) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(HREFLANG_RE), 1)
+
+
+# --------------------------------------------------------------------------- tags and attributes as columns
+# Tag-level extraction stays in the JVM: ``tags`` lists the start tags of one
+# element name, ``attr`` reads an attribute from such a tag string whatever the
+# attribute order or quoting (names case-insensitive, values entity-decoded).
+
+CSS_BG_RE = r"""background-image:\s*url\(\s*['"]?([^'")\s]+)['"]?\s*\)"""
+
+
+def tags(col, name: str) -> Column:
+    """Start tags ``<name ...>`` in document order (array<string>)."""
+    return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(rf"(?is)<{name}\b[^>]*>"), 0)
+
+
+def blocks(col, name: str) -> Column:
+    """Whole elements ``<name ...>...</name>`` (non-nested), in order."""
+    return F.regexp_extract_all(F.coalesce(_c(col), F.lit("")), F.lit(rf"(?is)<{name}\b.*?</{name}\s*>"), 0)
+
+
+def _attr_re(name: str) -> str:
+    return rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def has_attr(tag: Column, name: str) -> Column:
+    return tag.rlike(rf"(?is)\s{name}(?:\s*=|(?=[\s/>]))")
+
+
+def attr(tag: Column, name: str) -> Column:
+    """Attribute value of a start-tag string; '' for a bare attribute, null
+    when absent. One regex finds the (possibly quoted) value; quotes are cut
+    and entities decoded only when an '&' is present."""
+    from sitelens.functions.urls import let
+
+    def value(v):
+        q = v.startswith('"') | v.startswith("'")
+        unq = F.when(q, F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        return let(unq, lambda u: F.when(u.contains("&"), decode_entities(u)).otherwise(u))
+
+    raw = F.regexp_extract(tag, _attr_re(name), 1)
+    return let(raw, lambda v: F.when(F.length(v) > 0, value(v)).when(has_attr(tag, name), F.lit("")))
+
+
+def first_attr(tag_list: Column, pred, name: str) -> Column:
+    """``name`` of the first tag satisfying ``pred`` that carries ``name``."""
+    hit = F.filter(tag_list, lambda t: pred(t) & has_attr(t, name))
+    return F.when(F.size(hit) > 0, attr(F.element_at(hit, 1), name))
+
+
+def last_wins_map(entries: Column) -> Column:
+    """map_from_entries keeping the last value of a repeated key."""
+    n = F.size(entries)
+    kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(n - i - 1, F.lit(1))),
+                                                     lambda later: later["key"] == e["key"]) | (i + 1 == n))
+    return F.map_from_entries(kept)

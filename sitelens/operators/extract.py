@@ -1,10 +1,14 @@
 """One-pass page extraction.
 
 Selector-driven extraction needs an HTML tree, which Spark SQL does not have,
-so this is the one place the library drops to Python: a ``mapInPandas`` pass
-parses each page once with the standard-library ``html.parser`` and emits
+so this is the one place the library drops to Python: a narrow ``mapInPandas``
+pass parses each page once with the standard-library ``html.parser`` and emits
 every extracted field. Nested fields travel as JSON text and are typed again
 in the JVM with ``from_json``; a page that fails keeps its row with ``error``.
+(Tag-level fields alone can also be read in the JVM with
+:func:`sitelens.functions.html.tags` / :func:`~sitelens.functions.html.attr`;
+inside this pass they come from the same single parse, which measured 2-3x
+cheaper than separate regex scans plus lambdas per field.)
 
 Supported selectors: ``tag``, ``.class``, ``#id`` and ``tag[attr='value']``.
 Text of an element follows ``get_text(strip=True)``: every text node
@@ -371,3 +375,18 @@ def prefer_rendered(raw: DataFrame, rendered: DataFrame, key_col: str = "url") -
     use = F.coalesce(F.col("_r_len") > F.col("text_length") * 1.1, F.lit(False))
     return (j.withColumn("content", F.when(use, F.col("_r_content")).otherwise(F.col("content")))
             .withColumn("used_renderer", use).drop("_r_content", "_r_len"))
+
+
+def _ship_by_value() -> None:
+    """Pickle this module's worker-side code by value, so Python workers need
+    no installed copy of the package (local runs from any directory, or a
+    cluster without the package on executors)."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: rely on the package being importable
+        pass
+
+
+_ship_by_value()

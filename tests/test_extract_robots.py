@@ -146,3 +146,14 @@ def test_error_rows_are_kept(spark):
     # an unsupported selector makes every page fail: the row stays, with the error text
     r = EX.extract_pages(df, selectors=["div > p"]).first()
     assert r.page_id == 1 and r.content is None and "unsupported selector" in r.error
+
+
+def test_attributes_any_order_and_quoting(spark):
+    from sitelens.functions import html as H
+    df = spark.createDataFrame([("<meta content='a &amp; b' NAME=viewport data-x>",)], "t string")
+    r = df.select(H.attr(F.col("t"), "name").alias("n"), H.attr(F.col("t"), "content").alias("c"),
+                  H.attr(F.col("t"), "data-x").alias("x"), H.attr(F.col("t"), "missing").alias("m")).first()
+    assert (r.n, r.c, r.x, r.m) == ("viewport", "a & b", "", None)
+    tags = spark.createDataFrame([('<img src="a.png"><IMG data-src=b.png><picture><img src=c></picture>',)], "h string")
+    got = tags.select(H.tags("h", "img").alias("t"), H.blocks("h", "picture").alias("b")).first()
+    assert len(got.t) == 3 and len(got.b) == 1
