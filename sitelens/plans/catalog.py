@@ -862,13 +862,14 @@ def extract_pages(spark, sf_dir):
                     "viewport_meta", "amp_url", "text_length", "error")
 
 
-@register("jsonld_validity", None)
+@register("jsonld_validity", Q.jsonld_validity_sql())
 def jsonld_validity(spark, sf_dir):
     """Every JSON-LD block of every page: parses or not, and its @type."""
-    return EX.validate_jsonld(EX.extract_pages(read_table(spark, sf_dir, "pages")))
+    return EX.validate_jsonld(EX.extract_pages(read_table(spark, sf_dir, "pages"))).withColumn(
+        "block_pos", F.col("block_pos").cast("long"))
 
 
-@register("page_images", None)
+@register("page_images", Q.page_images_sql())
 def page_images(spark, sf_dir):
     """D5 + H2: image candidates of every page, resolved, first tag type per URL."""
     e = EX.extract_pages(read_table(spark, sf_dir, "pages"))

@@ -1,10 +1,15 @@
 """One-pass HTML extraction and robots rules on inline fixtures."""
 
+import os
+import sys
+
 from pyspark.sql import functions as F
 
 from sitelens.operators import extract as EX
 from sitelens.operators import robots as RB
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))  # for oracle_check
+
 HTML = """<!DOCTYPE html><html lang="en-US"><head><title>Main <i>title</i></title>
 <meta property="og:title" content="OG Title"><meta name="twitter:title" content="TW Title">
 <meta name="description" content="A description">
@@ -157,3 +162,21 @@ def test_attributes_any_order_and_quoting(spark):
     tags = spark.createDataFrame([('<img src="a.png"><IMG data-src=b.png><picture><img src=c></picture>',)], "h string")
     got = tags.select(H.tags("h", "img").alias("t"), H.blocks("h", "picture").alias("b")).first()
     assert len(got.t) == 3 and len(got.b) == 1
+
+
+def test_page_images_oracle_on_fixture(spark, tmp_path):
+    import duckdb
+
+    from oracle_check import digest
+    from sitelens.plans import oracle_sql as Q
+    path = str(tmp_path / "pages.parquet")
+    spark.createDataFrame([(1, "https://ex.com/a/page", HTML), (2, "https://ex.com/b", "<p>none</p>")],
+                          "page_id long, url string, html string").coalesce(1).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    exp = digest(con.execute(Q.page_images_sql()).fetchdf())
+    got = digest(EX.page_images(EX.extract_pages(spark.read.parquet(path))).select("page_url", "url", "tag_type", "pos").toPandas())
+    assert got[:3] == exp[:3] and got[0] == 6, (got[3], exp[3])
+    jexp = digest(con.execute(Q.jsonld_validity_sql()).fetchdf())
+    jgot = digest(EX.validate_jsonld(EX.extract_pages(spark.read.parquet(path))).withColumn("block_pos", F.col("block_pos").cast("long")).toPandas())
+    assert jgot[:3] == jexp[:3] and jgot[0] == 2, (jgot[3], jexp[3])
