@@ -138,3 +138,14 @@ def test_substring_matches_random(spark):
     got = {(r.term, r.token) for r in IX._substring_matches(v, q).collect()}
     exp = {(a, b) for a in terms for b in toks if b in a}
     assert got == exp
+
+
+def test_dense_ids_hot_group_spans_partitions(spark):
+    # one group holds 90% of the rows: its positions must still be 0..n-1,
+    # numbered across several range partitions instead of one task
+    hot = spark.range(0, 9000).select(F.lit("hot").alias("g"), F.col("id").alias("k"))
+    cold = spark.range(0, 1000).select((F.col("id") % 10).cast("string").alias("g"), F.col("id").alias("k"))
+    rows = dense_ids(hot.unionByName(cold), "k", "pos", group_by="g")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 1
+    hot_pos = [r.pos for r in rows.where("g = 'hot'").orderBy("k").collect()]
+    assert hot_pos == list(range(9000))
