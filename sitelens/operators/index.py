@@ -146,13 +146,31 @@ def search_batch(postings: DataFrame, queries: DataFrame, limit: int = DEFAULT_L
 def search(docs: DataFrame, postings: DataFrame, query: str, limit: int = DEFAULT_LIMIT,
            vocab: DataFrame | None = None) -> DataFrame:
     """One query -> top ``limit`` documents (rank, doc_id, url, title, score).
-    Empty or stopword-only queries give no rows."""
+    Empty or stopword-only queries give no rows.
+
+    A single query has a handful of tokens (a parameter, tokenised once by the
+    same column function as the index), so the contains-match becomes one
+    codegen'd expression over the postings stream: each posting scores
+    sum(weight of every token its term contains), then a per-document sum
+    with map-side partial aggregation and a top-k. One pass over the
+    postings, no vocabulary or join; ``vocab`` is accepted for API symmetry.
+    """
     spark = postings.sparkSession
-    q = spark.createDataFrame([(0, query or "")], "query_id long, query string")
-    hits = search_batch(postings, q, limit, vocab=vocab).drop("query_id")
-    return hits.join(docs.select("doc_id", "url", "title"), "doc_id").select(
-        "rank", "doc_id", "url", "title", "score"
-    )
+    toks = [r.token for r in spark.createDataFrame([(query or "",)], "q string")
+            .select(F.explode(tokenize(F.col("q"))).alias("token")).collect()]  # tokens of one query string
+    if not toks:
+        return spark.createDataFrame([], "rank long, doc_id long, url string, title string, score long")
+    weights: dict[str, int] = {}
+    for t in toks:
+        weights[t] = weights.get(t, 0) + 1
+    hit = sum((F.when(F.instr(F.col("term"), t) > 0, F.lit(w)).otherwise(F.lit(0)) for t, w in weights.items()),
+              F.lit(0))
+    scored = (postings.select("doc_id", hit.alias("w")).where(F.col("w") > 0)
+              .groupBy("doc_id").agg(F.sum("w").cast("long").alias("score")))
+    top = scored.orderBy(F.col("score").desc(), F.col("doc_id").asc()).limit(limit)
+    w = Window.orderBy(F.col("score").desc(), F.col("doc_id").asc())  # numbers at most `limit` rows
+    ranked = top.withColumn("rank", F.row_number().over(w).cast("long"))
+    return ranked.join(docs.select("doc_id", "url", "title"), "doc_id").select("rank", "doc_id", "url", "title", "score")
 
 
 # Field boosts of the boosted search (title, url, description, content).
