@@ -153,7 +153,8 @@ def search(docs: DataFrame, postings: DataFrame, query: str, limit: int = DEFAUL
     codegen'd expression over the postings stream: each posting scores
     sum(weight of every token its term contains), then a per-document sum
     with map-side partial aggregation and a top-k. One pass over the
-    postings, no vocabulary or join; ``vocab`` is accepted for API symmetry.
+    postings, no vocabulary or join (``vocab`` is not needed here and is
+    accepted only so callers can pass the same arguments as to search_batch).
     """
     spark = postings.sparkSession
     toks = [r.token for r in spark.createDataFrame([(query or "",)], "q string")
@@ -182,10 +183,9 @@ def search_boosted(df: DataFrame, query: str, limit: int = BOOSTED_MAX_RESULTS,
                    id_col: str = "doc_id") -> DataFrame:
     """Per field, count query tokens contained (case-insensitive) in the
     field, multiply by the field boost, sum; keep score > 0; top ``limit``."""
-    from sitelens.functions.text import tokenize as _tok
     spark = df.sparkSession
     toks = [r[0] for r in spark.createDataFrame([(query or "",)], "q string")
-            .select(F.explode(_tok(F.col("q")))).collect()]  # tokens of one query string
+            .select(F.explode(tokenize(F.col("q")))).collect()]  # tokens of one query string
     score = F.lit(0.0)
     for field, boost in BOOSTS.items():
         if field not in df.columns or not toks:

@@ -180,3 +180,12 @@ def test_page_images_oracle_on_fixture(spark, tmp_path):
     jexp = digest(con.execute(Q.jsonld_validity_sql()).fetchdf())
     jgot = digest(EX.validate_jsonld(EX.extract_pages(spark.read.parquet(path))).withColumn("block_pos", F.col("block_pos").cast("long")).toPandas())
     assert jgot[:3] == jexp[:3] and jgot[0] == 2, (jgot[3], jexp[3])
+
+
+def test_mobile_redirect_from_location_header(spark):
+    df = spark.createDataFrame([
+        (301, {"Location": "https://m.ex.com/"}, None), (302, {"Location": "https://ex.com/desk"}, None),
+        (200, {}, "0; url=https://ex.com/mobile/"), (200, None, "0;URL=https://ex.com/")],
+        "status_code int, headers map<string,string>, meta_refresh string")
+    got = [r[0] for r in df.select(EX.has_mobile_redirect()).collect()]
+    assert got == [True, False, True, False]
