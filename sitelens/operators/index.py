@@ -211,14 +211,14 @@ def upsert_documents(docs: DataFrame, postings: DataFrame, new: DataFrame) -> tu
         incoming.withColumn("type", F.coalesce(F.col("type"), F.lit("unknown")) if "type" in incoming.columns else F.lit("unknown"))
         .withColumn("date", F.coalesce(F.col("date"), F.lit("")) if "date" in incoming.columns else F.lit(""))
     )
-    # the last row per url wins inside one batch (input order is given by `seq` if present)
-    if "seq" in incoming.columns:
-        w = Window.partitionBy("url").orderBy(F.col("seq").desc())
-        incoming = incoming.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "seq")
-    else:
-        incoming = incoming.dropDuplicates(["url"])
     cols = ["url", "title", "snippet", "type", "date"] + (["content"] if "content" in incoming.columns else [])
-    incoming = incoming.select(*cols)
+    # one row per url inside a batch: the last by `seq` when given, otherwise
+    # the greatest row (a deterministic choice, so every consumer of the batch
+    # - documents and postings - sees the same row even after a recompute)
+    rest = [c for c in cols if c != "url"]
+    key = F.struct(F.col("seq"), *[F.col(c) for c in rest]) if "seq" in incoming.columns else F.struct(*[F.col(c) for c in rest])
+    incoming = (incoming.groupBy("url").agg(F.max_by(F.struct(*[F.col(c) for c in rest]), key).alias("_r"))
+                .select("url", *[F.col(f"_r.{c}").alias(c) for c in rest]))
     matched = incoming.join(docs.select("url", "doc_id"), "url", "left")
     max_id = docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("m")).first()["m"]  # one scalar
     fresh = dense_ids(matched.where(F.col("doc_id").isNull()).drop("doc_id"), "url", "rel")

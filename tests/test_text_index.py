@@ -149,3 +149,17 @@ def test_dense_ids_hot_group_spans_partitions(spark):
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 1
     hot_pos = [r.pos for r in rows.where("g = 'hot'").orderBy("k").collect()]
     assert hot_pos == list(range(9000))
+
+
+def test_upsert_duplicate_urls_in_batch(spark):
+    docs, post = _index(spark, ROWS)
+    new = spark.createDataFrame([("https://z.com/", "Old", "first", 1), ("https://z.com/", "New", "second", 2)],
+                                "url string, title string, content string, seq long")
+    d2, p2 = IX.upsert_documents(docs, post, new)
+    row = d2.where("url = 'https://z.com/'").collect()
+    assert len(row) == 1 and row[0].title == "New"
+    assert {r.term for r in p2.where(f"doc_id = {row[0].doc_id}").collect()} == {"new", "second"}
+    # without seq the choice is deterministic (the greatest row) for documents and postings alike
+    d3, p3 = IX.upsert_documents(docs, post, new.drop("seq"))
+    r3 = d3.where("url = 'https://z.com/'").first()
+    assert r3.title == "Old" and {r.term for r in p3.where(f"doc_id = {r3.doc_id}").collect()} == {"old", "first"}
