@@ -16,12 +16,12 @@ def changed_pages(prev: DataFrame, cur: DataFrame, url_col: str = "url", html_co
     """F8: status of every current row against the previous snapshot:
     'new' (url unseen), 'unchanged' (same ETag; else same Last-Modified; else
     same body md5) or 'changed'."""
+    # one previous snapshot per url; with repeats the greatest (etag, last-modified, md5) - a deterministic choice
     p = prev.select(
         F.col(url_col).alias("_u"),
-        _header(prev, "ETag").alias("_etag"),
-        _header(prev, "Last-Modified").alias("_lm"),
-        F.md5(F.col(html_col)).alias("_md5"),
-    ).dropDuplicates(["_u"])
+        F.struct(_header(prev, "ETag").alias("_etag"), _header(prev, "Last-Modified").alias("_lm"),
+                 F.md5(F.col(html_col)).alias("_md5")).alias("_s"),
+    ).groupBy("_u").agg(F.max("_s").alias("_s")).select("_u", "_s.*")
     c = cur.select("*", _header(cur, "ETag").alias("etag_"), _header(cur, "Last-Modified").alias("lm_"),
                    F.md5(F.col(html_col)).alias("md5_"))
     j = c.join(p, c[url_col] == p["_u"], "left")
