@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,19 +38,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint dir; only when unset (tests, local runs)
-    create one under /tmp. On a cluster spark.checkpoint.dir must point to
-    shared storage and is never overridden here."""
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names in spark.checkpoint.dir (read from the session, never overridden).
+
+    Only a local master may run without one (tests, bench): it gets a folder under /tmp. On a cluster a machine-local
+    folder would lose data, so an unset folder is an error there."""
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not current:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="sitelens-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    else:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(current)
     return current
 
 
