@@ -23,9 +23,9 @@ from llm.chunks import ChunkEncoder
 from llm.common import documents, narrow, record_batch, slices
 
 #: Distinct words, and ids, that one DuckDB query handles at most, beside a longer single text.
-WORDS_AT_ONCE = 50_000
-IDS_AT_ONCE = 1_000_000
-MEMORY = "300MB"
+WORDS_AT_ONCE = 30_000
+IDS_AT_ONCE = 500_000
+MEMORY = "200MB"
 
 # The merge table holds each split of a token into two tokens, under one key for the pair; the rank of a merge is the id
 # that it makes. `alone`: the new token has a merge of a lower rank than its own, so later pairs of that rank must wait.
@@ -99,28 +99,32 @@ class DuckBPE:
         self.db.execute(_TABLES)
         # the library's \s is White_Space, as in the regex module
         self.split = regex.compile(pattern).findall
-        self.words: dict[str, list[int]] = {}
-        self.encoder = ChunkEncoder(self._chunks)
-
-    def _chunks(self, chunks: list[str]) -> list[list[int]]:
-        if len(self.words) > 1_000_000:
-            self.words.clear()
-        split = [self.split(c) for c in chunks]
-        known = self.words
-        fresh = list(dict.fromkeys(w for ws in split for w in ws if w not in known))
-        for i in range(0, len(fresh), WORDS_AT_ONCE):
-            some = fresh[i : i + WORDS_AT_ONCE]
-            known.update(zip(some, self.encode_words(some)))
-        return [known[ws[0]] if len(ws) == 1 else [x for w in ws for x in known[w]] for ws in split]
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+        self.encoder = ChunkEncoder(self._units)
+
+    def _units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units one after the other, and how many each has: each pre-token is encoded apart."""
+        split = [self.split(u) for u in units]
+        words = dict.fromkeys(w for ws in split for w in ws)
+        words = dict(zip(words, range(len(words))))
+        parts, sizes = [], []
+        distinct = list(words)
+        for i in range(0, len(distinct), WORDS_AT_ONCE):
+            ids, counts = self.encode_words(distinct[i : i + WORDS_AT_ONCE])
+            parts.append(ids)
+            sizes.append(counts)
+        ids, sizes = np.concatenate(parts or [[]]), np.concatenate(sizes or [[]]).astype(np.int64)
+        used = np.fromiter((words[w] for ws in split for w in ws), np.int64)
+        per_unit = np.fromiter(map(len, split), np.int64, len(split))
+        ends = np.concatenate([[0], np.cumsum(sizes[used])])
+        counts = np.diff(ends[np.concatenate([[0], np.cumsum(per_unit)])])
+        return self.encoder._runs(ids, (np.cumsum(sizes) - sizes)[used], sizes[used]), counts
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = pa.table({"w": pa.array(range(len(words)), pa.int32()), "hex": [w.encode().hex() for w in words]})
         self.db.register("words", table)
         got = self.db.execute(_ENCODE).fetchnumpy()
         self.db.unregister("words")
-        ends = np.searchsorted(got["w"], np.arange(len(words) + 1))
-        ids = got["tok"].tolist()
-        return [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        return got["tok"].astype(np.int32), np.bincount(got["w"], minlength=len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.encoder(texts)

@@ -1,8 +1,9 @@
-"""Texts as codes of distinct chunks, so that a tokenizer sees each distinct piece of text once per worker.
+"""Texts as codes of distinct units, so that a tokenizer sees each distinct piece of text once per worker.
 
 A chunk is a run of white space with the run of other characters after it (or white space at the end of a text). No
-pre-token of the byte-level pattern reaches over a place where white space follows something else, so the ids of a text
-are those of its chunks in order. For tokenizers that drop white space the chunks are what stands between it.
+pre-token of the byte-level pattern reaches over a place where white space follows something else, nor from a letter to
+a full stop or comma after it; a unit is a chunk, or its part before or within such a tail. The ids of a text are those
+of its units in order. For tokenizers that drop white space the chunks are what stands between it.
 """
 
 from __future__ import annotations
@@ -16,15 +17,13 @@ import pyarrow.compute as pc
 from llm.common import WHITE_SPACE
 
 _CHUNK = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
-#: Texts where a space stands beside other white space, or that hold the mark used below, take the slow split.
-_RE2_SPACE = (
-    r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-_MIXED = f"\\x00| [{_RE2_SPACE}]|[{_RE2_SPACE}] "
-#: A letter before one of these ends a pre-token, so a chunk's tail of them is encoded apart.
+_RE2_SPACE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: Texts where a space or line end stands beside other white space, or that hold the mark, take the slow split.
+_MIXED = f"\\x00|[ \\n][{_RE2_SPACE}]|[{_RE2_SPACE}][ \\n]"
 _TAIL = ".,"
-#: Distinct chunks that a worker remembers; beyond, it starts anew (a bound on memory, not on what is encoded).
-REMEMBERED = 600_000
+_TAILED = r"\pL[.,]+$"
+#: Distinct units that a worker remembers; beyond, it starts anew (a bound on memory, not on what is encoded).
+REMEMBERED = 1_000_000
 
 
 class _Codes(dict):
@@ -34,7 +33,7 @@ class _Codes(dict):
 
 
 class ChunkEncoder:
-    """Ids of texts through `encode(list of distinct strings) -> list of id lists`.
+    """Ids of texts through `encode(list of distinct strings) -> (all ids one after the other, how many each has)`.
 
     spaces=False: white space is dropped by the tokenizer and chunks are split at ASCII white space alone."""
 
@@ -43,9 +42,9 @@ class ChunkEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.codes, self.units = _Codes(), {}
-        self.flat = np.empty(1 << 16, np.int32)
-        self.starts = np.zeros(1, np.int64)
+        self.codes = _Codes({"": 0})
+        self.flat, self.held = np.empty(1 << 16, np.int32), 0
+        self.starts, self.sizes = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All chunks, and how many each text has."""
@@ -53,52 +52,70 @@ class ChunkEncoder:
             lists = pc.ascii_split_whitespace(texts)
             return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
         mixed = pc.match_substring_regex(texts, _MIXED)
-        lists = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        lists = pc.split_pattern(marked, "\0")
         if pc.any(mixed).as_py():
             slow = mixed.to_pylist()
-            texts, lists = texts.to_pylist(), lists.to_pylist()
-            lists = pa.array([_CHUNK.findall(t) if s else x for t, s, x in zip(texts, slow, lists)], pa.list_(pa.string()))
+            given = texts.to_pylist()
+            lists = lists.to_pylist()
+            lists = pa.array([_CHUNK.findall(t) if s else x for t, s, x in zip(given, slow, lists)], pa.list_(pa.string()))
         return lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
 
-    def _learn(self, chunks: list[str]) -> None:
-        parts, fresh = [], {}
-        for chunk in chunks:
-            head = chunk.rstrip(_TAIL)
-            part = (head, chunk[len(head) :]) if head and head[-1].isalpha() else (chunk, "")
-            parts.append(part)
-            for unit in part:
-                if unit and unit not in self.units:
-                    fresh[unit] = True
-        if fresh:
-            self.units.update(zip(fresh, self.encode(list(fresh))))
-        self.units[""] = ()
-        ids = [[*self.units[a], *self.units[b]] if b else self.units[a] for a, b in parts]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        held, total = int(self.starts[-1]), int(sizes.sum())
-        if held + total > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (held + total))
-        self.flat[held : held + total] = np.fromiter((x for one in ids for x in one), np.int32, total)
-        self.starts = np.concatenate([self.starts, held + np.cumsum(sizes)])
+    def _codes(self, units: pa.Array) -> np.ndarray:
+        """The code of each unit; new ones are encoded."""
+        coded = units.dictionary_encode()
+        known, distinct = len(self.codes), coded.dictionary.to_pylist()
+        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int32, len(distinct))
+        if len(self.codes) > known:
+            self._learn([distinct[i] for i in np.flatnonzero(codes >= known).tolist()], known)
+        return codes[coded.indices.to_numpy()] if len(coded) else codes
+
+    def _learn(self, units: list[str], known: int) -> None:
+        ids, sizes = self.encode(units)
+        held = self.held + len(ids)
+        if held > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(held, np.int32)])
+        self.flat[self.held : held] = ids
+        if len(self.codes) > len(self.starts):
+            self.starts, self.sizes = (
+                np.concatenate([x, np.zeros(len(self.codes), np.int32)]) for x in (self.starts, self.sizes)
+            )
+        ends = self.held + np.cumsum(sizes)
+        self.sizes[known : known + len(units)] = sizes
+        self.starts[known : known + len(units)] = ends - sizes
+        self.held = held
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
         if len(self.codes) > REMEMBERED:
             self.reset()
         chunks, counts = self._split(texts)
-        coded = chunks.dictionary_encode()
-        known = len(self.codes)
-        distinct = coded.dictionary.to_pylist()
-        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int64, len(distinct))
-        if len(self.codes) > known:
-            new = np.flatnonzero(codes >= known)
-            self._learn([distinct[i] for i in new])
-        codes = codes[coded.indices.to_numpy()] if len(coded) else np.empty(0, np.int64)
-        sizes = (self.starts[1:] - self.starts[:-1])[codes]
-        ends = np.cumsum(sizes)
-        where = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[codes] - (ends - sizes), sizes)
-        bounds = np.concatenate([[0], np.cumsum(counts)])
-        per_text = np.concatenate([[0], ends])[bounds]
-        return self.flat[where], np.diff(per_text)
+        if not len(chunks):
+            return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
+        chunks = chunks.dictionary_encode()
+        distinct, of = chunks.dictionary, chunks.indices.to_numpy()
+        tailed = pc.match_substring_regex(distinct, _TAILED)
+        heads = pc.if_else(tailed, pc.utf8_rtrim(distinct, _TAIL), distinct)
+        tail_sizes = pc.subtract(pc.utf8_length(distinct), pc.utf8_length(heads)).to_numpy(zero_copy_only=False)
+        tails = np.full(len(distinct), "", object)
+        some = np.flatnonzero(tail_sizes)
+        tails[some] = [s[-k:] for s, k in zip(distinct.take(pa.array(some)).to_pylist(), tail_sizes[some].tolist())]
+        pairs = np.stack([self._codes(heads), self._codes(pa.array(tails, pa.string()))], axis=1)
+        unit_sizes = self.sizes[pairs]
+        chunk_sizes = unit_sizes.sum(axis=1)
+        # ids of each distinct chunk, one after the other; then each occurrence is a copy of one run
+        flat = self._runs(self.flat, self.starts[pairs].ravel(), unit_sizes.ravel())
+        ids = self._runs(flat, (np.cumsum(chunk_sizes) - chunk_sizes)[of], chunk_sizes[of])
+        ends = np.concatenate([[0], np.cumsum(chunk_sizes[of], dtype=np.int64)])
+        return ids, np.diff(ends[np.concatenate([[0], np.cumsum(counts)])])
+
+    @staticmethod
+    def _runs(source: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """source[start : start + size] of each pair, joined."""
+        ends = np.cumsum(sizes, dtype=np.int64)
+        where = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        return source[where]
 
 
 _LOADED: dict = {}
@@ -118,7 +135,10 @@ def tokenizer_encoder(source: str, spaces: bool) -> ChunkEncoder:
         tokenizer.encode_special_tokens = True
 
         def encode(units):
-            return [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+            ids = [e.ids for i in range(0, len(units), 1000)
+                   for e in tokenizer.encode_batch_fast(units[i : i + 1000], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((x for one in ids for x in one), np.int32, int(sizes.sum())), sizes
 
         _LOADED.clear()
         _LOADED[key] = ChunkEncoder(encode, spaces)

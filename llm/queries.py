@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from llm.bpe import op1_byte_bpe
 from llm.quality import op6_quality_rules
+from llm.sharding import op9_hypergeometric_shards
+from llm.simhash import op3_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op6_quality_rules, op9_hypergeometric_shards)}
 
 ORACLE_SQL: dict[str, str] = {}
