@@ -73,19 +73,12 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _deal(rows: DataFrame, masks: dict[int, list[tuple[int, int]]]) -> DataFrame:
-    """One row (mask, bucket, fp) for each mask that follows the row's mask."""
-    own = [
-        F.when(
-            F.col("mask") == before,
-            F.array(*[
-                F.struct(F.lit(number).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(kept))).alias("bucket"))
-                for number, kept in after
-            ]),
-        )
-        for before, after in masks.items()
-    ]
-    return rows.select("fp", F.inline(F.coalesce(*own))).select("mask", "bucket", "fp")
+def _deal(rows: DataFrame, masks: list[tuple[int, int, int]]) -> DataFrame:
+    """One row (mask, bucket, fp) for each mask that follows the row's mask. masks: (before, number, kept bits), a table
+    whose size depends on the radius alone."""
+    table = rows.sparkSession.createDataFrame([(a, b, _signed(c)) for a, b, c in masks], "mask int, next int, kept long")
+    dealt = rows.join(F.broadcast(table), "mask")
+    return dealt.select(F.col("next").alias("mask"), F.col("fp").bitwiseAND(F.col("kept")).alias("bucket"), "fp")
 
 
 def links_within(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -111,18 +104,18 @@ def links_within(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     rows = fps.select(F.lit(0).alias("mask"), "fp")
     found = []
     while True:
-        masks = {}
+        masks = []
         for before in level:
-            masks[before] = []
             for kept in covering_masks(full & ~kept_of[before], radius):
-                masks[before].append((len(kept_of), kept | kept_of[before]))
-                kept_of[len(kept_of)] = kept | kept_of[before]
+                number = len(kept_of)
+                kept_of[number] = kept | kept_of[before]
+                masks.append((before, number, kept_of[number]))
         dealt = stage(_deal(rows, masks), "buckets")
         sizes = dealt.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
         sized = dealt.join(sizes, ["mask", "bucket"])
         groups = sized.where(F.col("n") <= bucket).groupBy("mask", "bucket").agg(F.collect_list("fp").alias("fps"))
         found.append(groups.select(F.inline(compared("fps"))))
-        level = [number for after in masks.values() for number, _ in after]
+        level = [number for _, number, _ in masks]
         most = max((full & ~kept_of[m]).bit_count() for m in level)
         if 1 << most <= bucket or sizes.where(F.col("n") > bucket).isEmpty():
             break
