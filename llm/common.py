@@ -6,7 +6,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.session import ensure_checkpoint_dir, read_table
@@ -82,3 +82,15 @@ def range_bucket(column: Column, bounds: list) -> Column:
     start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
     rounds = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
     return F.aggregate(rounds, start, step, lambda s: s["lo"])
+
+
+def ranked(rows: DataFrame, part: str, group: str, order: list, name: str) -> DataFrame:
+    """`rows` (a staged table) with 0, 1, ... inside each value of `group`, counted by partition column `part` first, so
+    that a group of any size is numbered in pieces of one partition each."""
+    before = F.sum("n").over(Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy(part, group).agg(F.count("*").alias("n")).select(
+        part, group, F.coalesce(before, F.lit(0)).alias("__before")
+    )
+    inside = F.row_number().over(Window.partitionBy(part, group).orderBy(*order)) - 1
+    numbered = rows.withColumn("__inside", inside).join(offsets, [part, group])
+    return numbered.withColumn(name, F.col("__before") + F.col("__inside")).drop("__before", "__inside")

@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from llm.bpe import op1_byte_bpe
+from llm.packing import op7_best_fit_packing
 from llm.quality import op6_quality_rules
 from llm.sharding import op9_hypergeometric_shards
 from llm.simhash import op3_simhash_near_dedup
+from llm.wavelet import op8_wavelet_shards
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_simhash_near_dedup, op6_quality_rules, op9_hypergeometric_shards)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op3_simhash_near_dedup,
+        op6_quality_rules,
+        op7_best_fit_packing,
+        op8_wavelet_shards,
+        op9_hypergeometric_shards,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
