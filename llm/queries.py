@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from llm.bpe import op1_byte_bpe
+from llm.minhash import op2_minhash_fingerprints
 from llm.packing import op7_best_fit_packing
 from llm.quality import op6_quality_rules
 from llm.sharding import op9_hypergeometric_shards
@@ -13,6 +14,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe,
+        op2_minhash_fingerprints,
         op3_simhash_near_dedup,
         op6_quality_rules,
         op7_best_fit_packing,
