@@ -8,6 +8,7 @@ from llm.packing import op7_best_fit_packing
 from llm.quality import op6_quality_rules
 from llm.sharding import op9_hypergeometric_shards
 from llm.simhash import op3_simhash_near_dedup
+from llm.suffix_dedup import op10_suffix_dedup
 from llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
         op7_best_fit_packing,
         op8_wavelet_shards,
         op9_hypergeometric_shards,
+        op10_suffix_dedup,
     )
 }
 
