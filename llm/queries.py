@@ -5,6 +5,7 @@ from __future__ import annotations
 from llm.bpe import op1_byte_bpe
 from llm.minhash import op2_minhash_fingerprints
 from llm.packing import op7_best_fit_packing
+from llm.pii import op5_private_data
 from llm.quality import op6_quality_rules
 from llm.sharding import op9_hypergeometric_shards
 from llm.simhash import op3_simhash_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
         op1_byte_bpe,
         op2_minhash_fingerprints,
         op3_simhash_near_dedup,
+        op5_private_data,
         op6_quality_rules,
         op7_best_fit_packing,
         op8_wavelet_shards,
