@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from llm.bpe import op1_byte_bpe
+from llm.classlm import op4_brown_class_lm
 from llm.minhash import op2_minhash_fingerprints
 from llm.packing import op7_best_fit_packing
 from llm.pii import op5_private_data
@@ -18,6 +19,7 @@ QUERIES = {
         op1_byte_bpe,
         op2_minhash_fingerprints,
         op3_simhash_near_dedup,
+        op4_brown_class_lm,
         op5_private_data,
         op6_quality_rules,
         op7_best_fit_packing,
