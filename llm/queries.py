@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from llm.bpe import op1_byte_bpe
 from llm.classlm import op4_brown_class_lm
 from llm.minhash import op2_minhash_fingerprints
@@ -27,6 +28,8 @@ QUERIES = {
         op9_hypergeometric_shards,
         op10_suffix_dedup,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
