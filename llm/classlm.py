@@ -166,7 +166,8 @@ def best_class(left: np.ndarray, right: np.ndarray, own: float, now: int, table:
     m[now, :] -= right
     m[now, now] -= own
     m = np.maximum(m, 0)
-    rows, columns = m.sum(axis=1), m.sum(axis=0)
+    # a class keeps its bigrams with the word wherever that goes
+    rows, columns = m.sum(axis=1) + left, m.sum(axis=0) + right
     # the word's own class stands on the diagonal, where both sides and the word itself meet
     gain = (_f(m + left[:, None]) - _f(m)).sum(axis=0) + (_f(m + right[None, :]) - _f(m)).sum(axis=1)
     d = np.diag(m)

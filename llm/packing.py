@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.chunks import tokenizer_encoder
+from llm.chunks import ENCODE_BYTES, tokenizer_encoder
 from llm.common import documents, narrow, ranked, record_batch, slices, stage
 
 #: Fixed values of the contract.
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
     def cut(batches):
         encoder = tokenizer_encoder(source, False)
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODE_BYTES):
             flat, counts = encoder(batch.column("text"))
             ends = np.cumsum(counts + 1)
             ids = np.full(int(ends[-1]), end_id, "<u4")
@@ -216,8 +216,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
         found = table[np.searchsorted(keys, length.to_numpy() * (1 << 48) + rank.to_numpy(), "right") - 1]
         return pd.DataFrame({"sequence_id": found[:, 2] + rank.to_numpy() - found[:, 1], "offset": found[:, 3]})
 
-    numbered = ranked(rows, "__part", "length", ["doc_id", "piece"], "__rank").drop("__part")
-    return numbered.withColumn("__place", place("length", "__rank")).select("*", "__place.*").drop("__rank", "__place")
+    numbered = ranked(rows, "__part", "length", ["doc_id", "piece"], "__rank")
+    return numbered.withColumn("__place", place("length", "__rank")).select(*pieces.columns, "__place.*")
 
 
 def op7_best_fit_packing(spark, sf_dir: str) -> DataFrame:
