@@ -57,8 +57,8 @@ def py_strip(col) -> Column:
 
 
 def form_decode(col) -> Column:
-    """``unquote_plus``: '+' is a space, then percent-decoding; a malformed escape keeps the raw text."""
-    c = _c(col)
+    """``unquote_plus``: '+' is a space, then percent-decoding; a '%' that starts no escape is kept."""
+    c = F.regexp_replace(_c(col), "%(?![0-9A-Fa-f]{2})", "%25")
     return F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
 
 

@@ -17,7 +17,6 @@ from sitelens.functions.text import snippet
 from sitelens.plans.ids import dense_ids
 
 PAGE_SIZE = 10
-TOPK_PAGE_LIMIT = 100_000
 FEED_SIZE = 1000
 EPOCH_ISO = "1970-01-01T00:00:00"
 
@@ -48,7 +47,7 @@ def _tiebreak(df: DataFrame) -> list[Column]:
 
 def _ts(col: str = "crawl_time") -> Column:
     # crawl times are zone-less ISO strings: compare them as wall-clock values
-    return F.coalesce(F.to_timestamp_ntz(F.col(col)), F.to_timestamp_ntz(F.lit(EPOCH_ISO)))
+    return F.coalesce(F.col(col).try_cast("timestamp_ntz"), F.to_timestamp_ntz(F.lit(EPOCH_ISO)))
 
 
 def sort_results(df: DataFrame, order: str = "date_desc", term: str | None = None) -> DataFrame:
@@ -75,22 +74,27 @@ def paginate(df: DataFrame, order: list[tuple[Column, bool]], page: int = 1, siz
     """H7: rows of page ``page`` (1-based, ``size`` rows) in a total order
     given as (expression, ascending) pairs, with their 1-based ``position``.
 
-    Early pages are a bounded take-ordered step (each partition keeps only
-    ``offset + size`` rows); deep pages number the whole order with
-    distributed dense ids and filter the range, so no task ever holds
-    ``offset`` rows.
+    The sort keys alone are numbered with distributed dense ids, whatever the
+    page; the keys of the page's first row (one driver row) then select the
+    wide rows from there on, of which a take-ordered step keeps ``size``.
+    Rows with equal keys are interchangeable. Keys must not be null.
     """
     start = (max(page, 1) - 1) * size
-    if start + size <= TOPK_PAGE_LIMIT:
-        ordered = df.orderBy(*_orders(order))
-        rows = ordered.offset(start).limit(size) if start else ordered.limit(size)
-        w = Window.orderBy(*_orders(order))  # numbers at most `size` rows
-        return rows.withColumn("position", (F.row_number().over(w) + start).cast("long"))
-    keys = [f"_o{i}" for i in range(len(order))]
-    keyed = df.select("*", *[e.alias(k) for (e, _), k in zip(order, keys)])
-    numbered = dense_ids(keyed, _orders([(F.col(k), asc) for (_, asc), k in zip(order, keys)]), "_pos")
-    return (numbered.where((F.col("_pos") >= start) & (F.col("_pos") < start + size))
-            .withColumn("position", (F.col("_pos") + 1).cast("long")).drop("_pos", *keys))
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = df.select(*[e.alias(k) for (e, _), k in zip(order, names)])
+    spec = [(F.col(k), asc) for (_, asc), k in zip(order, names)]
+    numbered = dense_ids(keys, _orders(spec), "_pos")
+    first = numbered.where(F.col("_pos") == start).first()
+    w = Window.orderBy(*_orders(order))  # numbers at most `size` rows
+    position = (F.row_number().over(w) + start).cast("long")
+    if first is None:
+        return df.where(F.lit(False)).withColumn("position", F.lit(None).cast("long"))
+    # at or after the first row's keys, compared one key after the other
+    reached = F.lit(True)
+    for (e, asc), k in reversed(list(zip(order, names))):
+        bound = F.lit(first[k]).cast(keys.schema[k].dataType)
+        reached = ((e > bound) if asc else (e < bound)) | ((e == bound) & reached)
+    return df.where(reached).orderBy(*_orders(order)).limit(size).withColumn("position", position)
 
 
 def _orders(spec: list[tuple[Column, bool]]) -> list[Column]:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def _header(df: DataFrame, name: str):
+    """A header's value, whatever the case of its name (HTTP/2 sends lower case)."""
     if "headers" in df.columns:
-        return F.col("headers")[name]
+        hits = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name.lower())
+        return F.get(hits, 0)["value"]
     return F.lit(None).cast("string")
 
 
@@ -39,8 +41,8 @@ def crawl_stats(results: DataFrame, run_cols=("seed", "crawler_type"), time_col:
     runs = results.groupBy(*run_cols).agg(
         F.max(has_err.cast("int")).alias("_failed"),
         F.count(F.lit(1)).alias("_rows"),
-        F.min(F.to_timestamp_ntz(time_col)).alias("_t0"),
-        F.max(F.to_timestamp_ntz(time_col)).alias("_t1"),
+        F.min(F.col(time_col).try_cast("timestamp_ntz")).alias("_t0"),
+        F.max(F.col(time_col).try_cast("timestamp_ntz")).alias("_t1"),
     )
     return runs.agg(
         F.count_if(F.col("_failed") == 0).alias("urls_crawled"),

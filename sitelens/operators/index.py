@@ -212,11 +212,12 @@ def upsert_documents(docs: DataFrame, postings: DataFrame, new: DataFrame) -> tu
         .withColumn("date", F.coalesce(F.col("date"), F.lit("")) if "date" in incoming.columns else F.lit(""))
     )
     cols = ["url", "title", "snippet", "type", "date"] + (["content"] if "content" in incoming.columns else [])
-    # one row per url inside a batch: the last by `seq` when given, otherwise
-    # the greatest row (a deterministic choice, so every consumer of the batch
+    # one row per url inside a batch: the latest by (date, seq); among equals the
+    # greatest row (a deterministic choice, so every consumer of the batch
     # - documents and postings - sees the same row even after a recompute)
     rest = [c for c in cols if c != "url"]
-    key = F.struct(F.col("seq"), *[F.col(c) for c in rest]) if "seq" in incoming.columns else F.struct(*[F.col(c) for c in rest])
+    recency = ["date"] + (["seq"] if "seq" in incoming.columns else [])
+    key = F.struct(*[F.col(c) for c in recency + [c for c in rest if c != "date"]])
     incoming = (incoming.groupBy("url").agg(F.max_by(F.struct(*[F.col(c) for c in rest]), key).alias("_r"))
                 .select("url", *[F.col(f"_r.{c}").alias(c) for c in rest]))
     matched = incoming.join(docs.select("url", "doc_id"), "url", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.functions.html import decode_entities, hrefs
+from sitelens.functions.html import hrefs
 from sitelens.functions.urls import is_valid_url, mime_type, normalize_url, resolve_url, url_domain
 
 # Default URL exclusion patterns (documents and archives, admin
@@ -45,7 +45,7 @@ def allow_domains(df: DataFrame, domains=None, col: str = "url") -> DataFrame:
     if domains is None:
         return df
     if isinstance(domains, DataFrame):
-        return df.join(domains.select(F.col(domains.columns[0]).alias("__dom")),
+        return df.join(domains.select(F.col(domains.columns[0]).alias("__dom")).distinct(),
                        url_domain(col) == F.col("__dom"), "left_semi")
     domains = list(domains)
     if not domains:
@@ -67,7 +67,7 @@ def page_links(df: DataFrame, allowed=None, url_col: str = "url", html_col: str
         F.posexplode(hrefs(html_col)).alias("pos", "href"),
     )
     resolved = raw.select("src_url", F.col("pos").cast("long").alias("pos"),
-                          resolve_url(F.col("src_url"), decode_entities(F.col("href"))).alias("abs_url"))
+                          resolve_url(F.col("src_url"), F.col("href")).alias("abs_url"))
     valid = resolved.where(is_valid_url("abs_url"))
     out = valid.select("src_url", "pos", normalize_url("abs_url").alias("dst_url"))
     if allowed is not None:
@@ -86,9 +86,16 @@ def fan_out(df: DataFrame, types=("desktop", "mobile", "image"), col: str = "cra
     return df.withColumn(col, F.explode(F.array(*[F.lit(t) for t in types])))
 
 
+def distinct_links(edges: DataFrame) -> DataFrame:
+    """Each link of a page once, also when its URL stands in several rows; told apart by the place in the page (``pos``).
+    Edges without places are taken as they are."""
+    return edges.select("src_url", "pos", "dst_url").distinct() if "pos" in edges.columns else edges
+
+
 def crawler_stats(records: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per crawler type: pages, links discovered on them, bytes, errors."""
-    links = edges.groupBy("src_url").agg(F.count(F.lit(1)).alias("n_links"))
+    """Per crawler type: pages, links discovered on them, bytes, errors. A URL crawled under several types has its
+    links in ``edges`` once for each of its rows, but they count once."""
+    links = distinct_links(edges).groupBy("src_url").agg(F.count(F.lit(1)).alias("n_links"))
     has_error = "error" in records.columns
     r = records.join(links, records["url"] == links["src_url"], "left")
     return r.groupBy("crawler_type").agg(

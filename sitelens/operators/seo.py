@@ -1,8 +1,8 @@
 """SEO factors, metrics, score, issues and sitemap rows.
 
-Per-page factors are column expressions over the stored HTML plus two small
-per-page aggregates (internal/external link counts, keyword density) joined
-back on the page URL after the html column is dropped.
+Per-page factors are column expressions over the stored HTML plus one small
+per-URL aggregate (internal/external link counts) joined on the page URL
+after the html column is dropped.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
 from sitelens.functions.text import detect_language, tokenize, words
-from sitelens.functions.urls import scheme, url_domain
+from sitelens.functions.urls import let, scheme, url_domain
+from sitelens.operators.links import distinct_links
 from sitelens.plans.ids import dense_ids
 
 # Scoring factors (bounds and weights). page_load_speed is
@@ -47,7 +48,6 @@ MESSAGES = {
     "structured_data": "No structured data",
 }
 
-DESCRIPTION_RE = r"""(?is)<meta[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["']([^"']*)["']"""
 # Score bands and sitemap priority steps.
 BAND_GOOD, BAND_AVERAGE = 80, 60
 PRIORITY_STEPS = [(90, 1.0), (80, 0.8), (70, 0.6)]
@@ -75,10 +75,24 @@ def keyword_density(df: DataFrame, key_col: str, tokens_col: str = "tokens", out
     return per_key.select(*keys, F.when(F.col("_n") > 0, x100 / F.lit(100.0)).otherwise(F.lit(0.0)).alias(out))
 
 
+def top_share(tokens: Column) -> Column:
+    """J2 inside one row: runs of the sorted tokens, no shuffle; the same rounding as :func:`keyword_density`."""
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
+
+    def step(s, t):
+        run = F.when(s["t"].eqNullSafe(t), s["run"] + 1).otherwise(F.lit(1).cast("long"))
+        return let(run, lambda r: F.struct(t.alias("t"), r.alias("run"), F.greatest(s["best"], r).alias("best")))
+
+    n = F.size(tokens).cast("long")
+    best = F.aggregate(F.array_sort(tokens), start, step, lambda s: s["best"])
+    return F.when(n > 0, F.floor((F.lit(20000) * best + n) / (F.lit(2) * n)) / F.lit(100.0)).otherwise(F.lit(0.0))
+
+
 def link_counts(edges: DataFrame) -> DataFrame:
-    """(src_url, internal_links, external_links) from D4 edges (same domain = internal)."""
+    """(src_url, internal_links, external_links) from D4 edges (same domain = internal); the links of a URL that stands
+    in several rows count once."""
     internal = url_domain("src_url") == url_domain("dst_url")
-    return edges.groupBy("src_url").agg(
+    return distinct_links(edges).groupBy("src_url").agg(
         F.count_if(internal).alias("internal_links"),
         F.count_if(~internal).alias("external_links"),
     )
@@ -86,33 +100,31 @@ def link_counts(edges: DataFrame) -> DataFrame:
 
 def seo_factors(pages: DataFrame, edges: DataFrame | None = None, url_col: str = "url",
                 html_col: str = "html", keep_html: bool = False) -> DataFrame:
-    """Factor inputs per page (pages unique by ``url_col``).
+    """Factor inputs, one output row for each input row.
 
-    Everything read from the HTML is a narrow projection; the html column is
-    then dropped before the two small per-page aggregates (link counts,
-    keyword density) are joined back on the URL.
+    Everything read from the HTML is a narrow projection of the row itself;
+    the html column is then dropped before the per-URL link counts (one row
+    each) are joined.
     """
     h = F.col(html_col)
-    out = pages.select(
-        "*",
+    carried = [c for c in pages.columns if keep_html or c != html_col]
+    read = pages.select(
+        *carried,
         H.page_title(h).alias("title"),
-        F.regexp_extract(F.coalesce(h, F.lit("")), DESCRIPTION_RE, 1).alias("description"),
+        F.coalesce(H.meta_content(h, "description"), F.lit("")).alias("description"),
         H.count_matches(h, H.H1_RE).cast("long").alias("h1_count"),
-        H.count_matches(h, H.IMG_RE).cast("long").alias("image_count"),
-        H.count_matches(h, H.IMG_ALT_RE).cast("long").alias("image_alt_count"),
+        H.image_counts(h).alias("_img"),
         H.viewport_meta(h).isNotNull().alias("mobile_friendly"),
         (scheme(url_col) == "https").alias("is_https"),
         (F.size(H.structured_data(h)) > 0).alias("has_structured_data"),
         H.has_og_tags(h).alias("has_og_tags"),
+        let(H.visible_text(h), lambda t: F.struct(
+            F.size(words(t)).cast("long").alias("words"), top_share(tokenize(t)).alias("density"))).alias("_text"),
     )
-    # the visible text is derived once, on the side that counts words and tokens
-    text = pages.select(F.col(url_col).alias("_k"), H.visible_text(h).alias("_text")).select(
-        "_k", F.size(words("_text")).cast("long").alias("word_count"), tokenize("_text").alias("tokens"))
-    density = keyword_density(text, "_k", carry=["word_count"])
-    if not keep_html:
-        out = out.drop(html_col)
-    out = (out.join(density, out[url_col] == density["_k"], "left").drop("_k")
-           .fillna(0.0, ["keyword_density"]).fillna(0, ["word_count"]))
+    out = read.select(
+        *carried, "title", "description", "h1_count", F.col("_img.images").alias("image_count"),
+        F.col("_img.with_alt").alias("image_alt_count"), "mobile_friendly", "is_https", "has_structured_data", "has_og_tags",
+        F.col("_text.words").alias("word_count"), F.col("_text.density").alias("keyword_density"))
     if edges is not None:
         lc = link_counts(edges)
         out = out.join(lc, out[url_col] == lc["src_url"], "left").drop("src_url")
@@ -216,12 +228,12 @@ def change_freq(col) -> Column:
 
 def latest_by_url(df: DataFrame, time_col: str = "crawl_time", seq_col: str = "seq") -> DataFrame:
     """H1: newest row per URL by the time string; on equal times the first in
-    input order wins. Hash aggregate with map-side partial max, so a URL with
-    very many versions never lands whole in one task."""
-    cols = [c for c in df.columns]
-    key = F.struct(F.col(time_col), (-F.col(seq_col)).alias("neg_seq"))
-    best = df.groupBy("url").agg(F.max_by(F.struct(*[F.col(c) for c in cols]), key).alias("_r"))
-    return best.select("_r.*")
+    input order wins. Only (url, time, seq) go through the aggregate; the wide
+    rows meet its result in one join on all three. ``seq_col`` is unique."""
+    latest = df.groupBy("url").agg(F.max(F.struct(F.col(time_col).alias("t"), (-F.col(seq_col)).alias("s"))).alias("_k"))
+    latest = latest.select(F.col("url").alias("_u"), F.col("_k.t").alias("_t"), (-F.col("_k.s")).alias("_s"))
+    same = F.col("url").eqNullSafe(F.col("_u")) & F.col(time_col).eqNullSafe(F.col("_t")) & (F.col(seq_col) == F.col("_s"))
+    return df.join(latest, same).select(*df.columns)
 
 
 def sitemap_rows(df: DataFrame, score_col: str | None = "seo_score", latest_only: bool = False) -> DataFrame:

@@ -288,10 +288,10 @@ SQL_REL = (f"(CASE WHEN {_has('title', 'ment')} THEN 10 ELSE 0 END + "
 
 @register("relevance_page1", f"""SELECT url, seq, relevance, CAST(position AS BIGINT) AS position FROM (
   SELECT url, seq, {SQL_REL} AS relevance, row_number() OVER (ORDER BY {SQL_REL} DESC, seq) AS position
-  FROM ({Q.results_cte()}) WHERE crawler_type <> 'image') WHERE position <= 10""")
+  FROM ({Q.results_cte()})) WHERE position <= 10""")
 def relevance_page1(spark, sf_dir):
-    """H6 + H7: non-image results by relevance to 'ment' (title 10, content 5), first page."""
-    r = BR.relevance(results_table(spark, sf_dir).where(F.col("crawler_type") != "image"), "ment")
+    """H6 + H7: all results by relevance to 'ment' (title 10, content 5), first page."""
+    r = BR.relevance(results_table(spark, sf_dir), "ment")
     return BR.paginate(r, BR.sort_keys(r, "relevance"), page=1).select(
         "url", "seq", F.col("relevance").cast("int").alias("relevance"), "position")
 
@@ -362,7 +362,7 @@ dpost AS (SELECT DISTINCT unnest(list_distinct(tokens)) AS term, doc_id FROM dto
 
 
 @register("search_batch", f"""WITH {SQL_DOC_POSTINGS},
-qs AS (SELECT item_id AS query_id, array_to_string(list_slice({Q.tokenize('text')}, 1, 3), ' ') AS query FROM benchmark),
+qs AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 qt AS (SELECT query_id, token, count(*) AS weight FROM (SELECT query_id, unnest({Q.tokenize('query')}) AS token FROM qs) GROUP BY ALL),
 vocab AS (SELECT DISTINCT term FROM dpost),
 m AS (SELECT DISTINCT v.term, t.token FROM vocab v JOIN (SELECT DISTINCT token FROM qt) t ON strpos(v.term, t.token) > 0),
@@ -371,7 +371,7 @@ scored AS (SELECT w.query_id, p.doc_id, sum(w.w) AS score FROM w JOIN dpost p US
 ranked AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10""")
 def search_batch(spark, sf_dir):
-    """Every benchmark query (its first three index tokens) against the whole document index, top 10 each."""
+    """Every benchmark text, whole, against the whole document index, top 10 each."""
     return IX.search_batch(documents_postings(spark, sf_dir), FX.benchmark_queries(spark, sf_dir))
 
 
@@ -515,8 +515,8 @@ def detect_language_documents(spark, sf_dir):
 
 @register("language_checks", f"""SELECT page_id, declared_lang, has_hreflang, detected_lang,
   length(declared_lang) > 0 AS lang_declared, declared_lang = detected_lang AS lang_matches FROM (
-  SELECT page_id, split_part(replace(lower(regexp_extract(coalesce(html, ''), {Q.lit(H.LANG_RE)}, 1)), '_', '-'), '-', 1) AS declared_lang,
-    len(regexp_extract_all(coalesce(html, ''), {Q.lit(H.HREFLANG_RE)}, 1)) > 0 AS has_hreflang,
+  SELECT page_id, split_part(replace(lower(regexp_extract(coalesce(html, ''), {Q.lit(Q.P_HTML_LANG)}, 1)), '_', '-'), '-', 1) AS declared_lang,
+    len(regexp_extract_all(coalesce(html, ''), {Q.lit(Q.P_HREFLANG)}, 1)) > 0 AS has_hreflang,
     {_sql_detect(Q.visible_text('html'))} AS detected_lang FROM pages)""")
 def language_checks(spark, sf_dir):
     """Declared html lang, hreflang presence, detected language and agreement per page."""
@@ -765,8 +765,8 @@ def page_title(spark, sf_dir):
 
 
 @register("js_heavy", f"""SELECT page_id, CAST(len(s) AS BIGINT) AS n_scripts,
-  len(s) > {H.JS_HEAVY_SCRIPT_COUNT} OR len(list_filter(s, lambda x: regexp_matches(x, '(?i)(react|vue|angular)'))) > 0 AS js_heavy
-FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), {Q.lit(H.SCRIPT_OPEN_RE)}, 1) AS s FROM pages)""")
+  len(s) > 10 OR len(list_filter(s, lambda x: regexp_matches(x, '(?i)(react|vue|angular)'))) > 0 AS js_heavy
+FROM (SELECT page_id, regexp_extract_all(coalesce(html, ''), {Q.lit(Q.P_SCRIPT)}) AS s FROM pages)""")
 def js_heavy(spark, sf_dir):
     """Script count and JavaScript-heavy flag per page."""
     p = read_table(spark, sf_dir, "pages")
@@ -774,9 +774,9 @@ def js_heavy(spark, sf_dir):
 
 
 @register("mobile_signals", f"""SELECT page_id,
-  nullif(regexp_extract(coalesce(html, ''), {Q.lit(H.VIEWPORT_RE)}, 1), '') AS viewport_meta,
-  nullif(regexp_extract(coalesce(html, ''), {Q.lit(H.AMP_RE)}, 1), '') AS amp_url,
-  CAST(len(regexp_extract_all(coalesce(html, ''), {Q.lit(H.JSONLD_RE)}, 1)) AS BIGINT) AS n_jsonld FROM pages""")
+  nullif({Q.meta('viewport')}, '') AS viewport_meta,
+  nullif(regexp_extract(coalesce(html, ''), {Q.lit(Q.P_AMP)}, 1), '') AS amp_url,
+  CAST(len(regexp_extract_all(coalesce(html, ''), {Q.lit(Q.P_JSONLD)}, 1)) AS BIGINT) AS n_jsonld FROM pages""")
 def mobile_signals(spark, sf_dir):
     """Viewport meta, AMP link and JSON-LD block count per page."""
     p = read_table(spark, sf_dir, "pages")
@@ -961,7 +961,7 @@ def quality_scores(spark, sf_dir):
 
 
 @register("stream_index", f"""SELECT CAST(row_number() OVER (ORDER BY url) - 1 AS BIGINT) AS doc_id, url, {Q.title('html')} AS title
-FROM (SELECT url, html FROM pages WHERE url IN (SELECT DISTINCT url FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id) = 1)""")
+FROM (SELECT url, html FROM pages WHERE url IN (SELECT DISTINCT url FROM pages) QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1)""")
 def stream_index(spark, sf_dir):
     """Structured Streaming over the pages file (availableNow), merged into a versioned index; returns its documents."""
     import uuid

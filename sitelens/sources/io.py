@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.plans.ids import dense_ids
 from sitelens.schemas import CRAWL_RESULT, CRAWL_STATS, DOCUMENTS, EXPORT_FIELDS, POSTINGS
 
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -20,31 +21,56 @@ SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 # ----------------------------------------------------------------------------- sources
 
+CORRUPT = "_corrupt_record"
+
+
+def _json_files(spark: SparkSession, path: str, schema: T.StructType, glob: str, tree: bool) -> DataFrame:
+    """One row for each JSON object; what cannot be parsed keeps its text in ``_corrupt_record``."""
+    kept = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return (spark.read.schema(kept).option("multiLine", True).option("pathGlobFilter", glob)
+            .option("recursiveFileLookup", tree).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+            .json(path).withColumn("source_file", F.col("_metadata.file_name")))
+
+
+def _with_a_field(condition: Column, schema: T.StructType) -> Column:
+    """The condition beside an always true one on a field: Spark's readers refuse to fill the corrupt record column when
+    a query (say, a count) needs no other column of the file."""
+    return condition & (F.length(F.concat_ws("", F.col(schema.fields[0].name).cast("string"))) >= 0)
+
+
+def _glob(data_type: str | None) -> str:
+    return f"{data_type}_*.json" if data_type else "*.json"
+
+
 def read_crawl_results(spark: SparkSession, path: str, data_type: str | None = None,
-                       schema: T.StructType = CRAWL_RESULT) -> DataFrame:
+                       schema: T.StructType = CRAWL_RESULT, tree: bool = False) -> DataFrame:
     """A1: every ``*.json`` under ``path`` (a file holds one object or a list
     of them); ``data_type`` keeps files named ``<type>_*.json``. Adds
-    ``source_file`` and ``file_type`` (the name prefix)."""
-    glob = f"{data_type}_*.json" if data_type else "*.json"
-    df = (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", glob)
-          .json(path))
-    name = F.col("_metadata.file_name")
-    return df.withColumn("source_file", name).withColumn("file_type", F.regexp_extract(name, r"^([^_]+)_", 1))
+    ``source_file`` and ``file_type`` (the name prefix). Records that cannot
+    be parsed are not here but in :func:`read_quarantine`."""
+    df = _json_files(spark, path, schema, _glob(data_type), tree)
+    return df.where(_with_a_field(F.col(CORRUPT).isNull(), schema)).drop(CORRUPT).withColumn(
+        "file_type", F.regexp_extract("source_file", r"^([^_]+)_", 1))
+
+
+def read_quarantine(spark: SparkSession, path: str, data_type: str | None = None,
+                    schema: T.StructType = CRAWL_RESULT, tree: bool = False) -> DataFrame:
+    """A1/A2: (source_file, record) of what the readers could not parse."""
+    df = _json_files(spark, path, schema, _glob(data_type), tree)
+    return df.where(_with_a_field(F.col(CORRUPT).isNotNull(), schema)).select("source_file", F.col(CORRUPT).alias("record"))
 
 
 def read_json_tree(spark: SparkSession, root: str, schema: T.StructType = CRAWL_RESULT) -> DataFrame:
-    """A2: all JSON under a directory tree; unparsable records and unreadable
-    files are skipped (DROPMALFORMED + ignoreCorruptFiles)."""
-    return (spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.json").option("mode", "DROPMALFORMED")
-            .option("ignoreCorruptFiles", True).json(root))
+    """A2: all JSON under a directory tree; unparsable records go to
+    ``read_quarantine(..., tree=True)``."""
+    return read_crawl_results(spark, root, schema=schema, tree=True).drop("source_file", "file_type")
 
 
 def read_store(spark: SparkSession, root: str, data_type: str | None = None) -> DataFrame:
     """A3: the per-type store (Parquet partitioned by crawler_type); with no
-    type every partition except ``stats``; the internal ``_id`` is dropped."""
+    type every partition except ``stats`` (a null type is kept); the internal ``_id`` is dropped."""
     df = spark.read.parquet(root)
-    df = df.where(F.col("crawler_type") == data_type) if data_type else df.where(F.col("crawler_type") != "stats")
+    df = df.where(F.col("crawler_type") == data_type) if data_type else df.where(~F.col("crawler_type").eqNullSafe("stats"))
     return df.drop("_id")
 
 
@@ -57,7 +83,7 @@ def read_domain_lists(spark: SparkSession, new_dir: str, phishing_path: str | No
                    F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("list_date"),
                    F.lit("new_registration").alias("type")))
     out = new
-    if phishing_path and _exists(phishing_path):
+    if phishing_path and path_exists(spark, phishing_path):
         ph = spark.read.text(phishing_path).select(
             F.regexp_replace("value", r"^\s+|\s+$", "").alias("domain"),
             F.lit(None).cast("string").alias("list_date"), F.lit("phishing").alias("type"))
@@ -65,14 +91,17 @@ def read_domain_lists(spark: SparkSession, new_dir: str, phishing_path: str | No
     return out.where(F.length("domain") > 0)
 
 
-def _exists(path: str) -> bool:
-    return os.path.exists(path) if "://" not in path else True
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, asked of its own Hadoop file system (not of the driver's disk)."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).exists(p)
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A5: (documents, postings) of a saved index; empty tables when missing."""
     docs_p, post_p = os.path.join(path, "documents"), os.path.join(path, "postings")
-    if "://" not in path and not os.path.exists(docs_p):
+    if not path_exists(spark, docs_p):
         return spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], POSTINGS)
     return spark.read.schema(DOCUMENTS).parquet(docs_p), spark.read.schema(POSTINGS).parquet(post_p)
 
@@ -129,20 +158,31 @@ def write_stats(stats: DataFrame, root: str) -> None:
     stats.select(*cols).coalesce(1).write.mode("append").json(root)
 
 
-def export_json(df: DataFrame, path: str, grouped: bool = False, max_grouped_rows: int = 100_000) -> None:
+def export_json(df: DataFrame, path: str, grouped: bool = False) -> None:
     """Export by crawler type. Default: JSON lines partitioned by type.
-    ``grouped=True`` writes one ``{type: [records]}`` document per type, only
-    after checking the row count is below ``max_grouped_rows``."""
+    ``grouped=True`` writes one ``{type: [records], ...}`` document as text
+    part files whose concatenation in name order is the document: records are
+    numbered in their type with distributed ids and written in that order, so
+    no task or row holds a whole type."""
     if not grouped:
         df.write.mode("overwrite").partitionBy("crawler_type").json(path)
         return
-    n = df.count()
-    if n > max_grouped_rows:
-        raise ValueError(f"{n} rows is too many for a grouped export; use grouped=False")
-    rec = F.struct(*[F.col(c) for c in df.columns if c != "crawler_type"])
-    (df.groupBy("crawler_type").agg(F.collect_list(rec).alias("records"))
-     .select(F.to_json(F.create_map(F.col("crawler_type"), F.col("records"))).alias("value"))
-     .write.mode("overwrite").text(path))
+    rows = df.select(F.coalesce("crawler_type", F.lit("unknown")).alias("type"),
+                     F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "crawler_type"])).alias("record"))
+    numbered = dense_ids(rows, "record", "n", group_by="type")
+    sizes = numbered.groupBy("type").agg(F.max("n").alias("last"))  # one row for each type
+    types = [r["type"] for r in sizes.orderBy("type").collect()]
+    if not types:
+        df.sparkSession.createDataFrame([("{}",)], "value string").write.mode("overwrite").text(path)
+        return
+    name = F.to_json(F.array("type"))
+    quoted = F.substring(name, F.lit(2), F.length(name) - 2)
+    head = F.when(F.col("n") > 0, F.lit(",")).otherwise(
+        F.concat(F.when(F.col("type") == types[0], F.lit("{")).otherwise(F.lit(",")), quoted, F.lit(":[")))
+    tail = F.when(F.col("n") < F.col("last"), F.lit("")).otherwise(
+        F.when(F.col("type") == types[-1], F.lit("]}")).otherwise(F.lit("]")))
+    ordered = numbered.join(F.broadcast(sizes), "type").repartitionByRange("type", "n").sortWithinPartitions("type", "n")
+    ordered.select(F.concat(head, "record", tail).alias("value")).write.mode("overwrite").text(path)
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -173,16 +213,18 @@ def project_export(df: DataFrame, cols=None) -> DataFrame:
 
 def write_index(docs: DataFrame, postings: DataFrame, path: str) -> None:
     """Documents and postings as Parquet; postings range-partitioned and
-    sorted by term so a term lookup reads few row groups."""
+    sorted by (term, doc_id), so a term lookup reads few row groups and a very
+    frequent term spreads over several files."""
     docs.write.mode("overwrite").parquet(os.path.join(path, "documents"))
-    (postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+    (postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
      .write.mode("overwrite").parquet(os.path.join(path, "postings")))
 
 
 def write_sitemaps(rows: DataFrame, root: str) -> None:
     """One urlset XML per domain (and shard, when present)."""
     parts = ["domain"] + (["shard"] if "shard" in rows.columns else [])
-    (rows.select(*parts, "loc", "lastmod", "changefreq", F.col("priority").cast("string").alias("priority"))
+    # one task, hence one file, for each sitemap (at most 50,000 URLs by the protocol)
+    (rows.repartition(*parts).select(*parts, "loc", "lastmod", "changefreq", F.col("priority").cast("string").alias("priority"))
      .write.mode("overwrite").partitionBy(*parts).format("xml")
      .option("rootTag", f'urlset xmlns="{SITEMAP_NS}"').option("rowTag", "url").save(root))
 

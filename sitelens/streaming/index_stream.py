@@ -12,6 +12,7 @@ stream's own progress lives in the checkpoint location.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.operators.index import upsert_documents
@@ -88,7 +89,8 @@ def crawl_file_stream(spark: SparkSession, directory: str, schema: T.StructType,
 
 
 def pages_as_index_rows(stream: DataFrame) -> DataFrame:
-    """Index input rows from a stream of raw pages (url, html)."""
+    """Index input rows from a stream of raw pages (url, html; page_id, when there, orders the rows of a URL)."""
     from sitelens.functions.html import page_title, visible_text
-    return stream.select("url", page_title("html").alias("title"), visible_text("html").alias("content"))
+    order = [F.col("page_id").alias("seq")] if "page_id" in stream.columns else []
+    return stream.select("url", page_title("html").alias("title"), visible_text("html").alias("content"), *order)
 
