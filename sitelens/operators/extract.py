@@ -337,7 +337,9 @@ def has_mobile_redirect(status_col: str = "status_code", headers_col: str | None
     contains 'mobile' or 'm.'."""
     def names_mobile(c):
         return c.contains("mobile") | c.contains("m.")
-    loc = F.col(headers_col)["Location"] if headers_col else F.lit(None).cast("string")
+    loc = F.lit(None).cast("string")
+    if headers_col:  # header names in any case
+        loc = F.get(F.filter(F.map_entries(headers_col), lambda e: F.lower(e["key"]) == "location"), 0)["value"]
     redirect = F.col(status_col).between(300, 399) & loc.isNotNull() & names_mobile(loc)
     refresh = F.lower(F.col(refresh_col))
     target = F.regexp_replace(F.element_at(F.split(refresh, "url="), 2), r"^\s+|\s+$", "")
@@ -357,13 +359,15 @@ def page_images(extracted: DataFrame, page_col: str = "url") -> DataFrame:
 
 
 def validate_jsonld(extracted: DataFrame, page_col: str = "url") -> DataFrame:
-    """One row per JSON-LD block: whether it parses and its @type."""
+    """One row per JSON-LD block: whether it parses and its @type (of an ``@graph`` or a list: the first one's)."""
     blocks = extracted.select(F.col(page_col), F.posexplode("structured_data").alias("block_pos", "block"))
     parsed = F.try_parse_json(F.col("block"))
     return blocks.select(
         page_col, "block_pos",
         parsed.isNotNull().alias("valid"),
-        F.when(parsed.isNotNull(), F.variant_get(parsed, "$['@type']", "string")).alias("schema_type"),
+        F.when(parsed.isNotNull(), F.coalesce(*[
+            F.try_variant_get(parsed, path, "string") for path in ("$['@type']", "$['@graph'][0]['@type']", "$[0]['@type']")
+        ])).alias("schema_type"),
     )
 
 

@@ -987,3 +987,80 @@ def conversation_text(spark, sf_dir):
     c = read_table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", "role", F.size(T.keywords("text")).cast("long").alias("n_keywords"),
                     T.summary("text").alias("summary"))
+
+
+# --------------------------------------------------------------------------- markup that the tables lack
+# The expected values follow from page_id and doc_id as the stand-in input is built, not from patterns.
+
+@register("markup_signals", """SELECT page_id,
+  CASE page_id % 4 WHEN 1 THEN 'width=device-width' WHEN 2 THEN 'width=device-width, initial-scale=1' END AS viewport_meta,
+  CASE WHEN page_id % 3 = 0 THEN '/amp?id=' || page_id || '&x=1' END AS amp_url,
+  CASE WHEN page_id % 5 > 0 THEN 'Page ' || page_id || ': don''t miss – it''s new' END AS description,
+  page_id % 2 = 0 AS has_og_tags, CASE WHEN page_id % 6 = 0 THEN 'fr,de' ELSE '' END AS hreflangs,
+  CAST(CASE WHEN page_id % 4 > 0 THEN 1 ELSE 0 END AS BIGINT) AS n_jsonld, page_id % 7 = 0 AS js_heavy,
+  page_id % 3 AS n_images, CAST(CASE WHEN page_id % 3 = 2 THEN 1 ELSE 0 END AS BIGINT) AS n_with_alt FROM pages""")
+def markup_signals(spark, sf_dir):
+    """Tags of pages that have them, in either attribute order, with every kind of quotes."""
+    return FX.markup_pages(spark, sf_dir).select(
+        "page_id", H.viewport_meta("html").alias("viewport_meta"), H.amp_url("html").alias("amp_url"),
+        H.meta_content("html", "description").alias("description"), H.has_og_tags("html").alias("has_og_tags"),
+        F.array_join(H.hreflangs("html"), ",").alias("hreflangs"),
+        F.size(H.structured_data("html")).cast("long").alias("n_jsonld"), H.is_js_heavy("html").alias("js_heavy"),
+        H.image_counts("html").alias("_i")).select("*", F.col("_i.images").alias("n_images"), F.col("_i.with_alt").alias("n_with_alt")).drop("_i")
+
+
+SQL_MARKUP_LINKS = f"""SELECT src_url, pos + 2 AS pos, dst_url FROM ({Q.page_links_cte()})
+UNION ALL SELECT url, 0, 'https://site' || (page_id % 5) || '.example.org/p?a=1&b=2' FROM pages
+UNION ALL SELECT url, 1, {Q.normalize_url('url')} FROM pages"""
+
+
+@register("markup_links", f"""SELECT src_url, CAST(pos AS BIGINT) AS pos, dst_url, {Q.domain('src_url')} = {Q.domain('dst_url')} AS same_domain
+FROM ({SQL_MARKUP_LINKS}) WHERE dst_url NOT IN (SELECT {Q.normalize_url('url')} FROM pages)""")
+def markup_links(spark, sf_dir):
+    """Links of pages with off-site links, links to crawled pages and hidden ones; only unseen targets stay."""
+    links = LK.page_links(FX.markup_pages(spark, sf_dir)).withColumnRenamed("dst_url", "url")
+    seen = read_table(spark, sf_dir, "pages").select(U.normalize_url("url").alias("url"))
+    left = LK.unseen(links, seen).withColumnRenamed("url", "dst_url")
+    return left.select("src_url", "pos", "dst_url", U.same_domain("src_url", "dst_url").alias("same_domain"))
+
+
+@register("markup_images", """WITH i AS (
+  SELECT page_id, url, k, '/img/' || page_id || '-' || k || '.png' AS path, 'img' AS tag_type
+  FROM pages, range(2) r(k) WHERE k < page_id % 3
+  UNION ALL SELECT page_id, url, page_id % 3, '/og/' || page_id || '.png', 'meta_og:image' FROM pages WHERE page_id % 2 = 0)
+SELECT url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]+') || path AS url, tag_type, CAST(k AS INTEGER) AS pos FROM i""")
+def markup_images(spark, sf_dir):
+    """Image candidates of pages with images and og:image tags, resolved."""
+    e = EX.extract_pages(FX.markup_pages(spark, sf_dir))
+    return EX.page_images(e).select("page_url", "url", "tag_type", "pos")
+
+
+@register("markup_jsonld", """SELECT url, CAST(0 AS BIGINT) AS block_pos, page_id % 4 < 3 AS valid,
+  CASE page_id % 4 WHEN 1 THEN 'Article' WHEN 2 THEN 'WebPage' END AS schema_type FROM pages WHERE page_id % 4 > 0""")
+def markup_jsonld(spark, sf_dir):
+    """Validity and type of JSON-LD blocks: plain, @graph and broken ones."""
+    return EX.validate_jsonld(EX.extract_pages(FX.markup_pages(spark, sf_dir))).withColumn(
+        "block_pos", F.col("block_pos").cast("long"))
+
+
+@register("linked_documents", """SELECT doc_id, CAST(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS BIGINT) AS n_urls,
+  CASE WHEN doc_id % 2 = 0 THEN 'https://docs.example.org/d/' || doc_id || '?x=1 http://h' || (doc_id % 3) || '.example.com'
+       ELSE '' END AS urls FROM documents""")
+def linked_documents(spark, sf_dir):
+    """The URLs that documents mention."""
+    u = U.extract_urls("text")
+    d = FX.linked_documents(spark, sf_dir)
+    return d.select("doc_id", F.size(u).cast("long").alias("n_urls"), F.array_join(u, " ").alias("urls"))
+
+
+@register("typed_records", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text/html' WHEN 1 THEN 'text/html' WHEN 2 THEN 'application/pdf'
+  WHEN 3 THEN 'image/png' ELSE '' END AS mime, page_id % 5 < 2 AS html, page_id % 7 > 0 AND page_id % 4 > 0 AS indexable,
+  page_id % 7 > 1 AS submitted FROM pages""")
+def typed_records(spark, sf_dir):
+    """Media types, and which rows the three row filters keep."""
+    r = FX.typed_records(spark, sf_dir)
+    kept = lambda df, name: df.select("page_id", F.lit(True).alias(name))
+    out = r.select("page_id", U.mime_type("content_type").alias("mime"))
+    for df, name in ((LK.html_only(r), "html"), (IX.indexable(r), "indexable"), (NT.submit_candidates(r), "submitted")):
+        out = out.join(kept(df, name), "page_id", "left")
+    return out.fillna(False)

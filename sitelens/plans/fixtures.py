@@ -107,3 +107,56 @@ def robots_files(spark, sf_dir: str) -> DataFrame:
     head, tail = ROBOTS_TEMPLATE.split("{host}", 1)
     mid, end = tail.split("{host}", 1)
     return hosts.select("host", F.concat(F.lit(head), F.col("host"), F.lit(mid), F.col("host"), F.lit(end)).alias("body"))
+
+
+def markup_pages(spark, sf_dir: str) -> DataFrame:
+    """The pages with markup that they lack, chosen by page_id: meta, link and script tags at the end of the head, two
+    links and images at the start of the body."""
+    i = F.col("page_id")
+    n = i.cast("string")
+    pick = lambda by, *texts: F.element_at(F.array(*texts), (i % by + 1).cast("int"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    none = F.lit("")
+    description = text('content="Page ', n, ": don't miss &#8211; it's new\"")
+    head = F.concat(
+        pick(4, none, F.lit('<meta name="viewport" content="width=device-width">'),
+             F.lit("<META CONTENT='width=device-width, initial-scale=1' NAME=viewport>"),
+             F.lit('<!-- <meta name="viewport" content="hidden"> -->')),
+        F.when(i % 3 == 0, text('<link href="/amp?id=', n, '&amp;x=1" rel="amphtml">')).otherwise(none),
+        F.when(i % 5 == 0, none).when(i % 2 == 0, text('<meta name="description" ', description, ">"))
+        .otherwise(text("<meta ", description, " name=description>")),
+        F.when(i % 2 == 0, text('<meta content="/og/', n, '.png" property="og:image">')).otherwise(none),
+        F.when(i % 6 == 0, F.lit('<link rel="alternate" hreflang="fr" href="/fr"><link hreflang=de rel=alternate href=/de>')).otherwise(none),
+        pick(4, none, F.lit('<script type="application/ld+json">{"@type": "Article"}</script>'),
+             F.lit('<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}]}</script>'),
+             F.lit('<script type="application/ld+json">{"@type": </script>')),
+        F.when(i % 7 == 0, F.lit('<script src="/vue.min.js"></script>')).otherwise(none),
+    )
+    image = lambda k, rest: text('<img src="/img/', n, f'-{k}.png"', rest, ">")
+    body = F.concat(
+        text('<!-- <a href="/hidden">h</a> --><a data-href="/wrong" href="https://www.site', (i % 5).cast("string"),
+             '.example.org/p/?b=2&amp;a=1">off</a><a href=', F.col("url"), ">self</a>"),
+        F.when(i % 3 > 0, image(0, none)).otherwise(none), F.when(i % 3 > 1, image(1, ' alt="one"')).otherwise(none),
+    )
+    html = F.replace("html", F.lit("</head>"), F.concat(head, F.lit("</head>")))
+    return pages(spark, sf_dir).select("page_id", "url", F.replace(html, F.lit("<body>"), F.concat(F.lit("<body>"), body)).alias("html"))
+
+
+def typed_records(spark, sf_dir: str) -> DataFrame:
+    """Crawl rows with content types, missing URLs and missing titles chosen by page_id."""
+    i = F.col("page_id")
+    kinds = ["text/html; charset=utf-8", " TEXT/HTML", "application/pdf", "image/png", None]
+    return pages(spark, sf_dir).select(
+        "page_id",
+        F.when(i % 7 == 0, F.lit(None)).when(i % 7 == 1, F.lit("")).otherwise(F.col("url")).alias("url"),
+        F.when(i % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("t"), i)).alias("title"),
+        F.element_at(F.array(*[F.lit(k) for k in kinds]), (i % 5 + 1).cast("int")).alias("content_type"),
+    )
+
+
+def linked_documents(spark, sf_dir: str) -> DataFrame:
+    """The documents; every second one mentions two URLs."""
+    d = read_table(spark, sf_dir, "documents")
+    mention = F.concat(F.lit(" see https://docs.example.org/d/"), F.col("doc_id"), F.lit("?x=1 or http://h"),
+                       F.col("doc_id") % 3, F.lit(".example.com for more"))
+    return d.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", mention)).otherwise(F.col("text")).alias("text"))
