@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from llm.chunks import ChunkEncoder
+from llm.chunks import ENCODE_BYTES, ChunkEncoder
 from llm.common import documents, narrow, record_batch, slices
 
 #: Distinct words, and ids, that one DuckDB query handles at most, beside a longer single text.
@@ -165,7 +165,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFram
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def encode(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODE_BYTES):
             ids, counts = _codec(ranks, pattern).encode(batch.column("text"))
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
@@ -198,7 +198,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, ENCODE_BYTES):
             codec = _codec(ranks, pattern)
             ids, counts = codec.encode(batch.column("text"))
             decoded = codec.decode(ids, counts)

@@ -9,6 +9,7 @@ of its units in order. For tokenizers that drop white space the chunks are what
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,26 @@ _RE2_SPACE = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 _MIXED = f"\\x00|[ \\n][{_RE2_SPACE}]|[{_RE2_SPACE}][ \\n]"
 _TAIL = ".,"
 _TAILED = r"\pL[.,]+$"
+#: Bytes of text that are encoded at once, beside a longer single text.
+ENCODE_BYTES = 4 << 20
 #: Distinct units that a worker remembers; beyond, it starts anew (a bound on memory, not on what is encoded).
-REMEMBERED = 1_000_000
+REMEMBERED = 2_000_000
 
 
-class _Codes(dict):
-    def __missing__(self, key):
-        self[key] = code = len(self)
-        return code
+_FACTORS = np.random.default_rng(1).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string: its bytes, each times the factor of its place, mixed."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    sizes = np.diff(offsets)
+    data = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], sizes)
+    terms = (data.astype(np.uint64) + np.uint64(1)) * _FACTORS[place & (len(_FACTORS) - 1)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+    found = sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]] + sizes.astype(np.uint64)
+    found = (found ^ (found >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return found ^ (found >> np.uint64(32))
 
 
 class ChunkEncoder:
@@ -42,9 +55,10 @@ class ChunkEncoder:
         self.reset()
 
     def reset(self) -> None:
-        self.codes = _Codes({"": 0})
+        self.known = pa.array([""], pa.string())  # the unit of each code
+        self.hashes, self.codes = _hashes(self.known), np.zeros(1, np.int32)  # sorted, and the code of each
         self.flat, self.held = np.empty(1 << 16, np.int32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.starts, self.sizes = np.zeros(1, np.int32), np.zeros(1, np.int32)
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All chunks, and how many each text has."""
@@ -64,30 +78,32 @@ class ChunkEncoder:
     def _codes(self, units: pa.Array) -> np.ndarray:
         """The code of each unit; new ones are encoded."""
         coded = units.dictionary_encode()
-        known, distinct = len(self.codes), coded.dictionary.to_pylist()
-        codes = np.fromiter(map(self.codes.__getitem__, distinct), np.int32, len(distinct))
-        if len(self.codes) > known:
-            self._learn([distinct[i] for i in np.flatnonzero(codes >= known).tolist()], known)
-        return codes[coded.indices.to_numpy()] if len(coded) else codes
-
-    def _learn(self, units: list[str], known: int) -> None:
-        ids, sizes = self.encode(units)
+        distinct = coded.dictionary
+        hashes = _hashes(distinct)
+        codes = self.codes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)]
+        # equal hashes alone are not trusted
+        new = np.flatnonzero(~pc.equal(self.known.take(pa.array(codes)), distinct).to_numpy(zero_copy_only=False))
+        if len(new):
+            codes[new] = len(self.known) + np.arange(len(new), dtype=np.int32)
+            self._learn(distinct.take(pa.array(new)))
+            order = np.argsort(merged := np.concatenate([self.hashes, hashes[new]]), kind="stable")
+            self.hashes, self.codes = merged[order], np.concatenate([self.codes, codes[new]])[order]
+        return codes[coded.indices.to_numpy()]
+
+    def _learn(self, units: pa.Array) -> None:
+        ids, sizes = self.encode(units.to_pylist())
         held = self.held + len(ids)
         if held > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(held, np.int32)])
         self.flat[self.held : held] = ids
-        if len(self.codes) > len(self.starts):
-            self.starts, self.sizes = (
-                np.concatenate([x, np.zeros(len(self.codes), np.int32)]) for x in (self.starts, self.sizes)
-            )
-        ends = self.held + np.cumsum(sizes)
-        self.sizes[known : known + len(units)] = sizes
-        self.starts[known : known + len(units)] = ends - sizes
-        self.held = held
+        self.starts = np.concatenate([self.starts, (self.held + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.known, self.held = pa.concat_arrays([self.known, units]), held
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
-        if len(self.codes) > REMEMBERED:
+        texts = texts.cast(pa.string())
+        if len(self.known) > REMEMBERED:
             self.reset()
         chunks, counts = self._split(texts)
         if not len(chunks):
@@ -138,7 +154,7 @@ def tokenizer_encoder(source: str, spaces: bool) -> ChunkEncoder:
             ids = [e.ids for i in range(0, len(units), 1000)
                    for e in tokenizer.encode_batch_fast(units[i : i + 1000], add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((x for one in ids for x in one), np.int32, int(sizes.sum())), sizes
+            return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
 
         _LOADED.clear()
         _LOADED[key] = ChunkEncoder(encode, spaces)
