@@ -126,3 +126,12 @@ def notify_rollup(results: DataFrame) -> DataFrame:
         F.count_if("success").alias("success_count"),
         F.bool_and("success").alias("overall_success"),
     )
+
+
+def notify_overall(results: DataFrame) -> DataFrame:
+    """One row over all engines: submissions, successes, and whether there were any and all succeeded."""
+    return results.agg(
+        F.count(F.lit(1)).alias("submissions"),
+        F.count_if("success").alias("success_count"),
+        F.coalesce(F.bool_and("success"), F.lit(False)).alias("overall_success"),
+    )

@@ -87,18 +87,20 @@ def robots_filter(urls: DataFrame, rules: DataFrame, col: str = "url") -> DataFr
     """urls + ``allowed``. The longest matching disallow blocks unless a
     strictly longer allow matches; rules match the path only (query ignored,
     empty path = '/'); URLs of hosts without rules are allowed."""
-    u = urls.select(col).distinct().withColumn("host", F.lower(netloc(col))).withColumn("_path", url_path(col))
-    r = rules.select("host", "kind", "path", rule_regex(F.col("path")).alias("_re"))
-    hit = F.when(F.col("_re").isNotNull(), F.regexp_like(F.col("_path"), F.col("_re"))).otherwise(F.col("_path").startswith(F.col("path")))
-    matched = u.join(r, "host").where(hit)
-    best = matched.groupBy(col).agg(
-        F.max(F.when(F.col("kind") == "disallow", F.length("path"))).alias("_dis"),
-        F.max(F.when(F.col("kind") == "allow", F.length("path"))).alias("_all"),
-    )
-    allowed = F.col("_dis").isNull() | (F.coalesce(F.col("_all"), F.lit(-1)) > F.col("_dis"))
-    verdict = best.select(col, allowed.alias("allowed"))
-    out = urls.join(verdict, col, "left")
-    return out.withColumn("allowed", F.coalesce(F.col("allowed"), F.lit(True)))
+    r = rules.select("host", "kind", "path", rule_regex(F.col("path")).alias("re"))
+    # one row for each host; a robots file is bounded by what crawlers read of it
+    files = r.groupBy("host").agg(F.collect_list(F.struct("kind", "path", "re")).alias("_rules")).withColumnRenamed("host", "_host")
+    hit = lambda x: F.when(x["re"].isNotNull(), F.regexp_like(F.col("_path"), x["re"])).otherwise(
+        F.col("_path").startswith(x["path"]))
+
+    def longest(kind):
+        matching = F.filter("_rules", lambda x: (x["kind"] == kind) & hit(x))
+        return F.coalesce(F.array_max(F.transform(matching, lambda x: F.length(x["path"]))), F.lit(-1))
+
+    out = urls.withColumn("_path", url_path(col)).join(files, F.lower(netloc(col)) == F.col("_host"), "left")
+    out = out.withColumn("_dis", longest("disallow")).withColumn("_all", longest("allow"))
+    return out.withColumn("allowed", (F.col("_dis") < 0) | (F.col("_all") > F.col("_dis"))).drop(
+        "_path", "_host", "_rules", "_dis", "_all")
 
 
 def effective_delay(hosts: DataFrame, delays: DataFrame, base: float, host_col: str = "host") -> DataFrame:

@@ -35,19 +35,27 @@ def classifier_pipeline(text_col: str = "text", label_col: str = "label", max_it
     return Pipeline(stages=[tok, bi, tf1, tf2, va, idf, lr])
 
 
-def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
-                     test_fraction: float = 0.2, seed: int = 42) -> tuple[PipelineModel, float]:
-    """K7: fit on a seeded split; returns (model, area under ROC on the held-out part)."""
+def _labelled(df: DataFrame, text_col: str, label_col: str, test_percent: int) -> DataFrame:
+    """text, label and ``held``: whether the text's hash puts it into the held-out part (the same whatever the row order
+    or the partitions)."""
     data = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("double").alias("label")).where(
         F.col("text").isNotNull() & F.col("label").isNotNull())
-    train, test = data.randomSplit([1 - test_fraction, test_fraction], seed=seed)
-    model = classifier_pipeline().fit(train)
-    auc = float("nan")
-    if not test.isEmpty():
-        scored = model.transform(test)
-        if scored.select("label").distinct().count() > 1:
-            auc = BinaryClassificationEvaluator(labelCol="label").evaluate(scored)
-    return model, auc
+    return data.withColumn("held", F.pmod(F.xxhash64("text"), F.lit(100)) < test_percent)
+
+
+def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
+                     test_percent: int = 20) -> PipelineModel:
+    """K7: fit on the rows outside the held-out part."""
+    return classifier_pipeline().fit(_labelled(df, text_col, label_col, test_percent).where(~F.col("held")))
+
+
+def held_out_auc(df: DataFrame, model: Transformer, text_col: str = "text", label_col: str = "label",
+                 test_percent: int = 20) -> float:
+    """Area under ROC on the held-out part; nan if it holds one class alone."""
+    scored = model.transform(_labelled(df, text_col, label_col, test_percent).where("held"))
+    if scored.select("label").distinct().count() < 2:
+        return float("nan")
+    return BinaryClassificationEvaluator(labelCol="label").evaluate(scored)
 
 
 def score_text(df: DataFrame, model: Transformer, text_col: str = "text", prefix: str = "sentiment",

@@ -946,7 +946,7 @@ def _labelled(spark, sf_dir, label: str):
 def toxicity_scores(spark, sf_dir):
     """K5 + K7: classifier trained on labels.toxic, then every document scored (label, probability)."""
     from sitelens.operators import textmodels as TM
-    model, _ = TM.train_classifier(_labelled(spark, sf_dir, "toxic"))
+    model = TM.train_classifier(_labelled(spark, sf_dir, "toxic"))
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return TM.score_text(d, model, prefix="toxicity", labels=("clean", "toxic")).drop("text")
 
@@ -955,7 +955,7 @@ def toxicity_scores(spark, sf_dir):
 def quality_scores(spark, sf_dir):
     """K6 + K7: classifier trained on labels.quality, then every document scored (label, probability)."""
     from sitelens.operators import textmodels as TM
-    model, _ = TM.train_classifier(_labelled(spark, sf_dir, "quality"))
+    model = TM.train_classifier(_labelled(spark, sf_dir, "quality"))
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return TM.score_text(d, model, prefix="quality", labels=("low", "high")).drop("text")
 
@@ -1064,3 +1064,37 @@ def typed_records(spark, sf_dir):
     for df, name in ((LK.html_only(r), "html"), (IX.indexable(r), "indexable"), (NT.submit_candidates(r), "submitted")):
         out = out.join(kept(df, name), "page_id", "left")
     return out.fillna(False)
+
+
+@register("notify_overall", f"""WITH b AS ({_sql_batches()}),
+r AS (SELECT e.engine IN ({', '.join(Q.lit(k) for k in NT.ENDPOINTS)}) AS success FROM b, (SELECT unnest({Q.str_list(ENGINES)}) AS engine) e)
+SELECT count(*) AS submissions, count(*) FILTER (WHERE success) AS success_count, bool_and(success) AS overall_success FROM r""")
+def notify_overall(spark, sf_dir):
+    """One success flag over all submissions."""
+    f = NT.fan_out_engines(batches(spark, sf_dir), ENGINES).withColumn("success", F.col("error").isNull())
+    return NT.notify_overall(f)
+
+
+@register("classified_documents", """SELECT doc_id, kind, true AS score_is_probability, true AS label_fits_score
+FROM documents, (SELECT unnest(['quality', 'toxicity']) AS kind)""")
+def classified_documents(spark, sf_dir):
+    """K5-K7: one row per document and classifier; scores are in [0, 1] and labels follow from them."""
+    out = None
+    for kind, scores, positive in (("toxicity", toxicity_scores, "toxic"), ("quality", quality_scores, "high")):
+        score, label = F.col(f"{kind}_score"), F.col(f"{kind}_label")
+        part = scores(spark, sf_dir).select(
+            "doc_id", F.lit(kind).alias("kind"), score.between(0, 1).alias("score_is_probability"),
+            ((score >= 0.5) == (label == positive)).alias("label_fits_score"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("classified_domains", f"""SELECT domain, true AS score_is_probability FROM ({Q.domain_rows_cte()})""")
+def classified_domains(spark, sf_dir):
+    """K7 + L5: a classifier trained on the labelled domains scores every domain."""
+    from sitelens.operators import textmodels as TM
+    d = FX.domain_rows(spark, sf_dir)
+    words = d.select("domain", F.regexp_replace("domain", r"[^a-z0-9]+", " ").alias("text"),
+                     (F.col("type") == "phishing").cast("int").alias("label"))
+    scored = TM.score_text(words, TM.train_classifier(words), prefix="domain", labels=("new_registration", "phishing"))
+    return scored.select("domain", F.col("domain_score").between(0, 1).alias("score_is_probability"))

@@ -7,7 +7,8 @@ def test_train_and_score(spark):
     good = [f"great useful helpful article number {i}" for i in range(20)]
     bad = [f"spam junk scam garbage offer {i}" for i in range(20)]
     df = spark.createDataFrame([(t, 1) for t in good] + [(t, 0) for t in bad], "text string, label int")
-    model, auc = TM.train_classifier(df, test_fraction=0.25, seed=7)
+    model = TM.train_classifier(df, test_percent=25)
+    auc = TM.held_out_auc(df, model, test_percent=25)
     assert auc != auc or auc > 0.8  # nan when the held-out split has one class
     scored = TM.score_text(spark.createDataFrame([("helpful useful",), ("scam offer",)], "text string"), model,
                            prefix="quality", labels=("low", "high")).collect()
