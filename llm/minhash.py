@@ -8,12 +8,17 @@ fingerprints, the share of equal values, estimates the Jaccard similarity of the
 Null text counts as empty: no shingles, a fingerprint of its own that is like other empty ones alone. A text with fewer
 words than a shingle has one shingle of them all. Equal texts have equal fingerprints; an empty table gives no rows;
 other columns are ignored.
+
+`near_duplicates` links documents whose 5-word shingle sets have a Jaccard similarity of SIMILARITY or more. Signatures
+are cut into bands; texts that agree in a band meet in a bucket by a Spark join, and every pair that is compared is
+verified on the whole shingle sets. A bucket is not expanded into all pairs: in round k the members of rank 2^k - 1 to
+2^(k+1) - 2 are held against the later members of other components only. The first one links a group of near copies, so
+later rounds have only what is still apart; no pair of one bucket stays both unlinked and uncompared.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import WORD_PATTERN, documents, narrow, partitions, range_bounds, range_bucket, record_batch
+from llm.common import documents, narrow, partitions, range_bounds, range_bucket, record_batch, slices, stage
+from llm.components import components
+from sitelens.plans.ids import dense_ids
 
 SHINGLE_WORDS, PERMUTATIONS, SEED = 5, 128, 7
+#: Values of a band (with 128 values a pair at 0.8 meets in some band but for a chance of 0.002), least similarity.
+BAND_VALUES, SIMILARITY = 6, 0.8
 _BLOCK = 512
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_WORD = re.compile(WORD_PATTERN.encode())
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -72,6 +80,81 @@ def fingerprint(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
 
+def bands(signature: np.ndarray, values: int = BAND_VALUES) -> list[int]:
+    """A signed 64-bit hash of each full band of values."""
+    return [
+        xxhash.xxh64_intdigest(signature[i : i + values].tobytes(), i) - (1 << 63)
+        for i in range(0, len(signature) - values + 1, values)
+    ]
+
+
+def shingle_sets(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, set_key (a hash of the shingle set), shingles (sorted, distinct), bands."""
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("set_key", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64())),
+    ])
+
+    def emit(batches):
+        hasher = MinHash(**options)
+        for batch in slices(batches, 1 << 20):
+            rows = []
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                distinct = np.unique(hasher.shingles(text).view(np.int64))
+                key = xxhash.xxh64_intdigest(distinct.tobytes()) - (1 << 63)
+                rows.append((doc_id, key, distinct, bands(hasher.signature(text))))
+            yield record_batch(schema, list(zip(*rows)))
+
+    return narrow(docs).mapInArrow(emit, "doc_id long, set_key long, shingles array<long>, bands array<long>")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """doc_id, class_id (the least doc_id reachable by verified links), n_links (verified links of its shingle set to
+    other sets that had to be compared). Documents with equal shingle sets are of one class. A null doc_id is no
+    candidate for class_id."""
+
+    sets = stage(shingle_sets(docs, **options), "shingle-sets")
+    one = sets.groupBy("set_key").agg(F.min("doc_id").alias("first"))
+    distinct = sets.dropDuplicates(["set_key"]).select("set_key", "shingles", "bands")  # equal rows: whichever stays
+    spots = distinct.select(F.col("set_key").alias("k"), F.posexplode("bands").alias("band", "value"))
+    spots = stage(dense_ids(spots, "k", "rank", group_by=["band", "value"]), "bands")
+    longest = spots.agg(F.max("rank").alias("r")).first()["r"]
+    links = None
+    roots = None
+    first = 0
+    while longest is not None and first < longest:
+        rows = spots
+        if roots is not None:
+            rows = spots.join(roots.withColumnRenamed("node", "k"), "k", "left").withColumn("root", F.coalesce("root", "k"))
+        else:
+            rows = spots.withColumn("root", F.col("k"))
+        lead = rows.where(F.col("rank").between(first, 2 * first)).select(
+            "band", "value", F.col("k").alias("a"), F.col("rank").alias("lead_rank"), F.col("root").alias("lead_root")
+        )
+        pairs = rows.where(F.col("rank") > first).join(lead, ["band", "value"]).where(
+            (F.col("rank") > F.col("lead_rank")) & (F.col("root") != F.col("lead_root"))
+        ).select("a", F.col("k").alias("b")).distinct()
+        left = distinct.select(F.col("set_key").alias("a"), F.col("shingles").alias("x"))
+        right = distinct.select(F.col("set_key").alias("b"), F.col("shingles").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        verified = pairs.join(left, "a").join(right, "b").where(
+            (F.size("x") > 0) & (common >= F.lit(similarity) * (F.size("x") + F.size("y") - common))
+        )
+        found = stage(verified.select("a", "b"), "near-links")
+        links = found if links is None else links.union(found)
+        roots = stage(components(links), "near-roots")
+        first = 2 * first + 1
+    named = one if roots is None else one.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left")
+    named = named.withColumn("root", F.coalesce("root", "set_key") if roots is not None else F.col("set_key"))
+    least = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    named = named.join(least, "root").select("set_key", "class_id")
+    if links is None:
+        return sets.join(named, "set_key").select("doc_id", "class_id", F.lit(0).cast("long").alias("n_links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("set_key")).groupBy("set_key").agg(F.count("*").alias("n_links"))
+    return sets.select("doc_id", "set_key").join(named, "set_key").join(ends, "set_key", "left").select(
+        "doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    )
+
+
 _RESULT = """doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,
  near_edited double, near_next double"""
 

@@ -7,7 +7,14 @@ import xxhash
 
 from llm import simhash
 from llm.components import components
-from llm.minhash import MinHash, fingerprint, fingerprint_with_next, likeness, op2_minhash_fingerprints
+from llm.minhash import (
+    MinHash,
+    fingerprint,
+    fingerprint_with_next,
+    likeness,
+    near_duplicates,
+    op2_minhash_fingerprints,
+)
 
 
 def expected(items):
@@ -51,6 +58,28 @@ def test_minhash_odd_rows(spark, odd, odd_rows, empty):
     assert one.near_next == 1.0
 
 
+def test_minhash_classes_are_those_of_all_verified_pairs(spark, odd_rows, empty):
+    rnd = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(500)]
+    originals = [list(rnd.choice(words, n)) for n in (60, 60, 120, 200, 300, 4)]
+    rows = []
+    for i in range(120):  # groups of near copies, each with edits of its own
+        copy = list(originals[i % 6])
+        for _ in range(rnd.integers(0, 4)):
+            copy[rnd.integers(len(copy))] = str(rnd.choice(words))
+        rows.append((i, " ".join(copy)))
+    rows += [(500, rows[0][1]), (501, None), (502, ""), (503, "a b"), (504, "a b"), (505, " ".join(rnd.choice(words, 80)))]
+    hasher = MinHash()
+    sets = [(i, frozenset(hasher.shingles(t or "").tolist())) for i, t in rows]
+    near = lambda x, y: x == y or (x and len(x & y) >= 0.8 * len(x | y))
+    want = slow_components(sets, near)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert near_duplicates(empty).collect() == []
+    odd = near_duplicates(spark.createDataFrame(odd_rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert odd.count() == len(odd_rows)
+
+
 def slow_simhash(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
