@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from llm import suffix_dedup
 from llm.bpe import op1_byte_bpe
 from llm.classlm import op4_brown_class_lm
 from llm.minhash import op2_minhash_fingerprints
@@ -30,6 +31,6 @@ QUERIES = {
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_suffix_dedup": suffix_dedup.ORACLE_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -364,3 +364,24 @@ def remove_repeats(docs: DataFrame, **options) -> DataFrame:
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return find_repeats(documents(spark, sf_dir))
+
+
+#: The same in DuckDB: every 200-byte string of every text, those that start twice, and the bytes that they cover.
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+strings AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s
+            FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+edges AS (SELECT r, p, sum(v) AS v FROM (
+            SELECT r, i AS p, 1 AS v FROM strings SEMI JOIN twice USING (s)
+            UNION ALL SELECT r, i + 200, -1 FROM strings SEMI JOIN twice USING (s)) GROUP BY r, p),
+bytes AS (SELECT b.r, b.p, substr(b.h, 2 * b.p + 1, 2) AS x,
+                 coalesce(sum(e.v) OVER (PARTITION BY b.r ORDER BY b.p ROWS UNBOUNDED PRECEDING), 0) > 0 AS gone
+          FROM (SELECT r, h, unnest(range(length(h) // 2)) AS p FROM d) b LEFT JOIN edges e ON e.r = b.r AND e.p = b.p),
+runs AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY r ORDER BY p) AS starts FROM bytes),
+kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans,
+                coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS h FROM runs GROUP BY r)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
