@@ -17,27 +17,39 @@ from llm.simhash import keep_first
 from llm.suffix_dedup import remove_repeats
 
 
+#: Rows that go to a Python step at once: workers and executors hold few texts of any stage.
+BATCH_ROWS = 500
+
+
+def _settings(spark) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression bands or the base rules reject go."""
+    _settings(spark)
     return filter_quality(docs)
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    _settings(spark)
     return keep_first(docs)
 
 
 def repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated strings go from the texts; every document stays."""
+    _settings(spark)
     return _counted(remove_repeats(docs)).select(*docs.columns)
 
 
 def private(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in brackets."""
+    _settings(spark)
     return _counted(mask_private(docs)).select(*docs.columns)
 
 
@@ -45,6 +57,7 @@ def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens, placed in sequences: the rows of op7 for what is left."""
     import public_tokenizers
 
+    _settings(spark)
     found = pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

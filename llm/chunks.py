@@ -24,7 +24,7 @@ _MIXED = f"\\x00|[ \\n][{_RE2_SPACE}]|[{_RE2_SPACE}][ \\n]"
 _TAIL = ".,"
 _TAILED = r"\pL[.,]+$"
 #: Bytes of text that are encoded at once, beside a longer single text.
-ENCODE_BYTES = 4 << 20
+ENCODE_BYTES = 2 << 20
 #: Distinct units that a worker remembers; beyond, it starts anew (a bound on memory, not on what is encoded).
 REMEMBERED = 2_000_000
 
@@ -50,8 +50,8 @@ class ChunkEncoder:
 
     spaces=False: white space is dropped by the tokenizer and chunks are split at ASCII white space alone."""
 
-    def __init__(self, encode, spaces: bool = True):
-        self.encode, self.spaces = encode, spaces
+    def __init__(self, encode, spaces: bool = True, remembered: int = REMEMBERED):
+        self.encode, self.spaces, self.remembered = encode, spaces, remembered
         self.reset()
 
     def reset(self) -> None:
@@ -103,7 +103,7 @@ class ChunkEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
         texts = texts.cast(pa.string())
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.reset()
         chunks, counts = self._split(texts)
         if not len(chunks):
@@ -137,7 +137,7 @@ class ChunkEncoder:
 _LOADED: dict = {}
 
 
-def tokenizer_encoder(source: str, spaces: bool) -> ChunkEncoder:
+def tokenizer_encoder(source: str, spaces: bool, remembered: int = REMEMBERED) -> ChunkEncoder:
     """One encoder per worker process for a tokenizers file given as its JSON text; strings of special tokens in a text
     are ordinary text."""
     key = (hash(source), len(source), spaces)
@@ -151,11 +151,13 @@ def tokenizer_encoder(source: str, spaces: bool) -> ChunkEncoder:
         tokenizer.encode_special_tokens = True
 
         def encode(units):
-            ids = [e.ids for i in range(0, len(units), 1000)
-                   for e in tokenizer.encode_batch_fast(units[i : i + 1000], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes
+            parts, sizes = [np.empty(0, np.int32)], np.empty(len(units), np.int64)
+            for i in range(0, len(units), 1000):
+                ids = [e.ids for e in tokenizer.encode_batch_fast(units[i : i + 1000], add_special_tokens=False)]
+                sizes[i : i + 1000] = [len(x) for x in ids]
+                parts.append(np.fromiter(chain.from_iterable(ids), np.int32))
+            return np.concatenate(parts), sizes
 
         _LOADED.clear()
-        _LOADED[key] = ChunkEncoder(encode, spaces)
+        _LOADED[key] = ChunkEncoder(encode, spaces, remembered)
     return _LOADED[key]

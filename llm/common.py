@@ -15,6 +15,8 @@ from sitelens.session import ensure_checkpoint_dir, read_table
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: The Unicode White_Space characters, as a character class body.
 WHITE_SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Rows of an Arrow batch where a Python step holds tables of its own beside it.
+BATCH_ROWS = 500
 #: Bytes of text that a Python step holds at once, beside a longer single text.
 SLICE_BYTES = 8 << 20
 
@@ -46,12 +48,24 @@ def record_batch(schema: pa.Schema, columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def stage(df: DataFrame, name: str, **options) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str, batch_rows: int | None = None, **options) -> DataFrame:
     """Write `df` once as Parquet into the shared checkpoint folder and read it back: lineage ends there and a lost
-    executor costs no recomputation."""
+    executor costs no recomputation. The shuffle files behind it go when it is written. batch_rows: rows of an Arrow
+    batch to Python meanwhile."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").options(**options).parquet(path)
+    before = {k: spark.conf.get(k) for k in (_BATCH, _CLEANUP)}
+    spark.conf.set(_BATCH, str(batch_rows or before[_BATCH]))
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").options(**options).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

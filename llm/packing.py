@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.chunks import ENCODE_BYTES, tokenizer_encoder
-from llm.common import documents, narrow, ranked, record_batch, slices, stage
+from llm.common import BATCH_ROWS, documents, narrow, ranked, record_batch, slices, stage
 
 #: Fixed values of the contract.
 CAPACITY, END_ID = 4096, 1
+#: Distinct units that a worker remembers while it tokenizes (beside other stages of a pipeline).
+REMEMBERED = 400_000
 #: Pieces longer than this share of a sequence are large; so many groups of them.
 LARGE_SHARE, GROUPS = 1 / 3, 24
 
@@ -44,7 +46,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "crc"))])
 
     def cut(batches):
-        encoder = tokenizer_encoder(source, False)
+        encoder = tokenizer_encoder(source, False, REMEMBERED)
         for batch in slices(batches, ENCODE_BYTES):
             flat, counts = encoder(batch.column("text"))
             ends = np.cumsum(counts + 1)
@@ -206,7 +208,7 @@ def places(runs: list[tuple[int, list[int]]]) -> np.ndarray:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame:
     """The pieces (columns of token_pieces) with sequence_id and offset."""
-    rows = stage(pieces.withColumn("__part", F.spark_partition_id()), "pieces")
+    rows = stage(pieces.withColumn("__part", F.spark_partition_id()), "pieces", BATCH_ROWS)
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
     table = places(plan(counts, capacity, **options))
 

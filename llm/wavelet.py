@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.chunks import ENCODE_BYTES, tokenizer_encoder
-from llm.common import documents, narrow, partitions, range_bounds, range_bucket, record_batch, slices, stage
+from llm.common import BATCH_ROWS, documents, narrow, partitions, range_bounds, range_bucket, record_batch, slices, stage
 
 #: Tokens of a shard, beside a longer single document.
 SHARD_TOKENS = 1 << 21
@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sha
     bounds = range_bounds(docs, "doc_id", n)
     ranged = rows.withColumn("part", range_bucket(F.col("doc_id"), bounds)).repartitionById(n, F.col("part"))
     shards = ranged.sortWithinPartitions("part", "doc_id").mapInArrow(cut, _SHARD)
-    return stage(shards, "wavelet-shards", maxRecordsPerFile=1)
+    return stage(shards, "wavelet-shards", BATCH_ROWS, maxRecordsPerFile=1)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
