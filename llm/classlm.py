@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import documents, narrow, record_batch, slices, stage
+from llm.common import BATCH_ROWS, documents, narrow, record_batch, slices, stage
 
 #: Fixed values of the contract: documents held out, and the base's addition to counts.
 FOLDS, HELD_FOLD, BASE_ADD = 5, 1, 0.5
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Words that the rounds exchange, word classes, rounds; class 0 is the end of a text.
 HEAD, CLASSES, ROUNDS = 2048, 64, 8
 #: Weight, in tokens, of the class frequencies in a transition, and of the overall share of unseen words.
@@ -86,7 +86,7 @@ def coded_chunks(docs: DataFrame) -> DataFrame:
             ])
             number += 1
 
-    return stage(narrow(docs).mapInArrow(emit, _CHUNK), "lm-chunks")
+    return stage(narrow(docs).mapInArrow(emit, _CHUNK), "lm-chunks", BATCH_ROWS)
 
 
 class _Chunk:
