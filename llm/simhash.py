@@ -10,7 +10,8 @@ member one link to the least member that it reaches inside the bucket, never all
 
 Null or empty texts have no words: fingerprint zero, linked like any other. Equal texts and repeated rows have equal
 fingerprints; an empty table gives no rows; other columns are ignored. A null doc_id gets a result row, but is no
-candidate for component_id unless its whole component has null ids (then component_id is null).
+candidate for component_id unless its whole component has null ids (then component_id is null). `keep_first` decides
+for each component by itself, so neither null nor shared doc_ids cost a document that has no copy.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from llm.common import documents, narrow, stage
 from llm.components import components
@@ -49,14 +51,18 @@ def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp long."""
+    """doc_id, text_key (a hash of the text), fp long."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle_words) for t in texts], dtype="int64")
 
-    return narrow(docs).select("doc_id", fp("text").alias("fp"))
+    return narrow(docs).select("doc_id", _text_key().alias("text_key"), fp("text").alias("fp"))
 
 
 def covering_masks(free: int, radius: int) -> list[int]:
@@ -126,26 +132,36 @@ def links_within(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return out
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links of at most `radius` differing bits)."""
-    marked = stage(fingerprints(docs, shingle_words), "simhash")
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
+def _rooted(marked: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
+    """marked: rows of `fingerprints`. (fp, root) of each distinct fingerprint, and (root, first) of each component: its
+    row of the smallest doc_id (null last), then of the least text_key."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    distinct = stage(marked.groupBy("fp").agg(F.min(row).alias("first")), "fingerprints")
     roots = components(links_within(distinct.select("fp"), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    return rooted.select("fp", "root"), rooted.groupBy("root").agg(F.min("first").alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable by links of at most `radius` differing bits)."""
+    marked = stage(fingerprints(docs, shingle_words), "simhash")
+    rooted, least = _rooted(marked, radius)
+    named = rooted.join(least, "root").select("fp", F.col("first.doc_id").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """Of each component the row of the smallest doc_id, with all its columns; rows of one doc_id count as one document
-    (the least text stays)."""
-    found = near_duplicates(docs, shingle_words, radius)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    """Of each component one row with all its columns: that of the smallest doc_id (null last; of several texts of this
+    doc_id in the component the one of the least hash)."""
+    _, least = _rooted(stage(fingerprints(docs, shingle_words), "simhash"), radius)
+    kept = least.select(F.col("first.doc_id").alias("__kept_id"), F.col("first.text_key").alias("__kept_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("__kept_id")) & (_text_key() == F.col("__kept_key"))
+    rows = docs.join(kept, same, "left_semi")
+    # repeated rows of one doc_id and text: one stays
+    order = [F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, AtomicType)]
+    nth = F.row_number().over(Window.partitionBy("doc_id", _text_key()).orderBy(*order))
     return rows.select("*", nth.alias("__nth")).where("__nth = 1").drop("__nth")
 
 

@@ -151,6 +151,17 @@ def test_simhash_odd_rows(odd, odd_rows, empty):
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_first(empty).collect() == []
 
 
+def test_simhash_keeps_a_row_of_every_component(spark):
+    rnd = np.random.default_rng(4)
+    text = lambda: " ".join(f"w{i}" for i in rnd.integers(0, 5000, 120))
+    clean, shared, copied = [text() for _ in range(6)], [text() for _ in range(3)], text()
+    rows = [(None, t) for t in clean] + [(None, clean[0])]  # only null ids in each component
+    rows += [(7, t) for t in shared] + [(7, shared[1])] + [(7, copied), (3, copied), (None, copied)]
+    want = sorted([(None, t) for t in clean] + [(7, t) for t in shared] + [(3, copied)], key=str)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_first(df).collect()), key=str) == want
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
