@@ -1,7 +1,10 @@
+import base64
 import math
 import re
+import string
 import zlib
 from collections import Counter
+from pydoc_data.topics import topics
 
 import numpy as np
 import pytest
@@ -110,6 +113,25 @@ def test_quality_bands():
     assert not judge(half)[6]
 
 
+@pytest.mark.parametrize("size", [450, 573, 1000, 1843, 2048, 4200, 7582, 28528, 189608])
+def test_quality_tells_noise_from_prose(size):
+    rnd, judge = np.random.default_rng(size), Judge()
+    letters = list(string.ascii_letters + string.digits)
+    words = " ".join("".join(rnd.choice(letters, rnd.integers(2, 9))) for _ in range(size // 4))[:size]
+    code = base64.b64encode(rnd.bytes(size)).decode()
+    lines = "\n".join(code[i : i + 8] for i in range(0, size, 8))[:size]
+    for noise in (words, lines):
+        assert not judge.in_band(noise.encode())[0]
+        assert not judge(noise)[6]
+    manual = " ".join(re.sub(r"[^A-Za-z0-9 .,;:()\n'-]", "", topics[k]) for k in sorted(topics))
+    least = next(low for most, low, _ in judge.whole_bands if size <= most)
+    for start in range(0, len(manual) - size + 1, size):  # its tables of operators are over the upper limits
+        part = manual[start : start + size].encode()
+        assert judge.ratio(part) >= least
+        if size >= judge.chunk_bytes:
+            assert judge.ratio(part[: judge.chunk_bytes]) >= judge.chunk_band[0]
+
+
 def test_quality_odd_rows(odd, odd_rows, empty):
     rows = score_quality(odd).collect()
     assert len(rows) == len(odd_rows)
