@@ -38,13 +38,21 @@ _IP = rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"
 
 _WORD = r"[^\x20\x09-\x0D]"
 _SPACE = r"[\x20\x09-\x0D]"
-#: Candidates: words with an at sign or a written "(at)", and runs of words of digits and their separators.
+#: Addresses that the base cannot match: four numbers with written, bracketed or spaced dots, and groups of IPv6.
+_DOT = r"(?:\x20?(?:\.|\[\.\]|\(\.\)|\{\.\}|[\[(]dot[\])])\x20?|\x20dot\x20)"
+_DOTTED = rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}"
+_GROUPS = "[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+)"
+_IPV6 = rf"(?:{_GROUPS}{{7}}|(?=:*+[0-9A-Fa-f])(?!(?:[0-9A-Fa-f]*:){{9}})(?:{_GROUPS}{{0,6}})?::(?:{_GROUPS}{{0,6}})?)"
+#: Candidates: words with an at sign or a written "(at)", addresses as above, and runs of words of digits and their
+#: separators.
 CANDIDATE = (
-    rf"(?<!{_WORD}){_WORD}*?(?:@|[\[(]at[\])]){_WORD}++|(?<![^\x20\x09-\x0D\"'])[0-9(][0-9()./:-]*+(?:\x20[0-9(][0-9()./:-]*+)*+"
+    rf"(?<!{_WORD}){_WORD}*?(?:@|[\[(]at[\])]){_WORD}++"
+    rf"|(?<![^\x20\x09-\x0D\"'\[(])(?:{_IPV6}(?![0-9A-Za-z:])|{_DOTTED}(?![0-9A-Za-z]))"
+    r"|(?<![^\x20\x09-\x0D\"'])[0-9(][0-9()./:-]*+(?:\x20[0-9(][0-9()./:-]*+)*+"
 )
 _LIKE = {
     "email": r"^[^@]+(?:@|[\[(]at[\])])[^@]+[.\])][^@]*[A-Za-z]$",
-    "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}[:/][0-9]+$",
+    "ip": rf"^(?:{_BYTE}(?:{_DOT}{_BYTE}){{3}}|{_IPV6})$",
     "card": r"^(?:[0-9][ .-]?){12,18}[0-9]$",
     "phone": r"^\(?(?:[0-9][ ().\/-]{0,3}){6,14}[0-9]$",
 }
@@ -115,11 +123,13 @@ def base_entities(docs: DataFrame) -> DataFrame:
         likely = has_digit if kind == "card" else F.col("text").contains(_NEEDS[kind])
         found = F.filter(located(F.col("text"), pattern), _valid(kind))
         rows = rows.withColumn(kind, F.when(likely, found).otherwise(empty))
-    likely = has_digit | F.col("text").contains("@") | F.col("text").rlike(r"[\[(]at[\])]")
+    likely = has_digit | F.col("text").contains("@") | F.col("text").contains("::") | F.col("text").rlike(r"[\[(]at[\])]")
     rows = rows.withColumn("candidates", F.when(likely, located(F.col("text"), CANDIDATE)).otherwise(empty))
 
     def trimmed(m):
-        value = F.regexp_replace(m["value"], r"[^0-9A-Za-z\])]+$", "")
+        value = F.when(m["value"].rlike(rf"^{_IPV6}$"), m["value"]).otherwise(
+            F.regexp_replace(m["value"], r"[^0-9A-Za-z\])]+$", "")
+        )
         return F.struct(
             m["start"].alias("start"), (m["start"] + F.char_length(value)).cast("int").alias("stop"), value.alias("value"),
             m["before"].alias("before"),

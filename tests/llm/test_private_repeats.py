@@ -89,6 +89,20 @@ def test_private_contexts_discover_more(spark):
     assert all("555-" not in t and "example.com" not in t and t.count("[phone]") == 1 for t in masked.values())
 
 
+def test_private_contexts_discover_addresses(spark):
+    hidden = ["10[.]0[.]0[.]1", "10 . 20 . 30 . 44", "192(dot)168(dot)7(dot)9", "10 dot 1 dot 2 dot 3", "2001:db8::8a2e:370:7334"]
+    hidden += ["fe80::1", "2001:db8:0:0:1:0:0:1", "2001:db8::"]
+    others = ["999.1.1.1:80", "999[.]1[.]1[.]1", "1.2.3.256", "12:30:45", "std::vector", "1::2::3", "1:2:3:4:5:6:7:8:9", "aa:bb:cc:dd:ee:ff"]
+    rows = [(i, f"seen from host {f'10.9.8.{i}'} today") for i in range(80)]
+    rows += [(100 + i, f"seen from host {h}, again") for i, h in enumerate(hidden)]
+    rows += [(200 + i, f"seen from host {o} again") for i, o in enumerate(others)]
+    rows += [(300 + i, f"an ordinary word {h} again") for i, h in enumerate(hidden)]
+    of = dict(rows)
+    for r in pii.find_private(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        more = [(s.kind, of[r.doc_id][s.start : s.stop]) for s in r.spans if s not in r.base]
+        assert more == ([("ip", hidden[r.doc_id - 100])] if 100 <= r.doc_id < 200 else []), of[r.doc_id]
+
+
 def test_private_odd_rows(odd, odd_rows, empty):
     assert pii.find_private(odd).count() == len(odd_rows)
     masked = pii.mask_private(odd)
