@@ -1,17 +1,18 @@
 """Brown class-based bigram model: exchange clustering, class transitions and word emissions, smoothed scores.
 
 1. Every chunk of whole documents is stored as codes of its own vocabulary, so texts are tokenized once.
-2. Words that make up 1 / HEAD or more of some chunk's training tokens are the head (at most HEAD of them are kept). Their
-   bigram table is built in Spark, and exchange rounds move each head word to the class that raises the likelihood of
-   the class bigrams most; in a round only half of the words move, so that parallel moves don't undo each other.
-3. All other words then take one exchange step: each is moved from no class to the class where its own neighbours'
-   classes, gathered over all documents, gain most. This shuffle by word also gives every word's exact count.
-4. Class transitions are counted over all training documents with those classes.
+2. All words get numbers and their counts over all training documents. The HEAD most frequent ones start the clustering:
+   their bigram table is built in Spark, and exchange rounds move each to the class that raises the likelihood of the
+   class bigrams most; in a round only half of the words move, so that parallel moves don't undo each other.
+3. Every other word starts in the class that its head neighbours speak for most, or without any by its frequency band.
+4. Exchange rounds over all words, however many, go on until two of them gain less than SMALL_GAIN a token. Each chunk
+   counts the classes beside its words; the counts are dealt out by word, and chunks get their words' classes back.
 5. log10 P(w | v) = log10 (1 - u) P(c(w) | c(v)) P(w | c(w)) for words seen in training, log10 u for an unseen one: u is the
    share of words seen once among those that follow the class of v. Transitions are smoothed by the class frequencies.
 
-A chunk's vocabulary is joined with the words through (word, chunk) rows, so a frequent word is one row a chunk. The
-driver and closures hold HEAD words and CLASSES x CLASSES counts, whatever the size of the corpus.
+A chunk's vocabulary is joined with the words through (word, chunk) rows, so a frequent word is one row a chunk; in the
+rounds a row holds the words of one chunk and one part of the numbers. The driver and closures hold HEAD words and
+CLASSES x CLASSES counts, whatever the size of the corpus.
 
 Null text: empty (one end token). Null doc_id: scored, and used for training as if its text form were empty. Repeated
 rows count repeatedly; an empty table gives no rows; a corpus without training documents scores every word as unseen
@@ -32,13 +33,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import BATCH_ROWS, documents, narrow, record_batch, slices, stage
+from llm.common import BATCH_ROWS, documents, narrow, partitions, record_batch, slices, stage
 
 #: Fixed values of the contract: documents held out, and the base's addition to counts.
 FOLDS, HELD_FOLD, BASE_ADD = 5, 1, 0.5
 CHUNK_BYTES = 8 << 20
-#: Words that the rounds exchange, word classes, rounds; class 0 is the end of a text.
+#: Words that start the clustering, word classes, rounds over these; class 0 is the end of a text.
 HEAD, CLASSES, ROUNDS = 2048, 64, 8
+#: Rounds over all words end when two of them raise the log likelihood by less than this a token.
+SMALL_GAIN = 0.005
 #: Weight, in tokens, of the class frequencies in a transition, and of the overall share of unseen words.
 PRIOR, UNSEEN_PRIOR = 20.0, 200.0
 
@@ -113,43 +116,74 @@ def _rows(batches, columns=("sizes", "held", "codes")):
             yield one, _Chunk(*(one.column(c)[0].as_py() if c == "codes" else one.column(c)[0].values.to_numpy(zero_copy_only=False) for c in columns))
 
 
-def head_words(chunks: DataFrame, head: int) -> list[str]:
-    """The words (no end) that make up 1 / head of some chunk's training tokens; the most frequent there, if too many."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+def numbered_words(chunks: DataFrame) -> DataFrame:
+    """(chunk, place, id, count, new): for each word of each chunk its number (0: the end) and training count over all
+    chunks; new: in one of the rows of each training word."""
+    schema = pa.schema([("word", pa.string()), ("chunk", pa.int64()), ("place", pa.int32()), ("n", pa.int64())])
+    out = pa.schema([("chunk", pa.int64()), ("place", pa.int32()), ("id", pa.int64()), ("count", pa.int64()), ("new", pa.bool_())])
 
     def emit(batches):
         for batch in batches:
-            for words, counts in zip(batch.column("words"), batch.column("counts")):
-                n = counts.values.to_numpy()
-                often = np.flatnonzero(n * head >= max(1, n.sum()))
-                often = often[often > 0]  # word 0 is the end
-                yield record_batch(schema, [words.values.take(pa.array(often)), n[often]])
+            for chunk, words, counts in zip(*(batch.column(c) for c in ("chunk", "words", "counts"))):
+                n = len(words.values)
+                yield pa.RecordBatch.from_arrays(
+                    [words.values, pa.array(np.full(n, chunk.as_py())), pa.array(np.arange(n, dtype=np.int32)), counts.values],
+                    schema=schema,
+                )
+
+    def number(batches):
+        held, first = None, (TaskContext.get().partitionId() << 40) + 1
+
+        def numbered(rows: pa.Table):
+            coded = rows.column("word").combine_chunks().dictionary_encode()
+            group = coded.indices.to_numpy().astype(np.int64)
+            end = pc.fill_null(pc.equal(rows.column("word"), ""), False).to_numpy()
+            total = np.bincount(group, rows.column("n").to_numpy()).astype(np.int64)
+            new = np.zeros(len(group), bool)
+            new[np.unique(group, return_index=True)[1]] = total > 0
+            ids = np.where(end, 0, first + group)
+            return len(total), record_batch(out, [rows.column("chunk").to_numpy(), rows.column("place").to_numpy(), ids, total[group], new])
 
-    often = chunks.select("words", "counts").mapInArrow(emit, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in often.orderBy(F.desc("n"), "word").limit(head).collect()]
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            table = table.combine_chunks()
+            words = table.column("word").combine_chunks()
+            stop = pc.index(words, words[-1]).as_py()  # the last word may go on in the next batch
+            held = table.slice(stop)
+            if stop:
+                n, found = numbered(table.slice(0, stop))
+                first += n
+                yield found
+        if held is not None and held.num_rows:
+            yield numbered(held.combine_chunks())[1]
+
+    each = chunks.select("chunk", "words", "counts").mapInArrow(emit, "word string, chunk long, place int, n long")
+    return each.repartition("word").sortWithinPartitions("word").mapInArrow(
+        number, "chunk long, place int, id long, count long, new boolean"
+    )
 
 
-def _head_codes(words: pa.Array, head: pa.Array, rest: int) -> np.ndarray:
-    """The head number of each word of a chunk: 0 for the end, 1... for head words, `rest` for all others."""
-    found = pc.fill_null(pc.add(pc.index_in(words, head), 1), rest).to_numpy(zero_copy_only=False).astype(np.int64)
-    found[0] = 0
-    return found
+def _numbers_of(ids: np.ndarray, head: np.ndarray, rest: int) -> np.ndarray:
+    """The head number of each word number: 0 for the end, 1... for head words, `rest` for all others."""
+    order = np.argsort(head)
+    at = np.minimum(np.searchsorted(head[order], ids), max(len(head) - 1, 0))
+    found = np.where(head[order][at] == ids, order[at] + 1, rest) if len(head) else np.full(len(ids), rest)
+    return np.where(ids == 0, 0, found)
 
 
-def head_bigrams(chunks: DataFrame, head: list[str]) -> DataFrame:
-    """(a, b, n): training bigrams of head numbers."""
+def head_bigrams(coded: DataFrame, head: np.ndarray) -> DataFrame:
+    """(a, b, n): training bigrams of head numbers. head: the word numbers, the most frequent first."""
     rest = len(head) + 1
     schema = pa.schema([("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())])
 
     def emit(batches):
-        known = pa.array(head, pa.string())
         for row, chunk in _rows(batches):
-            own = _head_codes(row.column("words")[0].values, known, rest)[chunk.codes]
+            own = _numbers_of(row.column("ids")[0].values.to_numpy(), head, rest)[chunk.codes]
             keys = (chunk.before(own) * (rest + 1) + own)[chunk.train]
             keys, n = np.unique(keys, return_counts=True)
             yield record_batch(schema, [(keys // (rest + 1)).astype(np.int32), (keys % (rest + 1)).astype(np.int32), n])
 
-    some = chunks.select("words", "sizes", "held", "codes").mapInArrow(emit, "a int, b int, n long")
+    some = coded.select("ids", "sizes", "held", "codes").mapInArrow(emit, "a int, b int, n long")
     return stage(some.groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-bigrams")
 
 
@@ -157,7 +191,7 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def best_class(left: np.ndarray, right: np.ndarray, own: float, now: int, table: np.ndarray, movable: range) -> int:
+def best_class(left: np.ndarray, right: np.ndarray, own: float, now: int, table: np.ndarray, movable) -> int:
     """The class of `movable` where a word raises the class-bigram likelihood most. left, right: how often each class
     stands before and after it, without itself; own: how often it follows itself; table: class bigrams, the word in
     class `now`."""
@@ -177,6 +211,39 @@ def best_class(left: np.ndarray, right: np.ndarray, own: float, now: int, table:
     return int(choice[np.argmax(gain[choice])]) if gain[choice].max() > gain[now] + 1e-9 else now
 
 
+def best_classes(left: np.ndarray, right: np.ndarray, own: np.ndarray, now: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """best_class of many words at once, among the classes 1... that have words (all words that move at the same time
+    would take the same empty one): a row of left and right for each word."""
+    words, width = left.shape
+    gain = np.zeros((words, width))
+    for beside, other, m in ((left, right, table), (right, left, table.T)):
+        word, slot = np.nonzero(beside)
+        if not len(word):
+            continue
+        n, at, entry = beside[word, slot], now[word], np.arange(len(word))
+        base = m[slot].astype(float)
+        base[entry, at] -= n
+        same = slot == at
+        base[same] -= other[word[same]]
+        base[entry[same], at[same]] -= own[word[same]]
+        base = np.maximum(base, 0)
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        gain[word[starts]] += np.add.reduceat(_f(base + n[:, None]) - _f(base), starts)
+    row = np.arange(words)
+    d = np.tile(np.diag(table).astype(float), (words, 1))
+    d[row, now] -= left[row, now] + right[row, now] + own
+    d = np.maximum(d, 0)
+    gain += _f(d + left + right + own[:, None]) - _f(d + left) - _f(d + right) + _f(d)
+    for axis, mine in ((1, right.sum(axis=1) + own), (0, left.sum(axis=1) + own)):
+        sums = np.tile(table.sum(axis=axis).astype(float), (words, 1))
+        sums[row, now] -= mine
+        sums = np.maximum(sums, 0)
+        gain -= _f(sums + mine[:, None]) - _f(sums)
+    gain[:, table.sum(axis=0) == 0] = -np.inf
+    best = 1 + gain[:, 1:].argmax(axis=1)
+    return np.where(gain[row, best] > gain[row, now] + 1e-9, best, now)
+
+
 def exchange(bigrams: DataFrame, n_head: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """The class of each head number (0: the end; classes + 1: the rest) and the class bigrams under them."""
     rest, width = n_head + 1, classes + 2
@@ -201,14 +268,16 @@ def exchange(bigrams: DataFrame, n_head: int, classes: int = CLASSES, rounds: in
         sums = sides.where((F.col("h") > 0) & (F.col("h") < rest)).groupBy("h", "slot").agg(F.sum("n").alias("n"))
         words = sums.groupBy("h").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))
         mine = of
+        # an empty class would draw all words that move in the same round
+        used = [c for c in range(1, classes + 1) if table[c].any()]
 
-        def move(frames, step=step, table=table, mine=mine):
+        def move(frames, step=step, table=table, mine=mine, used=used):
             for frame in frames:
                 moved = []
                 for h, slots, ns in zip(frame["h"], frame["slots"], frame["ns"]):
                     vector = np.zeros(2 * width + 1)
                     vector[np.asarray(slots)] = np.asarray(ns, float)
-                    at = best_class(vector[:width], vector[width:-1], vector[-1], mine[h], table, range(1, classes + 1))
+                    at = best_class(vector[:width], vector[width:-1], vector[-1], mine[h], table, used)
                     if zlib.crc32(f"{h} {step // 2}".encode()) % 2 == step % 2 and at != mine[h]:
                         moved.append((h, at))
                 yield pd.DataFrame(moved, columns=["h", "c"]).astype("int32")
@@ -220,104 +289,168 @@ def exchange(bigrams: DataFrame, n_head: int, classes: int = CLASSES, rounds: in
     return of, contexts()[1]
 
 
-def word_classes(chunks: DataFrame, head: list[str], of: np.ndarray, table: np.ndarray) -> DataFrame:
-    """(chunk, place, class, count, new): for each word of each chunk its class (-1: not in training) and training count;
-    new: in one of the rows of each training word."""
-    rest, width = len(head) + 1, len(table)
-    classes = width - 2
+def numbers_of_chunks(chunks: DataFrame) -> DataFrame:
+    """(chunk, ids, counts, new) of numbered_words, in the order of each chunk's words."""
+    row = F.struct("place", "id", "count", "new")
+    lists = numbered_words(chunks).groupBy("chunk").agg(F.sort_array(F.collect_list(row)).alias("known"))
+    columns = {"id": "ids", "count": "counts", "new": "new"}
+    return stage(lists.select("chunk", *[F.col(f"known.{c}").alias(name) for c, name in columns.items()]), "lm-known")
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def with_classes(coded: DataFrame, dealt: DataFrame, parts: int) -> DataFrame:
+    """coded with the class of each of its words (-1: not in training). dealt: (chunk, part, classes) of `reclassed`."""
+    lists = dealt.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "classes"))).alias("dealt"))
+    types = {f.name: f.dataType for f in coded.schema}
+    schema = ", ".join(f"{c} {t.simpleString()}" for c, t in types.items()) + ", classes array<int>"
+
+    def emit(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                ids = one.column("ids")[0].values.to_numpy()
+                raw = one.column("dealt")[0].values.field("classes").to_pylist()
+                classes = np.empty(len(ids), np.int32)
+                classes[np.argsort(_part(ids, parts), kind="stable")] = np.frombuffer(b"".join(raw), "<i2")
+                held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(classes))
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in types), held], names=[*types, "classes"])
+
+    return coded.join(lists, "chunk").select(*types, "dealt").mapInArrow(emit, schema)
+
+
+def reclassed(coded: DataFrame, table: np.ndarray, parts: int, start: tuple | None = None, step: int = 0) -> DataFrame:
+    """(chunk, part, classes): the class of each word of a chunk, by part of the word's number and place, after a round.
+    start: (head, class of each head number) for the first classes of all words; else coded has the column classes and
+    half of the words move. table: class bigrams before the round."""
+    width = len(table)
+    slots = 2 * width + 1
     schema = pa.schema([
-        ("word", pa.string()), ("chunk", pa.int64()), ("place", pa.int32()), ("n", pa.int64()), ("sides", pa.list_(pa.int64())),
+        ("part", pa.int32()), ("chunk", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("now", pa.binary()),
+        ("sizes", pa.binary()), ("slots", pa.binary()), ("ns", pa.binary()),
     ])
+    out = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("classes", pa.binary())])
 
     def emit(batches):
-        known = pa.array(head, pa.string())
         for row, chunk in _rows(batches):
-            words = row.column("words")[0].values
-            cls = of[_head_codes(words, known, rest)][chunk.codes]
-            after = np.append(cls[1:], 0)
-            after[np.append(chunk.first[1:], True)] = width  # nothing follows an end
-            tail = (cls == classes + 1) & chunk.train
-            keys = []
-            for side, near in enumerate((chunk.before(cls), after)):
-                use = tail & (near <= classes)
-                keys.append(chunk.codes[use] * (2 * width) + side * width + near[use])
-            keys, n = np.unique(np.concatenate(keys), return_counts=True)
-            place = np.arange(len(words), dtype=np.int32)
-            offsets = np.searchsorted(keys // (2 * width), np.append(place, len(words))).astype(np.int32)
-            sides = pa.ListArray.from_arrays(pa.array(offsets), pa.array((keys % (2 * width)) << 32 | n, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [words, pa.array(np.full(len(words), row.column("chunk")[0].as_py())), pa.array(place),
-                 row.column("counts")[0].values, sides], schema=schema,
-            )
+            ids, counts = (row.column(c)[0].values.to_numpy() for c in ("ids", "counts"))
+            if start is None:
+                of = row.column("classes")[0].values.to_numpy().astype(np.int64)
+            else:
+                of = start[1][_numbers_of(ids, start[0], len(start[0]) + 1)]
+            cls, codes = of[chunk.codes], chunk.codes
+            after, follows = np.append(cls[1:], 0), np.append(codes[1:], 0)
+            last = np.append(chunk.first[1:], True)  # an end: nothing follows
+            same_before, same_after = chunk.before(codes) == codes, (follows == codes) & ~last
+            word = chunk.train & (codes > 0)
+            before = chunk.before(cls)
+            lead, trail = word & ~same_before & (before >= 0), word & ~same_after & (after >= 0)
+            keys = np.concatenate([
+                codes[lead] * slots + before[lead], codes[trail] * slots + width + after[trail],
+                codes[word & same_before] * slots + 2 * width,
+            ])
+            keys, n = np.unique(keys, return_counts=True)
+            place, slot = keys // slots, (keys % slots).astype("<u2")
+            sizes = np.bincount(place, minlength=len(ids))
+            part = _part(ids, parts)
+            order = np.argsort(part, kind="stable")
+            edges = np.append(np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])), len(order))
+            ends = np.cumsum(sizes[order])
+            begins = (np.cumsum(sizes) - sizes)[order]
+            # the entries of the words in the new order
+            moved = np.repeat(begins - (ends - sizes[order]), sizes[order]) + np.arange(len(keys))
+            slot, n = slot[moved], n[moved].astype("<u4")
+            chunk_id, rows = row.column("chunk")[0].as_py(), []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                at, lo, hi = order[a:b], int(ends[a - 1]) if a else 0, int(ends[b - 1])
+                rows.append((
+                    int(part[at[0]]), chunk_id, ids[at].astype("<i8").tobytes(), counts[at].astype("<i8").tobytes(),
+                    of[at].astype("<i2").tobytes(), sizes[at].astype("<u4").tobytes(), slot[lo:hi].tobytes(), n[lo:hi].tobytes(),
+                ))
+            yield record_batch(schema, list(zip(*rows)))
 
     # what a neighbour's class says for each class: pointwise mutual information with the smoothed class bigrams
-    inner = table[: classes + 1, : classes + 1] + 0.5
+    inner = table + 0.5
     info = np.log(inner * inner.sum() / (inner.sum(axis=1, keepdims=True) * inner.sum(axis=0, keepdims=True)))
-    gains = np.zeros((2 * width, classes))
-    gains[: classes + 1] = info[:, 1:]
-    gains[width : width + classes + 1] = info[1:, :].T
-    fixed = {w: int(of[i + 1]) for i, w in enumerate(head)} | {"": 0}
-    out = pa.schema([
-        ("chunk", pa.int64()), ("place", pa.int32()), ("class", pa.int32()), ("count", pa.int64()), ("new", pa.bool_()),
-    ])
 
-    def assign(words, group, chunk, place, n, sides):
-        """group: the word's number for each row; sides: (group, slot, count)."""
-        total = np.bincount(group, n, minlength=len(words)).astype(np.int64)
-        score = np.zeros((len(words), classes), np.float32)
-        owner, slot, count = sides
-        for i in range(0, len(owner), 1 << 16):
-            part = slice(i, i + (1 << 16))
-            at, where = np.unique(owner[part], return_inverse=True)
-            held = np.zeros((len(at), classes), np.float32)
-            np.add.at(held, where, (gains[slot[part]] * count[part, None]).astype(np.float32))
-            score[at] += held
-        cls = 1 + score.argmax(axis=1)
-        cls[total == 0] = -1
-        for i, w in enumerate(words):
-            if w in fixed:
-                cls[i] = fixed[w]
-        new = np.zeros(len(group), bool)
-        new[np.unique(group, return_index=True)[1]] = total > 0
-        return record_batch(out, [chunk, place, cls[group].astype(np.int32), total[group], new])
-
-    def classify(batches):
-        held = None
+    def choose(ids, counts, now, dense):
+        left, right, own = dense[:, :width], dense[:, width:-1], dense[:, -1]
+        if start is None:
+            mine = ((ids.astype(np.uint64) + np.uint64(step // 2)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)).astype(int) % 2
+            out, moving = now.copy(), (mine == step % 2) & (now > 0) & (counts > 0)
+            if moving.any():
+                out[moving] = best_classes(left[moving], right[moving], own[moving], now[moving], table)
+            return out
+        score = left @ info[:, 1:] + right @ info[1:].T
+        band = 1 + np.log2(np.maximum(counts, 1)).astype(np.int64) % (width - 1)
+        found = np.where(dense[:, :-1].any(axis=1), 1 + score.argmax(axis=1), band)
+        return np.where(now >= 0, now, np.where(counts > 0, found, -1))
+
+    def moved(rows: list):
+        read = lambda c, kind: [np.frombuffer(r[c], kind) for r in rows]
+        each = read("ids", "<i8")
+        ids, first, group = np.unique(np.concatenate(each), return_index=True, return_inverse=True)
+        counts, now = (np.concatenate(read(c, k))[first].astype(np.int64) for c, k in (("counts", "<i8"), ("now", "<i2")))
+        owner = np.repeat(group, np.concatenate(read("sizes", "<u4")))
+        order = np.argsort(owner, kind="stable")
+        owner, slot, n = owner[order], np.concatenate(read("slots", "<u2"))[order].astype(np.int64), np.concatenate(read("ns", "<u4"))[order]
+        classes = np.empty(len(ids), "<i2")
+        for a in range(0, len(ids), 256):
+            b = min(a + 256, len(ids))
+            lo, hi = np.searchsorted(owner, (a, b))
+            dense = np.bincount((owner[lo:hi] - a) * slots + slot[lo:hi], n[lo:hi], minlength=(b - a) * slots).reshape(b - a, slots)
+            classes[a:b] = choose(ids[a:b], counts[a:b], now[a:b], dense)
+        classes, at = classes[group], 0
+        result = []
+        for r, own in zip(rows, each):
+            result.append((r["chunk"], r["part"], classes[at : at + len(own)].tobytes()))
+            at += len(own)
+        return record_batch(out, list(zip(*result)))
+
+    def move(batches):
+        held = []
         for batch in batches:
-            table_ = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            table_ = table_.combine_chunks()
-            words = table_.column("word").combine_chunks()
-            # the last word may go on in the next batch
-            stop = pc.index(words, words[-1]).as_py()
-            held = table_.slice(stop)
-            if stop:
-                yield classified(table_.slice(0, stop))
-        if held is not None and held.num_rows:
-            yield classified(held)
-
-    def classified(rows: pa.Table):
-        rows = rows.combine_chunks()
-        coded = rows.column("word").combine_chunks().dictionary_encode()
-        group = coded.indices.to_numpy().astype(np.int64)
-        lists = rows.column("sides").combine_chunks()
-        packed = lists.flatten().to_numpy()
-        owner = np.repeat(group, pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        chunk, place, n = (rows.column(c).to_numpy() for c in ("chunk", "place", "n"))
-        return assign(coded.dictionary.to_pylist(), group, chunk, place, n, (owner, packed >> 32, packed & 0xFFFFFFFF))
-
-    each = chunks.select("chunk", "words", "counts", "sizes", "held", "codes").mapInArrow(
-        emit, "word string, chunk long, place int, n long, sides array<long>"
-    )
-    return each.repartition("word").sortWithinPartitions("word").mapInArrow(
-        classify, "chunk long, place int, class int, count long, new boolean"
+            for r in batch.to_pylist():
+                if held and held[0]["part"] != r["part"]:
+                    yield moved(held)
+                    held = []
+                held.append(r)
+        if held:
+            yield moved(held)
+
+    sides = coded.mapInArrow(
+        emit, "part int, chunk long, ids binary, counts binary, now binary, sizes binary, slots binary, ns binary"
     )
-
-
-def with_classes(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """The chunks with the class and the training count of each of their words in order."""
-    lists = words.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("place", "class", "count"))).alias("known"))
-    joined = chunks.drop("words", "counts").join(lists, "chunk")
-    return stage(joined.withColumns({"classes": F.col("known.class"), "counts": F.col("known.count")}).drop("known"), "lm-coded")
+    dealt = sides.repartition("part").sortWithinPartitions("part").mapInArrow(move, "chunk long, part int, classes binary")
+    return stage(dealt, "lm-classes")
+
+
+def likelihood(table: np.ndarray) -> float:
+    """The part of the training log likelihood that depends on the classes."""
+    return float(_f(table).sum() - _f(table.sum(axis=0)).sum() - _f(table.sum(axis=1)).sum())
+
+
+def settled(coded: DataFrame, head: np.ndarray, of: np.ndarray, table: np.ndarray, small_gain: float = SMALL_GAIN) -> tuple:
+    """(coded with classes, class transitions, words seen once after each class) of exchange rounds over all words until
+    two rounds gain less than `small_gain` a token. of, table: of `exchange` over the head."""
+    classes = len(table) - 2
+    parts = partitions(coded)
+    of = np.where(of > classes, -1, of)  # the rest of the words has no class yet
+    best = with_classes(coded, reclassed(coded, table[:-1, :-1], parts, (head, of)), parts)
+    counts = transitions(best, classes + 1)
+    reached = [likelihood(counts[0])]
+    step = 0
+    while True:
+        after = with_classes(coded, reclassed(best, counts[0], parts, None, step), parts)
+        counted = transitions(after, classes + 1)
+        value, step = likelihood(counted[0]), step + 1
+        if value > reached[-1]:
+            best, counts = after, counted
+        reached.append(max(value, reached[-1]))
+        if step > 1 and reached[-1] - reached[-3] <= small_gain * counts[0].sum():
+            return best, *counts
 
 
 def transitions(coded: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +472,8 @@ def transitions(coded: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     table, rare = np.zeros((width, width)), np.zeros(width)
     counted = coded.select("sizes", "held", "codes", "classes", "counts").mapInArrow(emit, "a int, b int, n long")
-    for r in counted.groupBy("a", "b").agg(F.sum("n").alias("n")).collect():  # at most width * (width + 1) rows
+    # staged, so that the shuffle files of the chunks behind it go
+    for r in stage(counted.groupBy("a", "b").agg(F.sum("n").alias("n")), "lm-transitions").collect():  # width * (width + 1) rows
         if r["b"] < 0:
             rare[r["a"]] = r["n"]
         else:
@@ -354,14 +488,15 @@ _SCORE = """doc_id long, held_out boolean, n_tokens long, n_known long, train_to
 def score_documents(docs: DataFrame, head: int = HEAD, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """Trains on the documents that are not held out and scores all."""
     chunks = coded_chunks(docs)
-    frequent = head_words(chunks, head)
-    of, table = exchange(head_bigrams(chunks, frequent), len(frequent), classes, rounds)
-    words = stage(word_classes(chunks, frequent, of, table), "lm-words")
-    coded = with_classes(chunks, words)
+    known = numbers_of_chunks(chunks)
+    each = known.select(F.inline(F.arrays_zip("ids", "counts", "new"))).where("new")
+    often = each.where("ids > 0").orderBy(F.desc("counts"), "ids").limit(head).select("ids").collect()
+    frequent = np.array([r["ids"] for r in often], np.int64)
+    coded = chunks.drop("words", "counts").join(known.drop("new"), "chunk")
+    of, table = exchange(head_bigrams(coded, frequent), len(frequent), classes, rounds)
+    coded, table, rare = settled(coded, frequent, of, table)
     n_tokens = int(chunks.select(F.explode("counts").alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0)
-    n_types = words.where("new").count()
-    width = classes + 1
-    table, rare = transitions(coded, width)
+    n_types = each.count()
     n, types = float(n_tokens), n_types
     frequency = table.sum(axis=0)
     share = frequency / max(n, 1.0)
