@@ -73,6 +73,36 @@ def test_best_class_is_the_best_of_all_moves():
         assert moved[got] == pytest.approx(max(moved.values()))
 
 
+def test_best_classes_are_those_of_single_words():
+    rng = np.random.default_rng(6)
+    words, classes = 40, 5
+    n = rng.integers(0, 9, (words + 1, words + 1)).astype(float) * (rng.random((words + 1, words + 1)) < 0.3)
+    of = np.array([0, *rng.integers(1, classes + 1, words)])
+    table = np.zeros((classes + 1, classes + 1))
+    np.add.at(table, (of[:, None], of[None, :]), n)
+    at = np.arange(1, words + 1)
+    other = lambda w: np.arange(words + 1) != w
+    left = np.array([np.bincount(of[other(w)], n[other(w), w], minlength=classes + 1) for w in at])
+    right = np.array([np.bincount(of[other(w)], n[w, other(w)], minlength=classes + 1) for w in at])
+    got = classlm.best_classes(left, right, n[at, at], of[at], table)
+    one = [classlm.best_class(left[i], right[i], n[w, w], of[w], table, range(1, classes + 1)) for i, w in enumerate(at)]
+    assert got.tolist() == one
+
+
+@pytest.mark.parametrize("head, batch", [(24, 10_000), (24, 17)])
+def test_lm_exchanges_words_outside_the_head(spark, monkeypatch, head, batch):
+    """Most words stand between words outside the head; their classes follow from all neighbours, however texts are cut."""
+    monkeypatch.setattr(classlm, "BATCH_ROWS", batch)
+    rnd = np.random.default_rng(5)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "abcd"]
+    rows = [(i, " ".join(kinds[(i + j) % 4][rnd.integers(60)] for j in range(80))) for i in range(300)]
+    got = classlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), head=head, classes=8).collect()
+    out = [r for r in got if r.held_out]
+    perplexity = 10 ** (-sum(r.score for r in out) / sum(r.n_tokens for r in out))
+    base = 10 ** (-sum(r.base_score for r in out) / sum(r.n_tokens for r in out))
+    assert perplexity < 0.45 * base
+
+
 def test_lm_odd_rows(odd, odd_rows, empty, spark):
     rows = classlm.score_documents(odd, rounds=2).collect()
     assert len(rows) == len(odd_rows) and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in rows)
