@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import suffix_dedup
+from llm import repair, suffix_dedup
 from llm.bpe import op1_byte_bpe
 from llm.classlm import op4_brown_class_lm
 from llm.minhash import op2_minhash_fingerprints
 from llm.packing import op7_best_fit_packing
 from llm.pii import op5_private_data
 from llm.quality import op6_quality_rules
+from llm.repair import op13_conversation_repair
 from llm.sharding import op9_hypergeometric_shards
 from llm.simhash import op3_simhash_near_dedup
 from llm.suffix_dedup import op10_suffix_dedup
@@ -28,9 +29,13 @@ QUERIES = {
         op8_wavelet_shards,
         op9_hypergeometric_shards,
         op10_suffix_dedup,
+        op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
-ORACLE_SQL: dict[str, str] = {"op10_suffix_dedup": suffix_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op13_conversation_repair": repair.ORACLE_SQL,
+}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

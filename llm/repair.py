@@ -39,6 +39,8 @@ GRAMMAR = (
     ("Pairs", ("Pairs", "Pair")), ("Pairs", ("Pair",)), ("Pair", ("u", "a")),
 )
 END = "$"
+#: Two inserted turns and one deletion at most lead from any top to what another one would become.
+REGRET = 2 * INSERT + DELETE
 #: Characters of undecided audit from which the decided part is looked for.
 LOOK = 64
 
@@ -165,9 +167,11 @@ class Repair:
                 for symbol, edit, price in ((role[:1], "K", 0), ("u", "R", REROLE), ("a", "R", REROLE)):
                     for top in self.automaton.after(state, below, symbol) if symbol in ("s", "u", "a") else ():
                         self._merge(new, *top, (cost + price + extra, audit + edit))
-        self.tops = new
+        most = min(cost for links in new.values() for cost, _ in links.values()) + REGRET  # costlier tops never win
+        kept = {s: {b: w for b, w in links.items() if w[0] <= most} for s, links in new.items()}
+        self.tops = {s: links for s, links in kept.items() if links}
         self.waiting.append((role, text))
-        if max(len(a) for links in new.values() for _, a in links.values()) > self.look:
+        if max(len(a) for links in self.tops.values() for _, a in links.values()) > self.look:
             self._forget()
 
     @staticmethod
@@ -342,5 +346,72 @@ def repair_conversations(conversations: DataFrame) -> DataFrame:
     return stage(found, "conversations", BATCH_ROWS)
 
 
+#: The same rows in DuckDB: states 0 start, 1 after s, 2 after u, 3 after a pair; CRC-32 bit by bit.
+ORACLE_SQL = r"""
+WITH RECURSIVE spaced AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         (4294967295 - list_reduce(
+            list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT),
+            lambda crc, b: list_reduce(range(8), lambda x, k: xor(x // 2, (x % 2) * 3988292384), xor(crc, b)), 4294967295::BIGINT)) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM spaced, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+), numbered AS (
+  SELECT *, rtrim(text, E' \t\n\x0b\x0c\r') AS bare,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM damaged
+), bare AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS seen FROM numbered
+), faulty AS (
+  SELECT conv_id, pos, turn, role, text, left(role, 1) AS initial, bare = '' AS blank, seen AND bare <> '' AS duplicate,
+         NOT seen AND bare <> '' AND right(bare, 1) NOT IN ('.', '!', '?') AS truncated,
+         coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal
+  FROM bare
+), moves(a, symbol, b) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)),
+inserted(a, b, k) AS (VALUES (0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (0, 2, 1), (1, 2, 1), (3, 2, 1), (2, 3, 1), (0, 3, 2), (1, 3, 2)),
+steps AS (
+  SELECT i.a, m.b, i.k, m.symbol, e.edit FROM inserted i JOIN moves m ON m.a = i.b
+  CROSS JOIN (VALUES ('K'), ('R')) e(edit) WHERE e.edit = 'K' OR m.symbol <> 's'
+), dp AS (
+  SELECT conv_id, 0::BIGINT AS pos, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS best FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, pos, state, min(best) FROM (
+    SELECT f.conv_id, f.pos, d.state, {'cost': d.best.cost + 4, 'audit': d.best.audit || 'D'} AS best
+    FROM dp d JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+    UNION ALL
+    SELECT f.conv_id, f.pos, s.b, {'cost': d.best.cost + 3 * s.k + CASE WHEN s.edit = 'R' THEN 3 ELSE 0 END + CASE WHEN f.truncated THEN 3 ELSE 0 END,
+                                   'audit': d.best.audit || repeat('I', s.k) || s.edit}
+    FROM dp d JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM d.conv_id AND f.pos = d.pos + 1
+    JOIN steps s ON s.a = d.state AND (s.edit = 'R' OR s.symbol = f.initial)
+    WHERE NOT f.blank AND NOT f.duplicate
+  ) GROUP BY conv_id, pos, state
+), sums AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+         count(*) FILTER (truncated) AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faulty GROUP BY conv_id
+), best AS (
+  SELECT d.conv_id, min({'cost': d.best.cost + 3 * i.k, 'audit': d.best.audit || repeat('I', i.k)}) AS best
+  FROM dp d JOIN inserted i ON i.a = d.state AND i.b IN (0, 3)
+  LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM d.conv_id WHERE d.pos = coalesce(s.n, 0) GROUP BY d.conv_id
+), edits AS (
+  SELECT conv_id, j, best.audit[j] AS edit, length(replace(best.audit, 'D', '')) % 2 AS led,
+         length(replace(best.audit[:j], 'I', '')) AS pos, length(replace(best.audit[:j], 'D', '')) AS place
+  FROM best, range(1, length(best.audit) + 1) t(j)
+), lines AS (
+  SELECT e.conv_id, e.j, CASE WHEN e.edit = 'K' THEN f.role WHEN (e.place + e.led) % 2 = 1 THEN 'user' ELSE 'assistant' END
+         || ':' || CASE WHEN e.edit = 'I' THEN '' ELSE f.text END AS line
+  FROM edits e LEFT JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.pos = e.pos WHERE e.edit <> 'D'
+), texts AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY j)) AS hash FROM lines GROUP BY conv_id)
+SELECT b.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank,
+       coalesce(s.duplicate, 0)::BIGINT AS duplicate, coalesce(s.truncated, 0)::BIGINT AS truncated,
+       coalesce(s.illegal, 0)::BIGINT AS illegal, b.best.cost::BIGINT AS cost, b.best.audit AS audit,
+       coalesce(t.hash, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
+
 def op13_conversation_repair(spark, sf_dir: str) -> DataFrame:
     return repair_conversations(read_table(spark, sf_dir, "conversations"))
