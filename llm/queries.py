@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from llm import repair, suffix_dedup
+from llm import dualtree, repair, suffix_dedup
 from llm.bpe import op1_byte_bpe
 from llm.classlm import op4_brown_class_lm
+from llm.dualtree import op11_dual_tree_search
 from llm.minhash import op2_minhash_fingerprints
 from llm.packing import op7_best_fit_packing
 from llm.pii import op5_private_data
@@ -29,12 +30,14 @@ QUERIES = {
         op8_wavelet_shards,
         op9_hypergeometric_shards,
         op10_suffix_dedup,
+        op11_dual_tree_search,
         op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op11_dual_tree_search": dualtree.ORACLE_SQL,
     "op13_conversation_repair": repair.ORACLE_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
