@@ -12,6 +12,7 @@ from llm.packing import op7_best_fit_packing
 from llm.pii import op5_private_data
 from llm.quality import op6_quality_rules
 from llm.repair import op13_conversation_repair
+from llm.secrets_crf import op12_secret_scan
 from llm.sharding import op9_hypergeometric_shards
 from llm.simhash import op3_simhash_near_dedup
 from llm.suffix_dedup import op10_suffix_dedup
@@ -31,6 +32,7 @@ QUERIES = {
         op9_hypergeometric_shards,
         op10_suffix_dedup,
         op11_dual_tree_search,
+        op12_secret_scan,
         op13_conversation_repair,
     )
 } | {"pipeline": corpus_pipeline.run}
