@@ -973,7 +973,7 @@ def stream_index(spark, sf_dir):
                             TT.StructField("html", TT.StringType())])
     src = ST.crawl_file_stream(spark, sf_dir, schema, fmt="parquet", glob="pages.parquet")
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-index-{uuid.uuid4().hex}"
-    q = ST.stream_index(ST.pages_as_index_rows(src), f"{base}/index", f"{base}/checkpoint")
+    q = ST.stream_index(ST.pages_as_index_rows(src), f"{base}/index", f"{base}/checkpoint", buckets=8)
     q.awaitTermination()
     docs, _ = ST.read_latest_index(spark, f"{base}/index")
     return docs.select("doc_id", "url", "title")
@@ -1098,3 +1098,6 @@ def classified_domains(spark, sf_dir):
                      (F.col("type") == "phishing").cast("int").alias("label"))
     scored = TM.score_text(words, TM.train_classifier(words), prefix="domain", labels=("new_registration", "phishing"))
     return scored.select("domain", F.col("domain_score").between(0, 1).alias("score_is_probability"))
+
+
+from sitelens.plans import catalog_stored  # noqa: E402,F401  (registers its queries)

@@ -1,12 +1,9 @@
 """Incremental index maintenance with Structured Streaming.
 
-Crawl rows arrive as files; each micro-batch keeps the newest row per URL,
-merges it into the current index (:func:`sitelens.operators.index.upsert_documents`)
-and writes a new index version ``<index_path>/batch=<id>/`` followed by a
-``_DONE`` marker. Readers take the highest finished version, so a reader never
-sees a half-written index, and a replayed batch (same id, after a failure)
-finds its marker and is skipped: the sink is idempotent by batch id. The
-stream's own progress lives in the checkpoint location.
+Crawl rows arrive as files; each micro-batch is merged into the stored index (:mod:`sitelens.sources.segments`): only the
+buckets of its URLs are rewritten, and a manifest, written last, names the files of the new version. Readers see whole
+versions, and a batch that is replayed after a failure finds its number in the manifest and changes nothing: the sink is
+idempotent by batch id. The stream's own progress lives in the checkpoint location.
 """
 
 from __future__ import annotations
@@ -15,63 +12,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelens.operators.index import upsert_documents
 from sitelens.schemas import DOCUMENTS, POSTINGS
-
-DONE = "_DONE"
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+from sitelens.sources import segments
 
 
 def finished_versions(spark: SparkSession, index_path: str) -> list[int]:
-    fs, root = _fs(spark, index_path)
-    if not fs.exists(root):
-        return []
-    out = []
-    for st in fs.listStatus(root):
-        name = st.getPath().getName()
-        if name.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(st.getPath(), DONE)):
-            out.append(int(name.split("=", 1)[1]))
-    return sorted(out)
+    """The versions that readers may still use, oldest first."""
+    return segments.versions(spark, index_path)
 
 
 def read_latest_index(spark: SparkSession, index_path: str) -> tuple[DataFrame, DataFrame]:
-    versions = finished_versions(spark, index_path)
-    if not versions:
+    """Documents and (term, doc_id) postings of the newest version."""
+    if not segments.versions(spark, index_path):
         return spark.createDataFrame([], DOCUMENTS), spark.createDataFrame([], POSTINGS)
-    base = f"{index_path.rstrip('/')}/batch={versions[-1]}"
-    return (spark.read.schema(DOCUMENTS).parquet(f"{base}/documents"),
-            spark.read.schema(POSTINGS).parquet(f"{base}/postings"))
+    index = segments.Index(spark, index_path)
+    return index.documents, index.postings
 
 
-def _batch_writer(index_path: str):
+def _batch_writer(index_path: str, buckets: int):
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = f"{index_path.rstrip('/')}/batch={batch_id}"
-        if _exists(spark, f"{target}/{DONE}"):
-            return  # replay of a finished batch
-        docs, postings = read_latest_index(spark, index_path)
-        new_docs, new_post = upsert_documents(docs, postings, batch)
-        new_docs.write.mode("overwrite").parquet(f"{target}/documents")
-        new_post.write.mode("overwrite").parquet(f"{target}/postings")
-        fs, p = _fs(spark, f"{target}/{DONE}")
-        fs.create(p, True).close()
+        segments.merge(batch.sparkSession, index_path, batch, batch_id, buckets)
     return write
 
 
-def stream_index(source: DataFrame, index_path: str, checkpoint: str, available_now: bool = True):
+def stream_index(source: DataFrame, index_path: str, checkpoint: str, available_now: bool = True, buckets: int = 64):
     """Run the incremental index over a streaming DataFrame with url, title
     (and optionally snippet, content, type, date, seq). Returns the query."""
-    writer = source.writeStream.foreachBatch(_batch_writer(index_path)).option("checkpointLocation", checkpoint)
+    writer = source.writeStream.foreachBatch(_batch_writer(index_path, buckets)).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
