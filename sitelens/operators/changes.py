@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _header(df: DataFrame, name: str):
+def header(df: DataFrame, name: str):
     """A header's value, whatever the case of its name (HTTP/2 sends lower case)."""
     if "headers" in df.columns:
         hits = F.filter(F.map_entries("headers"), lambda e: F.lower(e["key"]) == name.lower())
@@ -21,10 +21,10 @@ def changed_pages(prev: DataFrame, cur: DataFrame, url_col: str = "url", html_co
     # one previous snapshot per url; with repeats the greatest (etag, last-modified, md5) - a deterministic choice
     p = prev.select(
         F.col(url_col).alias("_u"),
-        F.struct(_header(prev, "ETag").alias("_etag"), _header(prev, "Last-Modified").alias("_lm"),
+        F.struct(header(prev, "ETag").alias("_etag"), header(prev, "Last-Modified").alias("_lm"),
                  F.md5(F.col(html_col)).alias("_md5")).alias("_s"),
     ).groupBy("_u").agg(F.max("_s").alias("_s")).select("_u", "_s.*")
-    c = cur.select("*", _header(cur, "ETag").alias("etag_"), _header(cur, "Last-Modified").alias("lm_"),
+    c = cur.select("*", header(cur, "ETag").alias("etag_"), header(cur, "Last-Modified").alias("lm_"),
                    F.md5(F.col(html_col)).alias("md5_"))
     j = c.join(p, c[url_col] == p["_u"], "left")
     same = (F.when(F.col("etag_").isNotNull() & F.col("_etag").isNotNull(), F.col("etag_") == F.col("_etag"))

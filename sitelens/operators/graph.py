@@ -4,10 +4,11 @@ Level-synchronous BFS: round ``d`` joins the frontier (URLs first reached at
 depth ``d``) with the edges, removes everything already visited (left anti
 join) and makes that the next frontier. A URL is thus visited once, at its
 smallest depth. Excluded URLs are marked visited but neither emitted nor
-expanded. The edge table is hash-partitioned on ``src`` once and checkpointed,
-so each round only shuffles the frontier; every new level is checkpointed
-(reliable, under spark.checkpoint.dir) to keep lineage flat and survive
-executor loss, and the visited set is the union of the levels.
+expanded. The edge table is checkpointed once, but a round shuffles it again
+(a checkpoint keeps no partitioning); :mod:`sitelens.operators.linkgraph` stores
+it in buckets instead. Every new level is checkpointed (reliable, under
+spark.checkpoint.dir) to keep lineage flat and survive executor loss, and the
+visited set is the union of the levels.
 """
 
 from __future__ import annotations

@@ -144,3 +144,59 @@ SELECT DISTINCT unnest(list_distinct(tokens)) AS term, CAST(doc_id AS BIGINT) AS
 def stored_merge_postings(spark, sf_dir):
     """I4: postings of a stored index after a merge (those of updated documents replaced)."""
     return merged_index(spark, sf_dir).postings
+
+
+# --------------------------------------------------------------------------- streams with state, bucketed graph, sitemap files
+
+@register("change_stream", f"""WITH prev AS ({Q.page_records_cte()}),
+versions AS (SELECT page_id, url, html, page_id * 2 AS seq FROM prev
+  UNION ALL SELECT page_id, url, CASE WHEN page_id % 8 = 0 THEN html || '<!-- v2 -->' ELSE html END, page_id * 2 + 1 FROM prev WHERE page_id % 4 = 0),
+state AS (SELECT url, max(md5(html)) AS md5 FROM prev GROUP BY url)
+SELECT v.url, CAST(v.seq AS BIGINT) AS seq, CASE WHEN s.url IS NULL THEN 'new' WHEN md5(v.html) = s.md5 THEN 'unchanged' ELSE 'changed' END AS change_status
+FROM versions v LEFT JOIN state s USING (url)""")
+def change_stream(spark, sf_dir):
+    """A second crawl as a stream, compared with the state that a stream of the first crawl left."""
+    from sitelens.streaming import change_stream as CS
+
+    base = scratch(spark, "change-stream")
+    first = FX.page_records(spark, sf_dir).select("url", "html", (F.col("page_id") * 2).alias("seq"))
+    second = FX.page_versions(spark, sf_dir).select("url", "html", "seq")
+    for k, rows in enumerate((first, second)):
+        rows.write.parquet(f"{base}/in/crawl={k}")
+        source = spark.readStream.schema("url string, html string, seq long").parquet(f"{base}/in/*")
+        CS.run_available(CS.change_stream(source), f"{base}/out", f"{base}/checkpoint")
+    return spark.read.schema("url string, seq long, change_status string").parquet(f"{base}/out/batch=1")
+
+
+def stored_graph(spark, sf_dir, **options):
+    from sitelens.operators import linkgraph as LG
+
+    return LG.store_graph(FX.derived_edges(spark, sf_dir), **options)
+
+
+from sitelens.plans.catalog import BFS_MAX_DEPTH, SHARD_SIZE, SITEMAP_BASE, SITEMAP_LASTMOD, SQL_SITEMAP, bfs_seeds, sitemap_table, sql_bfs  # noqa: E402
+
+
+@register("crawl_graph", sql_bfs(BFS_MAX_DEPTH))
+def crawl_graph(spark, sf_dir):
+    """the same BFS over the stored graph; only frontiers are shuffled."""
+    from sitelens.operators import linkgraph as LG
+
+    return LG.crawl_graph(stored_graph(spark, sf_dir), bfs_seeds(spark, sf_dir), BFS_MAX_DEPTH)
+
+
+@register("sitemap_files", f"""SELECT 'sitemap_' || domain || '_' || shard || '.xml' AS name, loc, lastmod, changefreq, CAST(priority AS VARCHAR) AS priority,
+  '{SITEMAP_BASE}sitemap_' || domain || '_' || shard || '.xml' AS listed
+FROM (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY loc) - 1) // {SHARD_SIZE} AS shard FROM ({SQL_SITEMAP}))""")
+def sitemap_files(spark, sf_dir):
+    """The URLs of the sitemap files under their names, each file joined with its entry of the index file."""
+    from sitelens.operators import seo as SEO
+    from sitelens.sources import sitemap_source as SS
+
+    path = scratch(spark, "sitemaps")
+    SS.write_sitemaps(SEO.shard_sitemap(sitemap_table(spark, sf_dir), SHARD_SIZE), path, SITEMAP_BASE, SITEMAP_LASTMOD)
+    read = spark.read.format("xml").option("rowTag", "url").schema("loc string, lastmod string, changefreq string, priority string")
+    urls = read.load(f"{path}/sitemap_*_*.xml").withColumn("name", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    listed = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(f"{path}/{SS.INDEX_NAME}")
+    listed = listed.select(F.col("loc").alias("listed"), F.element_at(F.split("loc", "/"), -1).alias("name"))
+    return urls.join(listed, "name", "full").select("name", "loc", "lastmod", "changefreq", "priority", "listed")
