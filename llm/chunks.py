@@ -25,7 +25,8 @@ _TAIL = ".,"
 _TAILED = r"\pL[.,]+$"
 #: Bytes of text that are encoded at once, beside a longer single text.
 ENCODE_BYTES = 2 << 20
-#: Distinct units that a worker remembers; beyond, it starts anew (a bound on memory, not on what is encoded).
+#: Distinct units that a worker remembers; beyond, it keeps those that came in several slices, at most half (a bound on
+#: memory, not on what is encoded).
 REMEMBERED = 2_000_000
 
 
@@ -59,6 +60,25 @@ class ChunkEncoder:
         self.hashes, self.codes = _hashes(self.known), np.zeros(1, np.int32)  # sorted, and the code of each
         self.flat, self.held = np.empty(1 << 16, np.int32), 0
         self.starts, self.sizes = np.zeros(1, np.int32), np.zeros(1, np.int32)
+        self.uses = np.full(1, 255, np.uint8)  # slices that each unit came in, at most 255
+
+    def _forget(self) -> None:
+        """Keep the units of several slices, at most half of what may be remembered."""
+        least = 2
+        while (self.uses >= least).sum() > self.remembered // 2 and least < 255:
+            least += 1
+        kept = np.flatnonzero(self.uses >= least)
+        if len(kept) > self.remembered // 2:
+            return self.reset()
+        flat, sizes = self._runs(self.flat, self.starts[kept], self.sizes[kept]), self.sizes[kept]
+        number = np.full(len(self.known), -1, np.int32)
+        number[kept] = np.arange(len(kept), dtype=np.int32)
+        there = number[self.codes] >= 0
+        self.hashes, self.codes = self.hashes[there], number[self.codes[there]]
+        self.known, self.flat, self.held = self.known.take(pa.array(kept)), flat, len(flat)
+        self.starts, self.sizes = (np.cumsum(sizes) - sizes).astype(np.int32), sizes
+        self.uses = np.ones(len(kept), np.uint8)
+        self.uses[0] = 255
 
     def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All chunks, and how many each text has."""
@@ -88,6 +108,7 @@ class ChunkEncoder:
             self._learn(distinct.take(pa.array(new)))
             order = np.argsort(merged := np.concatenate([self.hashes, hashes[new]]), kind="stable")
             self.hashes, self.codes = merged[order], np.concatenate([self.codes, codes[new]])[order]
+        self.uses[codes] = np.minimum(self.uses[codes], 254) + 1
         return codes[coded.indices.to_numpy()]
 
     def _learn(self, units: pa.Array) -> None:
@@ -98,13 +119,14 @@ class ChunkEncoder:
         self.flat[self.held : held] = ids
         self.starts = np.concatenate([self.starts, (self.held + np.cumsum(sizes) - sizes).astype(np.int32)])
         self.sizes = np.concatenate([self.sizes, sizes.astype(np.int32)])
+        self.uses = np.append(self.uses, np.zeros(len(sizes), np.uint8))
         self.known, self.held = pa.concat_arrays([self.known, units]), held
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the number of ids of each."""
         texts = texts.cast(pa.string())
         if len(self.known) > self.remembered:
-            self.reset()
+            self._forget()
         chunks, counts = self._split(texts)
         if not len(chunks):
             return np.empty(0, np.int32), np.zeros(len(texts), np.int64)

@@ -26,27 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.chunks import ENCODE_BYTES, tokenizer_encoder
+from llm.chunks import ENCODE_BYTES, REMEMBERED, tokenizer_encoder
 from llm.common import BATCH_ROWS, documents, narrow, ranked, record_batch, slices, stage
 
 #: Fixed values of the contract.
 CAPACITY, END_ID = 4096, 1
-#: Distinct units that a worker remembers while it tokenizes (beside other stages of a pipeline).
-REMEMBERED = 400_000
 #: Pieces longer than this share of a sequence are large; so many groups of them.
 LARGE_SHARE, GROUPS = 1 / 3, 24
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: every document's ids and its end id, cut only where longer."""
+def token_pieces(
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, remembered: int = REMEMBERED
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: every document's ids and its end id, cut only where longer. remembered:
+    distinct units that a worker holds while it tokenizes."""
     with open(tokenizer_path, encoding="utf-8") as file:
         source = file.read()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((c, pa.int64()) for c in ("start", "length", "crc"))])
 
     def cut(batches):
-        encoder = tokenizer_encoder(source, False, REMEMBERED)
+        encoder = tokenizer_encoder(source, False, remembered)
         for batch in slices(batches, ENCODE_BYTES):
             flat, counts = encoder(batch.column("text"))
             ends = np.cumsum(counts + 1)

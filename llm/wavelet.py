@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, sha
     rows, n = narrow(docs), partitions(docs)
     bounds = range_bounds(docs, "doc_id", n)
     ranged = rows.withColumn("part", range_bucket(F.col("doc_id"), bounds)).repartitionById(n, F.col("part"))
-    shards = ranged.sortWithinPartitions("part", "doc_id").mapInArrow(cut, _SHARD)
+    shards = ranged.sortWithinPartitions("part", "doc_id", "text").mapInArrow(cut, _SHARD)
     return stage(shards, "wavelet-shards", BATCH_ROWS, maxRecordsPerFile=1)
 
 
