@@ -126,12 +126,13 @@ def blocks(batch: pa.RecordBatch):
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """doc_id, anchors array<long>: the anchors of each text, one that stands there several times twice."""
-    schema = pa.schema([("doc_id", pa.int64()), ("anchors", pa.list_(pa.int64()))])
+    """doc_id, text_key, anchors array<long>: the anchors of each text, one that stands there several times twice."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("anchors", pa.list_(pa.int64()))])
 
     def emit(batches):
         for batch in slices(batches):
-            owners, out_ids, out = batch.column("doc_id").to_pylist(), [], []
+            owners, keys = batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist()
+            out_ids, out_keys, out = [], [], []
             for data, sizes, of, _ in blocks(batch):
                 runs = Runs(data, sizes, False)
                 if not len(runs.text):
@@ -142,12 +143,14 @@ def anchors(rows: DataFrame) -> DataFrame:
                 third = same & np.concatenate([[False], same[:-1]])
                 text, anchor = text[~third], anchor[~third].view(np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
-                out_ids += [owners[of[t]] for t in text[cuts].tolist()]
+                rows_of = of[text[cuts]].tolist()
+                out_ids += [owners[r] for r in rows_of]
+                out_keys += [keys[r] for r in rows_of]
                 out += np.split(anchor, cuts[1:])
             if out:
-                yield record_batch(schema, [out_ids, out])
+                yield record_batch(schema, [out_ids, out_keys, out])
 
-    return rows.select("doc_id", "text").mapInArrow(emit, "doc_id long, anchors array<long>")
+    return rows.select("doc_id", "text_key", "text").mapInArrow(emit, "doc_id long, text_key long, anchors array<long>")
 
 
 _RUN = "doc_id long, text_key long, anchor long, whole long, start long, size int, times int, data binary"
@@ -267,13 +270,14 @@ def refined_by_string(runs: DataFrame) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
     """doc_id, text_key, spans array<struct<a, b>>: byte ranges [a, b) to remove from the texts that have any."""
-    rows = narrow(docs)
-    found = stage(anchors(rows), "anchors")
-    each = found.select("doc_id", F.explode("anchors").alias("anchor"))
+    keyed = narrow(docs).withColumn("text_key", F.xxhash64("text"))
+    found = stage(anchors(keyed), "anchors")
+    each = found.select("doc_id", "text_key", F.explode("anchors").alias("anchor"))
     buckets = each.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    shared = each.join(buckets, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    keyed = rows.withColumn("text_key", F.xxhash64("text"))
-    holders = keyed.join(shared.withColumnRenamed("doc_id", "holder"), F.col("doc_id").eqNullSafe(F.col("holder")))
+    # rows without an id, or of one id, are told apart by their texts
+    shared = each.join(buckets, "anchor").groupBy("doc_id", "text_key").agg(F.collect_set("anchor").alias("shared"))
+    shared = shared.withColumnsRenamed({"doc_id": "holder", "text_key": "held"})
+    holders = keyed.join(shared, F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("text_key") == F.col("held")))
     runs = stage(shared_runs(holders.select("doc_id", "text_key", "text", "shared")), "runs")
     different = stage(
         runs.groupBy("anchor", "whole").agg(F.sum("times").alias("total"), F.max("size").alias("size"), F.min("data").alias("data")),
@@ -295,7 +299,7 @@ def repeated_ranges(docs: DataFrame, bucket_runs: int = BUCKET_RUNS) -> DataFram
     spans = spans.select(
         "doc_id", "text_key", F.inline(F.transform("ranges", lambda r: F.struct((F.col("start") + r["a"]).alias("a"), last(r).alias("b"))))
     )
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, **options) -> DataFrame:
@@ -369,19 +373,22 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 #: The same in DuckDB: every 200-byte string of every text, those that start twice, and the bytes that they cover.
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-strings AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS s
-            FROM (SELECT r, h, unnest(range(length(h) // 2 - 199)) AS i FROM d WHERE length(h) >= 400)),
+blocks AS (SELECT r, base, substr(h, 2 * base + 1, 2 * (1024 + 199)) AS b
+           FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 199, 1024)) AS base FROM d WHERE length(h) >= 400)),
+strings AS (SELECT r, base + i AS p, md5(substr(b, 2 * i + 1, 400)) AS s
+            FROM (SELECT r, base, b, unnest(range(least(1024, length(b) // 2 - 199))) AS i FROM blocks)),
 twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
-edges AS (SELECT r, p, sum(v) AS v FROM (
-            SELECT r, i AS p, 1 AS v FROM strings SEMI JOIN twice USING (s)
-            UNION ALL SELECT r, i + 200, -1 FROM strings SEMI JOIN twice USING (s)) GROUP BY r, p),
-bytes AS (SELECT b.r, b.p, substr(b.h, 2 * b.p + 1, 2) AS x,
-                 coalesce(sum(e.v) OVER (PARTITION BY b.r ORDER BY b.p ROWS UNBOUNDED PRECEDING), 0) > 0 AS gone
-          FROM (SELECT r, h, unnest(range(length(h) // 2)) AS p FROM d) b LEFT JOIN edges e ON e.r = b.r AND e.p = b.p),
-runs AS (SELECT *, gone AND NOT lag(gone, 1, false) OVER (PARTITION BY r ORDER BY p) AS starts FROM bytes),
-kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans,
-                coalesce(string_agg(x, '' ORDER BY p) FILTER (WHERE NOT gone), '') AS h FROM runs GROUP BY r)
+covered AS (SELECT r, p, p > lag(p, 1, -201) OVER (PARTITION BY r ORDER BY p) + 200 AS starts
+            FROM strings SEMI JOIN twice USING (s)),
+numbered AS (SELECT r, p, sum(starts::INT) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM covered),
+spans AS (SELECT r, run, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY r, run),
+pieces AS (SELECT s.r, s.run, s.b, s.b - s.a AS n,
+                  substr(d.h, 2 * lag(s.b, 1, 0) OVER (PARTITION BY s.r ORDER BY s.run) + 1,
+                         2 * (s.a - lag(s.b, 1, 0) OVER (PARTITION BY s.r ORDER BY s.run))) AS x
+           FROM spans s JOIN d USING (r)),
+kept AS (SELECT r, sum(n) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(x, '' ORDER BY run) AS x FROM pieces GROUP BY r)
 SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept.x || substr(d.h, 2 * kept.last + 1), d.h))) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """

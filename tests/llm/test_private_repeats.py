@@ -188,3 +188,14 @@ def test_repeats_odd_rows(odd, odd_rows, empty):
     kept = {r.doc_id: r.text for r in left.collect()}
     assert kept[35] == "" and kept[31] == "" and kept[30] is None
     assert suffix_dedup.find_repeats(empty).collect() == [] and suffix_dedup.remove_repeats(empty).collect() == []
+
+
+def test_repeats_of_rows_without_ids(spark, sf):
+    """Rows that share an id, or have none, get what their own texts give, also when copies are many."""
+    from llm.suffix_dedup import find_repeats
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    want = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in find_repeats(docs).collect())
+    for doc_id in ("null", "7"):
+        same = docs.selectExpr(f"CAST({doc_id} AS BIGINT) AS doc_id", "text")
+        assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in find_repeats(same).collect()) == want
