@@ -19,6 +19,8 @@ from llm.suffix_dedup import remove_repeats
 
 #: Rows that go to a Python step at once: workers and executors hold few texts of any stage.
 BATCH_ROWS = 500
+#: Distinct units that a worker remembers while it tokenizes, beside what the stages before have left in memory.
+REMEMBERED = 400_000
 
 
 def _settings(spark) -> None:
@@ -58,7 +60,7 @@ def packing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     _settings(spark)
-    found = pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+    found = pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED))
     return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
