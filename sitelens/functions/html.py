@@ -80,7 +80,12 @@ def page_title(col) -> Column:
 def visible_text(col) -> Column:
     """Text of the page without script, style, comments and tags, whitespace
     collapsed to single spaces (the regex text path used by the index)."""
-    h = decode_entities(F.regexp_replace(shown(col), TAG_RE, " "))
+    return text_of(shown(col))
+
+
+def text_of(markup: Column) -> Column:
+    """The text of markup that is already without hidden parts."""
+    h = decode_entities(F.regexp_replace(markup, TAG_RE, " "))
     return py_strip(F.regexp_replace(h, SPACE_RE, " "))
 
 
@@ -118,9 +123,14 @@ def html_lang(col) -> Column:
 
 
 def meta_content(col, name: str) -> Column:
+    """The same of whole html: see :func:`meta_value`."""
+    return meta_value(tags(shown(col), "meta"), name)
+
+
+def meta_value(metas: Column, name: str) -> Column:
     """content of the first ``<meta name=...>`` that has one, whatever the attributes' order, case and quotes; else null."""
     named = lambda t: F.lower(attr(t, "name")).eqNullSafe(F.lit(name))
-    return first_attr(tags(shown(col), "meta"), named, "content")
+    return first_attr(metas, named, "content")
 
 
 def viewport_meta(col) -> Column:
@@ -138,7 +148,12 @@ def amp_url(col) -> Column:
 
 def image_counts(col) -> Column:
     """struct<images, with_alt>: ``<img>`` tags, and those with a non-empty alt."""
-    return let(tags(shown(col), "img"), lambda t: F.struct(
+    return counts_of(tags(shown(col), "img"))
+
+
+def counts_of(images: Column) -> Column:
+    """image_counts of the start tags themselves."""
+    return let(images, lambda t: F.struct(
         F.size(t).cast("long").alias("images"),
         F.size(F.filter(t, lambda x: F.coalesce(F.length(attr(x, "alt")) > 0, F.lit(False)))).cast("long").alias("with_alt")))
 
@@ -148,7 +163,11 @@ def count_matches(col, pattern: str) -> Column:
 
 
 def has_og_tags(col) -> Column:
-    return F.exists(tags(shown(col), "meta"), lambda t: F.coalesce(F.lower(attr(t, "property")).startswith("og:"), F.lit(False)))
+    return any_og(tags(shown(col), "meta"))
+
+
+def any_og(metas: Column) -> Column:
+    return F.exists(metas, lambda t: F.coalesce(F.lower(attr(t, "property")).startswith("og:"), F.lit(False)))
 
 
 def hreflangs(col) -> Column:

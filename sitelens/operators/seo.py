@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import html as H
 from sitelens.functions.text import detect_language, tokenize, words
-from sitelens.functions.urls import let, scheme, url_domain
+from sitelens.functions.urls import scheme, url_domain
 from sitelens.operators.links import distinct_links
 from sitelens.plans.ids import dense_ids
 
@@ -76,15 +76,13 @@ def keyword_density(df: DataFrame, key_col: str, tokens_col: str = "tokens", out
 
 
 def top_share(tokens: Column) -> Column:
-    """J2 inside one row: runs of the sorted tokens, no shuffle; the same rounding as :func:`keyword_density`."""
-    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("best"))
-
-    def step(s, t):
-        run = F.when(s["t"].eqNullSafe(t), s["run"] + 1).otherwise(F.lit(1).cast("long"))
-        return let(run, lambda r: F.struct(t.alias("t"), r.alias("run"), F.greatest(s["best"], r).alias("best")))
-
+    """J2 inside one row, no shuffle; the same rounding as :func:`keyword_density`. The sorted tokens are joined and one
+    backreference finds the runs of equal ones, so only repeated tokens are looked at one by one."""
+    # tokens are word characters alone, so a space stands between them only
+    runs = F.regexp_extract_all(F.array_join(F.array_sort(tokens), " "), F.lit(r"(?<![^ ])([^ ]++)(?: \1(?![^ ]))+"), 0)
+    most = F.array_max(F.transform(runs, lambda r: F.size(F.split(r, " "))))
     n = F.size(tokens).cast("long")
-    best = F.aggregate(F.array_sort(tokens), start, step, lambda s: s["best"])
+    best = F.coalesce(most, F.lit(1)).cast("long")
     return F.when(n > 0, F.floor((F.lit(20000) * best + n) / (F.lit(2) * n)) / F.lit(100.0)).otherwise(F.lit(0.0))
 
 
@@ -108,23 +106,26 @@ def seo_factors(pages: DataFrame, edges: DataFrame | None = None, url_col: str =
     """
     h = F.col(html_col)
     carried = [c for c in pages.columns if keep_html or c != html_col]
-    read = pages.select(
+    # markup without hidden parts, its meta tags and its text are each read once (Catalyst keeps what is used several times)
+    read = pages.select(*carried, h.alias("_html"), H.shown(h).alias("_shown"))
+    read = read.withColumns({"_meta": H.tags(F.col("_shown"), "meta"), "_words": H.text_of(F.col("_shown"))})
+    read = read.select(
         *carried,
-        H.page_title(h).alias("title"),
-        F.coalesce(H.meta_content(h, "description"), F.lit("")).alias("description"),
-        H.count_matches(h, H.H1_RE).cast("long").alias("h1_count"),
-        H.image_counts(h).alias("_img"),
-        H.viewport_meta(h).isNotNull().alias("mobile_friendly"),
+        H.page_title("_html").alias("title"),
+        F.coalesce(H.meta_value(F.col("_meta"), "description"), F.lit("")).alias("description"),
+        H.count_matches("_html", H.H1_RE).cast("long").alias("h1_count"),
+        H.counts_of(H.tags(F.col("_shown"), "img")).alias("_img"),
+        (F.length(H.meta_value(F.col("_meta"), "viewport")) > 0).eqNullSafe(F.lit(True)).alias("mobile_friendly"),
         (scheme(url_col) == "https").alias("is_https"),
-        (F.size(H.structured_data(h)) > 0).alias("has_structured_data"),
-        H.has_og_tags(h).alias("has_og_tags"),
-        let(H.visible_text(h), lambda t: F.struct(
-            F.size(words(t)).cast("long").alias("words"), top_share(tokenize(t)).alias("density"))).alias("_text"),
-    )
+        (F.size(H.structured_data("_html")) > 0).alias("has_structured_data"),
+        H.any_og(F.col("_meta")).alias("has_og_tags"),
+        F.size(words("_words")).cast("long").alias("word_count"),
+        tokenize("_words").alias("_tokens"),
+    ).withColumn("keyword_density", top_share(F.col("_tokens")))
     out = read.select(
         *carried, "title", "description", "h1_count", F.col("_img.images").alias("image_count"),
         F.col("_img.with_alt").alias("image_alt_count"), "mobile_friendly", "is_https", "has_structured_data", "has_og_tags",
-        F.col("_text.words").alias("word_count"), F.col("_text.density").alias("keyword_density"))
+        "word_count", "keyword_density")
     if edges is not None:
         lc = link_counts(edges)
         out = out.join(lc, out[url_col] == lc["src_url"], "left").drop("src_url")
