@@ -200,3 +200,59 @@ def sitemap_files(spark, sf_dir):
     listed = spark.read.format("xml").option("rowTag", "sitemap").schema("loc string").load(f"{path}/{SS.INDEX_NAME}")
     listed = listed.select(F.col("loc").alias("listed"), F.element_at(F.split("loc", "/"), -1).alias("name"))
     return urls.join(listed, "name", "full").select("name", "loc", "lastmod", "changefreq", "priority", "listed")
+
+
+# --------------------------------------------------------------------------- language model, sketches
+
+def language_counts(spark, sf_dir):
+    from sitelens.operators import langmodel as LM
+
+    docs = read_table(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    held = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1).isin("0", "1", "2", "3")
+    return LM.word_counts(docs.withColumn("held_out", held), keys=("doc_id", "lang", "held_out"))
+
+
+_SQL_WORDS = Q.lit(r"[\p{L}\p{N}_]+")
+SQL_LANGUAGE = f"""docs AS (SELECT doc_id, lang, substr(md5(CAST(doc_id AS VARCHAR)), 1, 1) IN ('0', '1', '2', '3') AS held_out,
+  unnest(regexp_extract_all(lower(text), {_SQL_WORDS})) AS word FROM documents WHERE doc_id IS NOT NULL),
+counts AS (SELECT doc_id, lang, held_out, word, count(*) AS n FROM docs GROUP BY ALL),
+cut AS (SELECT word, ' ' || word || ' ' AS w FROM (SELECT DISTINCT word FROM counts)),
+wgrams AS (SELECT word, substr(w, i, 3) AS gram FROM (SELECT word, w, unnest(range(1, length(w) - 1)) AS i FROM cut)),
+seen AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, word, sum(n) AS n FROM counts WHERE NOT held_out GROUP BY ALL) JOIN wgrams USING (word)
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(n) + 0.5 * (SELECT count(DISTINCT gram) FROM seen) AS under FROM seen GROUP BY lang),
+scores AS (SELECT c.doc_id, t.lang AS guess, sum(c.n * ln((coalesce(s.n, 0) + 0.5) / t.under)) AS score
+  FROM counts c JOIN wgrams g USING (word) CROSS JOIN totals t LEFT JOIN seen s ON s.lang = t.lang AND s.gram = g.gram GROUP BY ALL),
+predicted AS (SELECT doc_id, arg_min(guess, (-score, guess)) AS predicted FROM scores GROUP BY doc_id)"""
+
+
+@register("language_model", f"""WITH {SQL_LANGUAGE}
+SELECT p.doc_id, d.lang, d.held_out, p.predicted FROM predicted p JOIN (SELECT DISTINCT doc_id, lang, held_out FROM docs) d USING (doc_id)""")
+def language_model(spark, sf_dir):
+    """K3: language of every document by trigrams learnt from documents.lang on hash-chosen rows."""
+    from sitelens.operators import langmodel as LM
+
+    counts = language_counts(spark, sf_dir)
+    model = LM.train_language_model(counts.where("NOT held_out"))
+    return LM.detect_by_model(counts, model, keys=("doc_id", "lang", "held_out"))
+
+
+@register("run_sketches", f"""WITH r AS ({Q.page_records_cte()}), {SQL_STORED}
+SELECT (SELECT count(*) FROM r) AS rows, (SELECT count(DISTINCT url) FROM r) AS urls, (SELECT count(DISTINCT term) FROM postings) AS terms,
+  true AS urls_within, true AS terms_within""")
+def run_sketches(spark, sf_dir):
+    """Distinct URLs and terms over all runs from the runs' stored sketches, checked against exact counts."""
+    from sitelens.operators import sketches as SK
+
+    runs = FX.page_records(spark, sf_dir).select("crawler_type", "url")
+    path = scratch(spark, "sketches")
+    SK.run_sketches(runs, ["crawler_type"], {"urls": "url"}).write.parquet(f"{path}/urls")
+    postings = stored_pages(spark, sf_dir).table("postings").where(SG._searched())
+    SK.run_sketches(postings, ["bucket"], {"terms": "term"}).write.parquet(f"{path}/terms")
+    urls = SK.merge_sketches(spark.read.parquet(f"{path}/urls"), ["urls"]).withColumnRenamed("urls", "near_urls")
+    terms = SK.merge_sketches(spark.read.parquet(f"{path}/terms"), ["terms"]).select(F.col("terms").alias("near_terms"))
+    exact = runs.agg(F.count_distinct("url").alias("urls")).crossJoin(postings.agg(F.count_distinct("term").alias("terms")))
+    bound = SK.error_bound()
+    one = urls.crossJoin(terms).crossJoin(exact)  # one row each
+    return one.select("rows", "urls", "terms", *[
+        (F.abs(F.col(f"near_{c}") - F.col(c)) <= F.ceil(F.lit(bound) * F.col(c))).alias(f"{c}_within") for c in ("urls", "terms")])
