@@ -103,6 +103,29 @@ def robots_filter(urls: DataFrame, rules: DataFrame, col: str = "url") -> DataFr
         "_path", "_host", "_rules", "_dis", "_all")
 
 
+def robots_by_prefix(urls: DataFrame, rules: DataFrame, col: str = "url") -> DataFrame:
+    """F5 by a longest-prefix join: the same verdicts as :func:`robots_filter`, for hosts with any number of rules.
+
+    A rule lies under (host, literal beginning): its whole path, or what stands before its first wildcard. Distinct paths
+    give their prefixes of the lengths that the host's rules have (one small array a host), the prefixes meet the rules by
+    equality, wildcards are then tried on what met, and the longest allow and disallow of each path are kept. Rules and
+    URLs of one host are spread over tasks by their prefixes; no file is collected into a row."""
+    literal = F.when(F.col("path").contains("*"), F.regexp_extract("path", r"^[^*]*", 0)).otherwise(F.regexp_replace("path", r"\$$", ""))
+    keyed = rules.select("host", "kind", F.length("path").alias("_size"), literal.alias("_prefix"), rule_regex(F.col("path")).alias("_re"))
+    lengths = keyed.groupBy("host").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    named = urls.withColumns({"_host": F.lower(netloc(col)), "_path": url_path(col)})
+    paths = named.select(F.col("_host").alias("host"), "_path").distinct().join(lengths, "host")
+    prefixes = paths.select("host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_n"))
+    prefixes = prefixes.select("host", "_path", F.substring(F.col("_path"), F.lit(1), F.col("_n")).alias("_prefix"))
+    met = prefixes.join(keyed, ["host", "_prefix"]).where(F.col("_re").isNull() | F.regexp_like(F.col("_path"), F.col("_re")))
+    longest = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("_size"))), F.lit(-1))
+    verdict = met.groupBy("host", "_path").agg(longest("disallow").alias("_dis"), longest("allow").alias("_all"))
+    verdict = verdict.where((F.col("_dis") >= 0) & (F.col("_all") <= F.col("_dis"))).select(
+        F.col("host").alias("_h"), F.col("_path").alias("_p"))
+    out = named.join(verdict, (F.col("_host") == F.col("_h")) & (F.col("_path") == F.col("_p")), "left")
+    return out.withColumn("allowed", F.col("_h").isNull()).drop("_host", "_path", "_h", "_p")
+
+
 def effective_delay(hosts: DataFrame, delays: DataFrame, base: float, host_col: str = "host") -> DataFrame:
     """max(configured delay, robots crawl-delay) per host."""
     j = hosts.join(delays.withColumnRenamed("host", host_col), host_col, "left")

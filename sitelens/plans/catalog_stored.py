@@ -256,3 +256,16 @@ def run_sketches(spark, sf_dir):
     one = urls.crossJoin(terms).crossJoin(exact)  # one row each
     return one.select("rows", "urls", "terms", *[
         (F.abs(F.col(f"near_{c}") - F.col(c)) <= F.ceil(F.lit(bound) * F.col(c))).alias(f"{c}_within") for c in ("urls", "terms")])
+
+
+# --------------------------------------------------------------------------- longest-prefix join
+
+from sitelens.plans.catalog import QUERIES, robots_parsed  # noqa: E402
+
+
+@register("robots_by_prefix", QUERIES["robots_filter"][1])
+def robots_by_prefix(spark, sf_dir):
+    """robots verdict for every page URL by joining its path's prefixes with the rules."""
+    from sitelens.operators import robots as RB
+
+    return RB.robots_by_prefix(read_table(spark, sf_dir, "pages").select("page_id", "url"), robots_parsed(spark, sf_dir)[0])
