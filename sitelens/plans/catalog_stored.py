@@ -269,3 +269,33 @@ def robots_by_prefix(spark, sf_dir):
     from sitelens.operators import robots as RB
 
     return RB.robots_by_prefix(read_table(spark, sf_dir, "pages").select("page_id", "url"), robots_parsed(spark, sf_dir)[0])
+
+
+# --------------------------------------------------------------------------- image headers
+
+@register("image_sizes", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'jpeg' END AS format,
+  CASE WHEN page_id % 4 < 3 THEN CAST(page_id % 700 AS BIGINT) ELSE -1 END AS px_width,
+  CASE WHEN page_id % 4 < 3 THEN CAST(page_id % 300 + 1 AS BIGINT) ELSE -1 END AS px_height,
+  CASE WHEN page_id % 4 = 3 OR page_id % 700 = 0 THEN 'no image size found' END AS error,
+  NOT coalesce(page_id % 4 < 3 AND (page_id % 700 < 100 OR page_id % 300 + 1 < 100), false) AS kept FROM pages""")
+def image_sizes(spark, sf_dir):
+    """Sides of stand-in images of the pages (headers of three formats, and no image) from their bytes; kept: not
+    under 100 pixels on a side."""
+    from sitelens.functions.images import image_size
+    from sitelens.operators.images import min_image_size
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id")
+    w, h = F.col("page_id") % 700, F.col("page_id") % 300 + 1
+    big = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    little = lambda x: F.concat(F.substring(big(x, 2), 3, 2), F.substring(big(x, 2), 1, 2))
+    kind = F.col("page_id") % 4
+    header = (F.when(kind == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4)))
+              .when(kind == 1, F.concat(F.lit("474946383961"), little(w), little(h)))
+              .when(kind == 2, F.concat(F.lit("FFD8FFE000040000FFC0000B08"), big(h, 2), big(w, 2), F.lit("0100")))
+              .otherwise(F.lit("3C68746D6C3E")))
+    sized = pages.select("page_id", image_size(F.unhex(header)).alias("_i")).select(
+        "page_id", F.col("_i.format").alias("format"), F.col("_i.width").alias("px_width"), F.col("_i.height").alias("px_height"),
+        F.col("_i.error").alias("error"))
+    kept = min_image_size(sized).select("page_id", F.lit(True).alias("kept"))
+    out = sized.join(kept, "page_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
+    return out.fillna(-1, ["px_width", "px_height"])
