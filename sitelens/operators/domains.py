@@ -130,11 +130,16 @@ def union_domains(a: DataFrame, b: DataFrame, distinct: bool = False, col: str =
     return a.unionByName(b, allowMissingColumns=True)
 
 
+# Source and type labels of the labelled domain rows.
+NEW_SOURCE, PHISHING_SOURCE = "whoisds", "phishing_list"
+NEW_TYPE, PHISHING_TYPE = "new_registration", "phishing"
+
+
 def domain_dataset(new: DataFrame, phishing: DataFrame, phishing_date: str) -> DataFrame:
     """Labelled rows (domain, source, date, type); new-registration rows
     carry the date of their list, phishing rows the given date."""
-    n = new.select(F.regexp_replace("domain", r"^\s+|\s+$", "").alias("domain"), F.lit("whoisds").alias("source"),
-                   F.col("date").cast("string").alias("date"), F.lit("new_registration").alias("type"))
-    p = phishing.select(F.regexp_replace("domain", r"^\s+|\s+$", "").alias("domain"), F.lit("phishing_list").alias("source"),
-                        F.lit(phishing_date).alias("date"), F.lit("phishing").alias("type"))
+    n = new.select(F.regexp_replace("domain", r"^\s+|\s+$", "").alias("domain"), F.lit(NEW_SOURCE).alias("source"),
+                   F.col("date").cast("string").alias("date"), F.lit(NEW_TYPE).alias("type"))
+    p = phishing.select(F.regexp_replace("domain", r"^\s+|\s+$", "").alias("domain"), F.lit(PHISHING_SOURCE).alias("source"),
+                        F.lit(phishing_date).alias("date"), F.lit(PHISHING_TYPE).alias("type"))
     return n.unionByName(p)

@@ -116,7 +116,7 @@ def fan_out_engines(batches: DataFrame, engines=("default",)) -> DataFrame:
 def validate_engine(df: DataFrame) -> DataFrame:
     """Error row for an engine without endpoint."""
     return df.withColumn("error", F.when(F.col("endpoint").isNull(),
-                                         F.concat(F.lit("Unknown search engine: "), F.col("engine"))))
+                                         F.concat(F.lit("No endpoint known for "), F.col("engine"))))
 
 
 def notify_rollup(results: DataFrame) -> DataFrame:

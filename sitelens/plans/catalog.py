@@ -698,7 +698,7 @@ ENGINES = ("bing", "yandex", "nosuch")
 
 @register("fan_out_engines", f"""WITH b AS ({_sql_batches()})
 SELECT b.origin, b.chunk, e.engine, ep.endpoint,
-  CASE WHEN ep.endpoint IS NULL THEN 'Unknown search engine: ' || e.engine END AS error
+  CASE WHEN ep.endpoint IS NULL THEN 'No endpoint known for ' || e.engine END AS error
 FROM b, (SELECT unnest({Q.str_list(ENGINES)}) AS engine) e
 LEFT JOIN (VALUES {', '.join(f"({Q.lit(k)}, {Q.lit(v)})" for k, v in NT.ENDPOINTS.items())}) ep(engine, endpoint) ON e.engine = ep.engine""")
 def fan_out_engines(spark, sf_dir):

@@ -299,3 +299,29 @@ def image_sizes(spark, sf_dir):
     kept = min_image_size(sized).select("page_id", F.lit(True).alias("kept"))
     out = sized.join(kept, "page_id", "left").withColumn("kept", F.coalesce("kept", F.lit(False)))
     return out.fillna(-1, ["px_width", "px_height"])
+
+
+# --------------------------------------------------------------------------- held-out quality of the text classifiers
+
+HELD_DIGITS = ("0", "1", "2", "3")
+
+
+@register("classifier_auc", None)
+def classifier_auc(spark, sf_dir):
+    """K5-K7: classifiers learnt from labels of three quarters of the texts by hash, and the area under ROC over the others."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    from sitelens.operators import textmodels as TM
+
+    both = read_table(spark, sf_dir, "documents").select("doc_id", "text").join(read_table(spark, sf_dir, "labels"), "doc_id")
+    out = None
+    for kind, column in (("quality", "quality"), ("toxicity", "toxic")):
+        rows = both.select("text", F.col(column).cast("double").alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
+        held = F.substring(F.md5("text"), 1, 1).isin(*HELD_DIGITS)
+        model = TM.train_classifier(rows.where(~held), test_percent=0)
+        asked = rows.where(held)
+        auc = BinaryClassificationEvaluator(labelCol="label").evaluate(model.transform(asked))  # one number
+        part = asked.agg(F.count("*").alias("held_out"), F.sum("label").cast("long").alias("positive")).select(
+            F.lit(kind).alias("kind"), "held_out", "positive", F.lit(round(auc, 4)).alias("auc"))
+        out = part if out is None else out.unionByName(part)
+    return out

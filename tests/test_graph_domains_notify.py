@@ -109,7 +109,7 @@ def test_notify_batches_chunks_and_engines(spark):
     single = NT.notify_batches(df, "k", bulk=False).count()
     assert single == 27
     f = NT.fan_out_engines(NT.notify_batches(df, "k"), ("bing", "bogus")).collect()
-    assert {r.error for r in f if r.engine == "bogus"} == {"Unknown search engine: bogus"}
+    assert {r.error for r in f if r.engine == "bogus"} == {"No endpoint known for bogus"}
     roll = {r.engine: r for r in NT.notify_rollup(
         NT.fan_out_engines(NT.notify_batches(df, "k"), ("bing", "bogus")).withColumn("success", F.col("error").isNull())).collect()}
     assert roll["bing"].overall_success is True and roll["bogus"].success_count == 0
