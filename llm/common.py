@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,6 +53,10 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: The folder of each table that `stage` wrote, while the table is in use.
+_STAGED: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
 def stage(df: DataFrame, name: str, batch_rows: int | None = None, **options) -> DataFrame:
     """Write `df` once as Parquet into the shared checkpoint folder and read it back: lineage ends there and a lost
     executor costs no recomputation. The shuffle files behind it go when it is written. batch_rows: rows of an Arrow
@@ -66,7 +71,19 @@ def stage(df: DataFrame, name: str, batch_rows: int | None = None, **options) ->
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _STAGED[written] = path
+    return written
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Remove tables that `stage` wrote and nothing reads any more; others stay."""
+    for table in tables:
+        path = _STAGED.pop(table, None)
+        if path is not None:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def partitions(df: DataFrame) -> int:
