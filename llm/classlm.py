@@ -29,7 +29,6 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -336,9 +335,9 @@ class Gains:
         return gain
 
 
-def best_classes(left, right, own, now: np.ndarray, table: np.ndarray, gains: Gains | None = None) -> np.ndarray:
-    """best_class of many words at once, among the classes 1... that have words (all words that move at the same time
-    would take the same empty one): a row of left and right for each word."""
+def best_classes(left, right, own, now: np.ndarray, table: np.ndarray, gains: Gains | None = None, end: int | None = None) -> np.ndarray:
+    """best_class of many words at once, among the classes 1... (before `end`) that have words (all words that move at the
+    same time would take the same empty one): a row of left and right for each word."""
     gains = gains or Gains(table)
     row = np.arange(len(left))
     gain = gains.beside(0, left, right, own, now) + gains.beside(1, right, left, own, now)
@@ -350,53 +349,49 @@ def best_classes(left, right, own, now: np.ndarray, table: np.ndarray, gains: Ga
     gain[word, c] += _f(d + x + y + z) - _f(d + x) - _f(d + y) + _f(d)
     gain -= gains.total(0, right.sum(axis=1) + own, now) + gains.total(1, left.sum(axis=1) + own, now)
     gain[:, gains.totals[1] == 0] = -np.inf
-    best = 1 + gain[:, 1:].argmax(axis=1)
+    best = 1 + gain[:, 1:end].argmax(axis=1)
     return np.where(gain[row, best] > gain[row, now] + 1e-9, best, now)
 
 
 def exchange(bigrams: DataFrame, n_head: int, classes: int = CLASSES, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """The class of each head number (0: the end; classes + 1: the rest) and the class bigrams under them."""
     rest, width = n_head + 1, classes + 2
+    slots = 2 * width + 1
     of = np.array([0, *(1 + i % classes for i in range(n_head)), classes + 1], np.int64)
-    spark = bigrams.sparkSession
-
-    def contexts():
-        named = spark.createDataFrame([(i, int(c)) for i, c in enumerate(of)], "h int, c int")  # n_head + 2 rows
-        both = bigrams.join(F.broadcast(named.toDF("a", "ca")), "a").join(F.broadcast(named.toDF("b", "cb")), "b")
+    schema = pa.schema([("h", pa.int64()), ("slot", pa.int64()), ("n", pa.int64())])
+
+    def contexts(of):
+        """How often each class stands before, after and in the place of a head number: at most (n_head + 2) * slots counts."""
+
+        def count(batches):
+            total = np.zeros((n_head + 2) * slots, np.int64)
+            for batch in batches:
+                a, b, n = (batch.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "n"))
+                same = a == b
+                keys = np.concatenate([b * slots + np.where(same, 2 * width, of[a]), (a * slots + width + of[b])[~same]])
+                total += np.bincount(keys, np.concatenate([n, n[~same]]), minlength=len(total)).astype(np.int64)
+            at = np.flatnonzero(total)
+            yield record_batch(schema, [at // slots, at % slots, total[at]])
+
+        each = bigrams.select("a", "b", "n").mapInArrow(count, "h long, slot long, n long")
+        found = each.groupBy("h", "slot").agg(F.sum("n").alias("n")).toArrow()
+        beside = np.zeros((n_head + 2, slots))
+        beside[found.column("h").to_numpy(), found.column("slot").to_numpy()] = found.column("n").to_numpy()
         table = np.zeros((width, width))
-        for r in both.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():  # at most width * width rows
-            table[r["ca"], r["cb"]] = r["n"]
-        return both, table
+        np.add.at(table, of, beside[:, width : 2 * width])
+        np.add.at(table, (of, of), beside[:, -1])
+        return beside, table
 
+    words = np.arange(1, rest)
     for step in range(rounds):
-        both, table = contexts()
-        own = both.where("a = b").select(F.col("a").alias("h"), F.lit(2 * width).alias("slot"), "n")
-        other = both.where("a <> b")
-        sides = other.select(F.col("b").alias("h"), F.col("ca").alias("slot"), "n").union(
-            other.select(F.col("a").alias("h"), (F.col("cb") + width).alias("slot"), "n")
-        ).union(own)
-        sums = sides.where((F.col("h") > 0) & (F.col("h") < rest)).groupBy("h", "slot").agg(F.sum("n").alias("n"))
-        words = sums.groupBy("h").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("ns"))
-        mine = of
-        # an empty class would draw all words that move in the same round
-        used = [c for c in range(1, classes + 1) if table[c].any()]
-
-        def move(frames, step=step, table=table, mine=mine, used=used):
-            for frame in frames:
-                moved = []
-                for h, slots, ns in zip(frame["h"], frame["slots"], frame["ns"]):
-                    vector = np.zeros(2 * width + 1)
-                    vector[np.asarray(slots)] = np.asarray(ns, float)
-                    at = best_class(vector[:width], vector[width:-1], vector[-1], mine[h], table, used)
-                    if zlib.crc32(f"{h} {step // 2}".encode()) % 2 == step % 2 and at != mine[h]:
-                        moved.append((h, at))
-                yield pd.DataFrame(moved, columns=["h", "c"]).astype("int32")
-
-        changes = words.mapInPandas(move, "h int, c int").collect()  # at most n_head rows
-        of = of.copy()
-        for r in changes:
-            of[r["h"]] = r["c"]
-    return of, contexts()[1]
+        beside, table = contexts(of)
+        half = words[[zlib.crc32(f"{h} {step // 2}".encode()) % 2 == step % 2 for h in words]]
+        if len(half):
+            of = of.copy()
+            left, right = beside[half, :width], beside[half, width : 2 * width]
+            # the rest of the words is no class that a head word may join
+            of[half] = best_classes(left, right, beside[half, -1], of[half], table, None, classes + 1)
+    return of, contexts(of)[1]
 
 
 #: Rows that are dealt out by part, and what at, nb and n hold: neighbours that follow (0) or precede (1) a word (place of
