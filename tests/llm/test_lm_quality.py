@@ -103,6 +103,75 @@ def test_lm_exchanges_words_outside_the_head(spark, monkeypatch, head, batch):
     assert perplexity < 0.45 * base
 
 
+@pytest.mark.parametrize("small", [1_000_000, 50])
+def test_lm_scores_are_those_of_the_model_counted_anew(spark, monkeypatch, small):
+    """Counts kept through all moves, cut into small pieces or not, are those of the texts under the final classes."""
+    monkeypatch.setattr(classlm, "NEIGHBOURS_AT_ONCE", small)
+    monkeypatch.setattr(classlm, "WORDS_AT_ONCE", small)
+    monkeypatch.setattr(classlm, "CHUNK_BYTES", 4000)
+    rnd = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(words[int(j)] for j in rnd.zipf(1.4, rnd.integers(0, 60)) % 150)) for i in range(150)]
+    held = next(i for i in range(900, 999) if classlm.is_held_out(i))
+    rows += [(800, "w1 w1 w1 w2"), (801, None), (held, "W1 nowhere w2 elsewhere")]
+    kept, numbered_chunks, settled = {}, classlm.numbered_chunks, classlm.settled
+
+    def numbered(chunks, found):
+        at = {r.chunk: r.words for r in chunks.select("chunk", "words").collect()}
+        kept["ids"] = {
+            at[r.chunk][p]: i for r in found.where("chunk >= 0").collect()
+            for p, i in zip(classlm._unpack(r.places), classlm._unpack(r.ids).tolist())
+        }
+        return numbered_chunks(chunks, found)
+
+    def final(*args):
+        got = settled(*args)
+        kept["classes"] = {r.part: classlm._unpack(r.nb) for r in got[0].select("part", "nb").collect()}
+        return got
+
+    monkeypatch.setattr(classlm, "numbered_chunks", numbered)
+    monkeypatch.setattr(classlm, "settled", final)
+    got = classlm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), head=20, classes=6, rounds=3).collect()
+    said = {i: [w or "" for w in tokens(t)] for i, t in rows}
+    train = [ws for i, ws in said.items() if not classlm.is_held_out(i)]
+    counts = Counter(w for ws in train for w in ws)
+    n = sum(counts.values())
+
+    def class_of(w):
+        if w == "":
+            return 0
+        part, place = kept["ids"][w] >> classlm.PART_BIT, kept["ids"][w] & ((1 << classlm.PART_BIT) - 1)
+        return int(kept["classes"][part][place])
+
+    of = {w: class_of(w) for w in counts}
+    assert set(of.values()) <= set(range(7)) and all(of[w] > 0 for w in counts if w)
+    pairs = [(a, b) for ws in train for a, b in zip(["", *ws], ws)]
+    moved = Counter((of[a], of[b]) for a, b in pairs)
+    after = Counter(of[a] for a, _ in pairs)
+    into = Counter(of[b] for _, b in pairs)
+    once = Counter(of[a] for a, b in pairs if counts[b] == 1)
+    overall = (sum(once.values()) + 0.5) / (n + 1)
+
+    def chance(w, v):
+        """P(w | v); an unknown v says nothing of its class, an unknown w stands for all of them."""
+        if v in counts:
+            unseen = min((once[of[v]] + classlm.UNSEEN_PRIOR * overall) / (after[of[v]] + classlm.UNSEEN_PRIOR), 0.5)
+        else:
+            unseen = overall
+        if w not in counts:
+            return unseen
+        share = into[of[w]] / n
+        move = (moved[of[v], of[w]] + classlm.PRIOR * share) / (after[of[v]] + classlm.PRIOR) if v in counts else share
+        return (1 - unseen) * move * counts[w] / into[of[w]]
+
+    for v in [*counts, "nowhere"]:
+        assert sum(chance(w, v) for w in [*counts, "nowhere"]) == pytest.approx(1)
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {n}
+    for r in got:
+        ws = said[r.doc_id]
+        assert r.score == pytest.approx(sum(math.log10(chance(w, v)) for v, w in zip(["", *ws], ws)), rel=1e-9)
+
+
 def test_lm_odd_rows(odd, odd_rows, empty, spark):
     rows = classlm.score_documents(odd, rounds=2).collect()
     assert len(rows) == len(odd_rows) and all(math.isfinite(r.score) and r.n_tokens >= 1 for r in rows)
