@@ -97,11 +97,35 @@ def _matches(sel: tuple, tag: str, attrs: dict) -> bool:
     return (not name or tag == name) and attrs.get(a) == v
 
 
+# Fixed values (HTML standard, optional tags): what a start tag ends without an end tag, unless one of the last lies between.
+_BLOCKS = """address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header
+ hgroup hr main menu nav ol p pre search section table ul li dt dd""".split()
+_IMPLIED_ENDS = {
+    "li": [(("li",), ("ul", "ol", "menu"))],
+    "dt": [(("dt", "dd"), ("dl",))],
+    "dd": [(("dt", "dd"), ("dl",))],
+    "option": [(("option",), ("select", "datalist", "optgroup"))],
+    "optgroup": [(("option", "optgroup"), ("select",))],
+    "tr": [(("tr", "td", "th"), ("table",))],
+    "td": [(("td", "th"), ("tr", "table"))],
+    "th": [(("td", "th"), ("tr", "table"))],
+    "thead": [(("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",))],
+    "tbody": [(("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",))],
+    "tfoot": [(("thead", "tbody", "tfoot", "tr", "td", "th"), ("table",))],
+}
+_P_SCOPE = ("button", "table", "td", "th", "caption", "object", "template")
+for _tag in _BLOCKS:
+    _IMPLIED_ENDS.setdefault(_tag, []).append((("p",), _P_SCOPE))
+
+
 class _Element:
-    __slots__ = ("tag", "attrs", "order", "sels", "chunks")
+    """start, end: the element's text lies between these places of the page's text pieces."""
+
+    __slots__ = ("tag", "attrs", "order", "sels", "start", "end")
 
-    def __init__(self, tag, attrs, order, sels):
-        self.tag, self.attrs, self.order, self.sels, self.chunks = tag, attrs, order, sels, []
+    def __init__(self, tag, attrs, order, sels, start):
+        self.tag, self.attrs, self.order, self.sels = tag, attrs, order, sels
+        self.start = self.end = start
 
 
 class _PageParser(HTMLParser):
@@ -109,6 +133,8 @@ class _PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.selectors = selectors
         self.stack: list[_Element] = []
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.pieces: list[str] = []
         self.done: list[_Element] = []
         self.order = 0
         self.raw_mode: str | None = None
@@ -135,13 +161,13 @@ class _PageParser(HTMLParser):
         elif tag == "link":
             self.links.append(a)
         elif tag == "img":
-            in_pic = any(e.tag == "picture" for e in self.stack)
+            in_pic = bool(self.open.get("picture"))
             self.imgs.append((a, in_pic))
             if in_pic and self.pictures:
                 pic = self.pictures[-1]
                 if pic["img"] is None:
                     pic["img"] = a
-        elif tag == "source" and self.pictures and any(e.tag == "picture" for e in self.stack):
+        elif tag == "source" and self.pictures and self.open.get("picture"):
             self.pictures[-1]["sources"].append(a)
         elif tag == "picture":
             self.pictures.append({"img": None, "sources": []})
@@ -163,13 +189,28 @@ class _PageParser(HTMLParser):
 
     def _visit(self, tag, a, void=False):
         sels = [i for i, s in enumerate(self.selectors) if _matches(s, tag, a)]
-        el = _Element(tag, a, self.order, sels)
+        for ended, scope in _IMPLIED_ENDS.get(tag, ()):
+            at = min((self.open[t][-1] for t in ended if self.open.get(t) and self.open[t][-1] > self._last(scope)), default=None)
+            if at is not None:
+                self._end_from(at)
+        el = _Element(tag, a, self.order, sels, len(self.pieces))
         self.order += 1
         if void:
             self.done.append(el)
         else:
+            self.open.setdefault(tag, []).append(len(self.stack))
             self.stack.append(el)
 
+    def _last(self, tags) -> int:
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=-1)
+
+    def _end_from(self, at: int):
+        while len(self.stack) > at:
+            el = self.stack.pop()
+            self.open[el.tag].pop()
+            el.end = len(self.pieces)
+            self.done.append(el)
+
     def handle_endtag(self, tag):
         if tag in ("script", "style") and self.raw_mode == tag:
             text = "".join(self.raw_buf)
@@ -178,13 +219,8 @@ class _PageParser(HTMLParser):
         if tag == "title" and self.in_title:
             self.title = "".join(self.title_buf)
             self.in_title = False
-        if not any(e.tag == tag for e in self.stack):
-            return
-        while self.stack:
-            el = self.stack.pop()
-            self.done.append(el)
-            if el.tag == tag:
-                break
+        if self.open.get(tag):
+            self._end_from(self.open[tag][-1])
 
     def handle_data(self, data):
         if self.raw_mode:
@@ -195,20 +231,21 @@ class _PageParser(HTMLParser):
         s = data.strip()
         if not s:
             return
-        if not any(e.tag == "head" for e in self.stack):
+        if not self.open.get("head"):
             self.all_text.append(s)
-        for el in self.stack:
-            if el.sels:
-                el.chunks.append(s)
+        self.pieces.append(s)
 
     def close(self):
         super().close()
-        while self.stack:
-            self.done.append(self.stack.pop())
+        self._end_from(0)
         if self.in_title:
             self.title = "".join(self.title_buf)
 
 
+def _text(p: _PageParser, el: _Element) -> str:
+    return "".join(p.pieces[el.start : el.end])
+
+
 def _select(p: _PageParser, idx: int) -> list[_Element]:
     return sorted((e for e in p.done if idx in e.sels), key=lambda e: e.order)
 
@@ -228,7 +265,7 @@ def extract_one(html: str | None, selectors=None, metadata=None, mode: str = "al
         if not els and parsed[i] == ("tag", "body", None) and not p.saw_body:
             content.append("".join(p.all_text))  # implicit body
             continue
-        texts = ["".join(e.chunks) for e in els]
+        texts = [_text(p, e) for e in els]
         if mode == "first" and texts:
             content.extend(texts[:1])
             break
@@ -242,7 +279,7 @@ def extract_one(html: str | None, selectors=None, metadata=None, mode: str = "al
             k += 1
             if key in meta or not els:
                 continue
-            meta[key] = els[0].attrs.get("content", "") if s.startswith("meta") else "".join(els[0].chunks)
+            meta[key] = els[0].attrs.get("content", "") if s.startswith("meta") else _text(p, els[0])
     # D5 images, candidates in order; the first tag type per URL wins downstream
     images = []
     for a, _ in p.imgs:

@@ -189,3 +189,26 @@ def test_mobile_redirect_from_location_header(spark):
         "status_code int, headers map<string,string>, meta_refresh string")
     got = [r[0] for r in df.select(EX.has_mobile_redirect()).collect()]
     assert got == [True, False, True, False]
+
+
+def test_implied_end_tags():
+    def author(html):
+        import json
+        return json.loads(EX.extract_one(html)["metadata_json"]).get("author")
+
+    assert author('<p class="author">Jane<p>Long') == "Jane"
+    assert author('<ul><li class="author">Jane <b>A<li>Next</ul>') == "JaneA"
+    assert author('<table><tr><td class="author">Jane<td>x<tr><td>y</table>') == "Jane"
+    assert author('<dl><dt class="author">Jane<dd>x</dl>') == "Jane"
+    assert author('<p class="author">Jane<div>x</div></p>') == "Jane"
+    # a list or a table inside keeps the outer element open
+    assert author('<ul><li class="author">Jane<ul><li>in</ul>out</ul>') == "Janeinout"
+    assert author('<div class="author">Jane<p>one<p>two</div>three') == "Janeonetwo"
+
+
+def test_unclosed_tags_are_linear():
+    import time
+    page = lambda n: "<body>" + "<span>x" * n
+    start = time.process_time()
+    r = EX.extract_one(page(100_000), selectors=["body"], metadata={})
+    assert r["content"] == "x" * 100_000 and time.process_time() - start < 20
