@@ -93,12 +93,13 @@ DNS_TYPES = ["A", "MX", "NS", "TXT"]
 
 
 def enrich_dns(df: DataFrame, dns: DataFrame) -> DataFrame:
-    """map record type -> list of values (A, MX, NS, TXT) from (domain, type, value) rows.
-    The per-domain lists are bounded by what a DNS answer holds."""
+    """map record type -> list of values (A, MX, NS, TXT) from (domain, type, value) rows; a type without an
+    answer is a null entry, a domain that the rows don't hold has a null map. The per-domain lists are bounded by what a DNS answer holds."""
     agg = dns.where(F.col("type").isin(*DNS_TYPES)).groupBy("domain", "type").agg(
         F.sort_array(F.collect_list("value")).alias("values"))
     per = agg.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("type", "values"))).alias("dns"))
-    return df.join(per, "domain", "left")
+    entries = [x for t in DNS_TYPES for x in (F.lit(t), F.try_element_at("dns", F.lit(t)))]
+    return df.join(per.withColumn("dns", F.create_map(*entries)), "domain", "left")
 
 
 def domain_summary(analysed: DataFrame) -> DataFrame:

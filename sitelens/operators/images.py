@@ -44,11 +44,19 @@ def first_seen_images(df: DataFrame, url_col: str = "url", order=("page_seq", "p
 
 
 def dedupe_by_hash(df: DataFrame, content_col: str, order_col: str, hash_col: str = "hash") -> DataFrame:
-    """H3: one row per md5 of the content (the first by ``order_col``), with the copy count."""
+    """H3: one row per md5 of the content (the first by ``order_col``, nulls last; null content counts as one), with the
+    copy count. Hash, order and count alone are aggregated; whole rows meet them on (hash, order), so copies of one content
+    spread over tasks. Rows that tie in both are told apart by a hash of all columns."""
     h = df.withColumn(hash_col, F.md5(F.col(content_col)))
     cols = h.columns
-    best = h.groupBy(hash_col).agg(
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(order_col)).alias("_r"),
-        F.count(F.lit(1)).alias("n_copies"),
-    )
+
+    def keyed(rows: DataFrame, order) -> DataFrame:
+        return rows.withColumn("__hash", F.coalesce(hash_col, F.lit(""))).withColumn(
+            "__order", F.coalesce(order.cast("string"), F.lit(""))).withColumn("__null", order.isNull())
+
+    key = ["__hash", "__order", "__null"]
+    least = h.groupBy(hash_col).agg(F.min(order_col).alias("__least"), F.count(F.lit(1)).alias("n_copies"))
+    kept = keyed(h, F.col(order_col)).join(keyed(least, F.col("__least")).select(*key, "n_copies"), key)
+    row = F.struct(*[F.col(c) for c in cols])
+    best = kept.groupBy(*key).agg(F.min_by(row, F.xxhash64(*cols)).alias("_r"), F.first("n_copies").alias("n_copies"))
     return best.select("_r.*", "n_copies")

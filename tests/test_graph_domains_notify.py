@@ -88,6 +88,7 @@ def test_whois_dns_enrichment(spark):
     got = {r.domain: r for r in DM.enrich_dns(DM.enrich_whois(df, whois), dns).collect()}
     assert got["a.com"].whois.registrar == "Reg" and got["b.com"].whois is None
     assert got["a.com"].dns["A"] == ["1.1.1.1", "1.2.3.4"] and got["b.com"].dns is None
+    assert got["a.com"].dns == {"A": ["1.1.1.1", "1.2.3.4"], "MX": ["mx.a.com"], "NS": None, "TXT": None}
 
 
 def test_domain_dataset_union(spark):
@@ -135,3 +136,12 @@ def test_images_filters_dedupe(spark):
     d = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "id long, body string")
     dd = {r.id: r.n_copies for r in IM.dedupe_by_hash(d, "body", "id").collect()}
     assert dd == {1: 2, 3: 1}
+
+
+def test_dedupe_by_hash_ties_and_nulls(spark):
+    rows = [(2, "x", "b"), (1, "x", "a"), (1, "x", "a"), (None, "x", "c"), (None, "y", "d"), (3, None, "e"), (4, None, "f"), (5, "z", "g"), (5, "z", "h")]
+    got = IM.dedupe_by_hash(spark.createDataFrame(rows, "id long, body string, more string"), "body", "id").collect()
+    assert sorted((r.body or "", r.id, r.n_copies) for r in got if r.body != "y") == [("", 3, 2), ("x", 1, 4), ("z", 5, 2)]
+    assert [(r.id, r.more, r.n_copies) for r in got if r.body == "y"] == [(None, "d", 1)]
+    assert {r.more for r in got if r.body == "x"} == {"a"} and len(got) == 4
+    assert IM.dedupe_by_hash(spark.createDataFrame([], "id long, body string"), "body", "id").collect() == []
