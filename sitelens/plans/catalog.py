@@ -601,6 +601,26 @@ def analyze_domains(spark, sf_dir):
                     F.array_join("suspicious_patterns", " ").alias("patterns"))
 
 
+# stand-in domains: the tables hold none that a pattern matches; the expected pattern follows from page_id alone
+SUSPICIOUS_FORMS = [("login{}.example.com", r"login.*\d+"), ("secure-{}.example.com", r"secure.*\d+"),
+                    ("{}.account-verify.com", "account.*verify"), ("{}.wallet-verify.com", "wallet.*verify"),
+                    ("{}.Crypto-Invest.com", "crypto.*invest"), ("{}.login.com", r"\d+.*login"),
+                    ("verify{}.com", r"verify.*\d+"), ("{}.example.com", "")]
+
+
+@register("suspicious_domains", "SELECT CASE page_id % 8 " + " ".join(
+    f"WHEN {i} THEN replace('{form}', '{{}}', CAST(page_id AS VARCHAR))" for i, (form, _) in enumerate(SUSPICIOUS_FORMS))
+    + " END AS domain, CASE page_id % 8 " + " ".join(
+    f"WHEN {i} THEN '{pattern}'" for i, (_, pattern) in enumerate(SUSPICIOUS_FORMS)) + " END AS patterns FROM pages")
+def suspicious_domains(spark, sf_dir):
+    """L3 on domains that match: each pattern, one without any, and letter case."""
+    forms = F.array(*[F.lit(form) for form, _ in SUSPICIOUS_FORMS])
+    pages = read_table(spark, sf_dir, "pages").select("page_id")
+    form = F.get(forms, (F.col("page_id") % len(SUSPICIOUS_FORMS)).cast("int"))
+    d = pages.select(F.replace(form, F.lit("{}"), F.col("page_id").cast("string")).alias("domain"))
+    return DM.analyze_domains(d).select("domain", F.array_join("suspicious_patterns", " ").alias("patterns"))
+
+
 @register("domain_summary", f"""WITH a AS ({SQL_ANALYSED})
 SELECT 'tld_distribution' AS metric, tld AS key, CAST(count(*) AS DOUBLE) AS value FROM a GROUP BY tld
 UNION ALL SELECT 'tld_category_distribution', tld_category, CAST(count(*) AS DOUBLE) FROM a GROUP BY tld_category
