@@ -5,6 +5,7 @@ import math
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import detect_language
@@ -41,6 +42,37 @@ def test_language_model_against_plain_counts(spark):
     assert got == {i: plain(t) for i, t in asked if t}
 
 
+def test_word_counts_need_no_exchange(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b"), (2, None)], "doc_id long, text string")
+    counts = LM.word_counts(docs)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.s) for r in counts.groupBy("word").agg(F.sum("n").alias("s")).collect()} == {("a", 2), ("b", 2)}
+
+
+@pytest.mark.parametrize("hot_cells", [0, 6, 60, 10**6])
+def test_rare_and_frequent_words_score_alike(spark, hot_cells):
+    train = [("en", "the cat sat on the mat"), ("de", "der hund und die katze"), ("fr", "le chat est sur la table")]
+    asked = [(i % 23, ("the hat " * (i % 3) + "der kater und " * (i % 4) + f"chatte zzz w{i} " * (i % 2)) or None) for i in range(40)]
+    rows = spark.createDataFrame(train, "lang string, text string")
+    model = LM.train_language_model(LM.word_counts(rows, keys=("lang",)))
+    docs = spark.createDataFrame([*asked, (None, "le table")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in LM.detect_by_model(LM.word_counts(docs), model, hot_cells=hot_cells).collect()}
+    plain = slow_model(train)
+    whole = {}
+    for i, t in [*asked, (None, "le table")]:
+        whole[i] = f"{whole.get(i, '')} {t or ''}"
+    assert got == {i: plain(t) for i, t in whole.items() if t.strip()}
+
+
+def test_languages_without_name_or_rows(spark):
+    docs = spark.createDataFrame([(1, None, "aa bb"), (2, "en", "the cat"), (3, None, "xx")], "doc_id long, lang string, text string")
+    counts = LM.word_counts(docs, keys=("doc_id", "lang"))
+    guess = lambda model: {r.doc_id: r.predicted for r in LM.detect_by_model(counts, model, keys=("doc_id", "lang")).collect()}
+    assert guess(LM.train_language_model(counts.where("doc_id = 1"))) == {1: None, 2: None, 3: None}
+    assert guess(LM.train_language_model(counts.where("doc_id < 3")))[2] == "en"
+    assert guess(LM.train_language_model(counts.limit(0))) == {}
+
+
 def test_held_out_accuracy_above_the_vote(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
     rows = QUERIES["language_model"][0](spark, SF).where("held_out")
