@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import WORD
+from sitelens.session import cut_lineage
 
 NUM_FEATURES = 1 << 16
 
@@ -45,8 +46,13 @@ def _labelled(df: DataFrame, text_col: str, label_col: str, test_percent: int) -
 
 def train_classifier(df: DataFrame, text_col: str = "text", label_col: str = "label",
                      test_percent: int = 20) -> PipelineModel:
-    """K7: fit on the rows outside the held-out part."""
-    return classifier_pipeline().fit(_labelled(df, text_col, label_col, test_percent).where(~F.col("held")))
+    """K7: fit on the rows outside the held-out part. Their words are cut and hashed once and the counts kept in the
+    checkpoint folder, which all passes of the fit read."""
+    *cutting, idf, lr = classifier_pipeline().getStages()
+    rows = _labelled(df, text_col, label_col, test_percent).where(~F.col("held"))
+    counted = cut_lineage(PipelineModel(cutting).transform(rows).select("label", "_tf"))
+    idf_model = idf.fit(counted)
+    return PipelineModel([*cutting, idf_model, lr.fit(idf_model.transform(counted))])
 
 
 def held_out_auc(df: DataFrame, model: Transformer, text_col: str = "text", label_col: str = "label",
