@@ -16,13 +16,20 @@ and never becomes a nested loop over vocabulary x tokens.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitelens.functions.text import tokenize
 from sitelens.plans.ids import dense_ids
+from sitelens.session import cut_lineage, ensure_checkpoint_dir
 
 DEFAULT_LIMIT = 10
+#: Rows up to which a counted table is broadcast in a join.
+SMALL_ROWS = 200_000
+#: Terms and tokens in them that are broadcast of the most used terms, and the longest term among them.
+OFTEN_CELLS, OFTEN_LENGTH = 500_000, 64
 
 
 def _text_cols(df: DataFrame) -> Column:
@@ -100,11 +107,12 @@ def _substring_matches(vocab_terms: DataFrame, tokens: DataFrame) -> DataFrame:
     with the vocabulary (about length-2 rows per term) plus the candidates of
     the rarest trigrams, never with vocabulary x tokens.
     """
+    tokens = tokens.distinct()
     tri = vocab_terms.select(
         "term", F.explode(F.sequence(F.lit(1), F.greatest(F.length("term") - 2, F.lit(1)))).alias("p")
     ).select("term", "p", F.substring(F.col("term"), F.col("p"), 3).alias("g"))
     freq = tri.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    tok_tri = tokens.select("token").distinct().select(
+    tok_tri = tokens.select(
         "token", F.explode(F.sequence(F.lit(1), F.greatest(F.length("token") - 2, F.lit(1)))).alias("off")
     ).select("token", "off", F.substring(F.col("token"), F.col("off"), 3).alias("g"))
     # a trigram absent from the vocabulary has frequency 0: that token matches nothing
@@ -112,34 +120,82 @@ def _substring_matches(vocab_terms: DataFrame, tokens: DataFrame) -> DataFrame:
               .groupBy("token").agg(F.min_by(F.struct("g", "off"), F.struct("f", "off")).alias("r"))
               .select("token", F.col("r.g").alias("g"), F.col("r.off").alias("off")))
     start = F.col("p") - F.col("off") + 1
-    cand = tri.join(rarest, "g").where(
+    cand = tri.join(small(rarest), "g").where(
         (start >= 1) & (F.substring(F.col("term"), start, F.length("token")) == F.col("token")))
     return cand.select("term", "token").distinct()
 
 
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """The table, to be broadcast if its rows, counted, are few."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder as Parquet and read back: what is read several times is computed once."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def often_used(by_term: DataFrame, cells: int = OFTEN_CELLS) -> Column:
+    """Whether a term is so often used that it is broadcast: the least doc_freq, as a power of two, that terms with at most
+    `cells` tokens in all reach."""
+    sizes = by_term.where(F.length("term") <= OFTEN_LENGTH).groupBy(F.floor(F.log2("doc_freq")).alias("p")).agg(
+        F.sum(F.size("tokens") + 1).alias("n")).collect()  # at most 63 rows
+    least, n = 63, 0
+    for r in sorted(sizes, key=lambda r: -r["p"]):
+        n += r["n"]
+        if n > cells:
+            break
+        least = r["p"]
+    return (F.length("term") <= OFTEN_LENGTH) & (F.floor(F.log2("doc_freq")) >= least)
+
+
+def scores_by_tokens(postings: DataFrame, asked: DataFrame, matches: DataFrame, uses: DataFrame, id_col: str,
+                     cells: int = OFTEN_CELLS) -> DataFrame:
+    """(query, doc_id, score) from the tokens of queries, the terms that contain them and the terms' doc_freq.
+
+    A posting meets the tokens of its term, not the queries: what a document holds is counted once by token, where its
+    rows come together, and only then weighed for each query that has the token. The most used terms are broadcast, so
+    that a shuffle by term is left for the others' postings alone."""
+    number = cut_lineage(asked.select("token").distinct().withColumn("t", F.monotonically_increasing_id()))
+    by_term = matches.join(small(number), "token").groupBy("term").agg(F.collect_list("t").alias("tokens"))
+    by_term = cut_lineage(by_term.join(uses, "term"))
+    often = often_used(by_term, cells)
+    hot = F.broadcast(by_term.where(often).select("term", "tokens"))
+    near = postings.join(hot, "term").select("doc_id", "tokens")
+    rest = by_term.where(~often).select("term", "tokens")
+    if not rest.isEmpty():
+        far = postings.join(hot.select("term"), "term", "left_anti").join(rest, "term")
+        near = near.unionByName(far.select("doc_id", "tokens"))
+    held = near.repartition("doc_id").select("doc_id", F.explode("tokens").alias("t"))
+    held = held.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("terms"))
+    each = held.join(small(asked.join(number, "token").select(id_col, "t", "weight")), "t")
+    return each.groupBy("doc_id", id_col).agg(F.sum(F.col("weight") * F.col("terms")).cast("long").alias("score"))
+
+
 def search_batch(postings: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT,
                  text_col: str = "query", id_col: str = "query_id",
                  vocab: DataFrame | None = None) -> DataFrame:
     """Many queries in one job -> (query_id, rank, doc_id, score).
 
+    The postings are computed once and kept as files of the checkpoint folder.
     Ranking per query: score desc, doc_id asc, top ``limit``. The
     ``row_number() <= limit`` filter is planned with a partial per-partition
     group limit before the shuffle, so a query matching every document never
     sends all of them to one task.
     """
-    qt = query_tokens(queries, text_col, id_col)
-    vt = (vocab if vocab is not None else vocabulary(postings)).select("term")
-    matches = _substring_matches(vt, qt.select("token"))          # (term, token)
-    weighted = qt.join(matches, "token").groupBy(id_col, "term").agg(F.sum("weight").alias("w"))
-    scored = (
-        weighted.join(postings, "term")
-        .groupBy(id_col, "doc_id").agg(F.sum("w").alias("score"))
-    )
+    qt = cut_lineage(query_tokens(queries, text_col, id_col))
+    postings = kept(postings.select("term", "doc_id"))
+    uses = cut_lineage(vocabulary(postings))
+    matches = _substring_matches((vocab if vocab is not None else uses).select("term"), qt.select("token"))  # (term, token)
+    scored = scores_by_tokens(postings, qt, matches, uses, id_col)
     w = Window.partitionBy(id_col).orderBy(F.col("score").desc(), F.col("doc_id").asc())
     return (
         scored.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= limit)
-        .select(id_col, F.col("rank").cast("long").alias("rank"), "doc_id", F.col("score").cast("long").alias("score"))
+        .select(id_col, F.col("rank").cast("long").alias("rank"), "doc_id", "score")
     )
 
 

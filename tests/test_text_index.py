@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from sitelens.functions import text as T
 from sitelens.operators import index as IX
 from sitelens.plans.ids import dense_ids
@@ -94,6 +96,34 @@ def test_search_batch_ties_and_limit(spark):
         assert sorted((r.rank, r.doc_id, r.score) for r in got if r.query_id == qid) == exp
 
 
+@pytest.mark.parametrize("cells", [0, 5, 12, 500_000])
+def test_search_batch_with_often_and_seldom_used_terms(spark, cells):
+    docs, post = _index(spark, ROWS)
+    pairs = [(r.term, r.doc_id) for r in post.collect()]
+    asked = [(1, "ing"), (2, "engines data ing ing"), (3, "the"), (None, "dex")]
+    qt = IX.query_tokens(spark.createDataFrame(asked, "query_id long, query string"))
+    uses = IX.vocabulary(post)
+    matches = IX._substring_matches(uses.select("term"), qt.select("token"))
+    got = {(r.query_id, r.doc_id): r.score for r in IX.scores_by_tokens(post, qt, matches, uses, "query_id", cells).collect()}
+    exp = {(i, d): score for i, q in asked for _rank, d, score in brute_search(None, pairs, q, limit=1000)}
+    assert got == exp
+
+
+def test_search_batch_computes_postings_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(parts):
+        for part in parts:
+            reads.add(part.num_rows)
+            yield part
+
+    rows = [("engine", 1), ("index", 1), ("engines", 2)]
+    post = spark.createDataFrame(rows, "term string, doc_id long")
+    qs = spark.createDataFrame([(1, "engine")], "query_id long, query string")
+    got = IX.search_batch(post.mapInArrow(seen, post.schema), qs).collect()
+    assert sorted((r["rank"], r.doc_id, r.score) for r in got) == [(1, 1, 1), (2, 2, 1)] and reads.value == len(rows)
+
+
 def test_upsert_keeps_ids_and_replaces_postings(spark):
     docs, post = _index(spark, ROWS)
     new = spark.createDataFrame([("https://a.com/2", "Renamed", "fresh words only"), ("https://e.com/new", "New page", "brand")],
