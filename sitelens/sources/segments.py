@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sitelens.functions.text import STOPWORDS, WORD, tokenize
-from sitelens.operators.index import BOOSTED_MAX_RESULTS, BOOSTS, DEFAULT_LIMIT, indexable, query_tokens
+from sitelens.operators.index import BOOSTED_MAX_RESULTS, BOOSTS, DEFAULT_LIMIT, indexable, query_tokens, small
 from sitelens.plans.ids import dense_ids
 from sitelens.session import cut_lineage
 
@@ -200,8 +200,10 @@ def _incoming(new: DataFrame, n: int) -> DataFrame:
     rest = [c for c in rows.columns if c not in ("url", "seq", "bucket", "block", "doc_id")]
     maps = [f.name for f in rows.schema.fields if isinstance(f.dataType, (T.MapType, T.VariantType))]  # have no order
     key = ["date", *(["seq"] if "seq" in rows.columns else []), *(c for c in rest if c != "date" and c not in maps)]
-    newest = rows.groupBy("url").agg(F.max_by(F.struct(*rest), F.struct(*key)).alias("_r"))
-    return newest.select("url", "_r.*").withColumn("bucket", bucket_of("url", n))
+    # the key holds all of the row: it is carried once, and only maps, which no key can hold, go beside it
+    best = F.max(F.struct(*key)) if not maps else F.max_by(F.struct(*key, *maps), F.struct(*key))
+    newest = rows.groupBy("url").agg(best.alias("_r"))
+    return newest.select("url", *[F.col("_r")[c].alias(c) for c in rest]).withColumn("bucket", bucket_of("url", n))
 
 
 def _fields(order: list[str], given: list[str], known: list[str]) -> list[Column]:
@@ -332,7 +334,7 @@ def search(index: Index, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
     w = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair]) if weights else F.create_map(F.lit(""), F.lit(0))
     by_term = matched.groupBy("term").agg(F.sum(w[F.col("token")]).alias("w"))
     near = index.table("postings").where(term_ranges(matched)).where(_searched())
-    scored = near.join(by_term, "term").groupBy("doc_id").agg(F.sum("w").cast("long").alias("score"))
+    scored = near.join(small(by_term), "term").groupBy("doc_id").agg(F.sum("w").cast("long").alias("score"))
     top = scored.orderBy(F.desc("score"), "doc_id").limit(limit)
     number = F.row_number().over(Window.orderBy(F.desc("score"), "doc_id"))  # of at most `limit` rows
     return _named(index, top.select(number.cast("long").alias("rank"), "doc_id", "score"), ["rank", "score"])
@@ -363,6 +365,7 @@ def search_boosted(index: Index, query: str, limit: int = BOOSTED_MAX_RESULTS) -
     The blocks with the highest bounds are scored first; then only those others whose bound can still enter the top."""
     matched = matched_terms(index, _tokens(index.spark, query))
     ranges = term_ranges(matched)
+    matched = small(matched)
     bounds = cut_lineage(block_bounds(index, matched, ranges))
     hits = index.table("postings").where(ranges).join(matched, "term")
     first = bounds.orderBy(F.desc("bound"), "first_doc", "bucket").limit(FIRST_BLOCKS)

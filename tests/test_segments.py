@@ -124,6 +124,31 @@ def test_blocks_that_cannot_reach_the_top_are_skipped(stored):
     assert sum(b < least for b in bound.values()) > len(bound) / 4
 
 
+def test_few_matched_terms_meet_the_postings_without_a_shuffle(stored, monkeypatch):
+    index, _ = stored
+    joined = []
+    plain_boosted = SG._boosted
+    monkeypatch.setattr(SG, "_boosted", lambda rows, keys: joined.append(rows) or plain_boosted(rows, keys))
+    SG.search_boosted(index, SOME[0], 5)
+    assert joined
+    for rows in joined:
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [term" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_newest_rows_carry_their_texts_once(spark):
+    rows = [("u", "a", "first", "2024-01-01", 1, 0.5), ("u", "b", "second", "2024-01-02", 0, None),
+            ("u", "c", "third", "2024-01-02", 1, 0.1), ("v", "d", None, None, None, None)]
+    cols = "url string, title string, content string, date string, seq long, seo_score double"
+    df = spark.createDataFrame(rows, cols)
+    newest = SG._incoming(df, 4)
+    got = {r.url: (r.title, r.content, r.date, r.seo_score, r.type) for r in newest.collect()}
+    assert got == {"u": ("c", "third", "2024-01-02", 0.1, "unknown"), "v": ("d", None, "", None, "unknown")}
+    assert "max_by" not in newest._jdf.queryExecution().executedPlan().toString()
+    mapped = SG._incoming(df.withColumn("m", F.create_map(F.lit("k"), F.col("seq"))), 4)
+    assert {r.url: r.m for r in mapped.collect()} == {"u": {"k": 1}, "v": {"k": None}}
+
+
 def test_merge_rewrites_touched_buckets_alone(spark, tmp_path):
     root, rows = str(tmp_path / "i"), pages(60, 2)
     first = SG.merge(spark, root, spark.createDataFrame(rows, COLS), batch=0, buckets=8)
