@@ -40,6 +40,8 @@ TABLES = ("documents", "postings", "blocks", "grams")
 BLOCK_DOCS = 1024
 #: Ranges of terms that a search pushes down to the postings' scan; blocks whose scores are computed first.
 RANGES, FIRST_BLOCKS = 64, 16
+#: Terms of a range from which the ranges cover about the whole alphabet and skip nothing; ids of a batch that are broadcast.
+RANGE_TERMS, BATCH_IDS = 32, 1_000_000
 KEPT_VERSIONS = 2
 
 _POSTINGS = "term string, block long, doc_id long, mask int"
@@ -249,8 +251,9 @@ def merge(spark: SparkSession, root: str, new: DataFrame, batch: int | None = No
     documents = changed.select(*order, "bucket")
     postings = field_words(changed)
     if now:
-        documents = documents.unionByName(here.join(ids, "doc_id", "left_anti"), allowMissingColumns=True)
-        postings = postings.unionByName(old.table("postings", touched).join(ids, "doc_id", "left_anti"))
+        replaced = small(ids, BATCH_IDS)
+        documents = documents.unionByName(here.join(replaced, "doc_id", "left_anti"), allowMissingColumns=True)
+        postings = postings.unionByName(old.table("postings", touched).join(replaced, "doc_id", "left_anti"))
     _write(documents, root, "documents", version)
     _write(postings, root, "postings", version)
     base = f"{root.rstrip('/')}/postings/v={version}"
@@ -311,8 +314,12 @@ def matched_terms(index: Index, tokens) -> DataFrame:
 
 
 def term_ranges(matched: DataFrame, n: int = RANGES) -> Column:
-    """A condition on the column term that at most n ranges make, and that holds for every matched term."""
-    parted = matched.select("term").distinct().repartitionByRange(n, "term")
+    """A condition on the column term that at most n ranges make, and that holds for every matched term. Of many terms it is
+    true alone: their ranges would be compared with each row and leave none out."""
+    terms = matched.select("term").distinct()
+    if terms.limit(n * RANGE_TERMS + 1).count() > n * RANGE_TERMS:
+        return F.lit(True)
+    parted = terms.repartitionByRange(n, "term")
     ends = parted.groupBy(F.spark_partition_id()).agg(F.min("term").alias("a"), F.max("term").alias("b")).collect()  # <= n rows
     return _any([F.col("term") == r["a"] if r["a"] == r["b"] else F.col("term").between(r["a"], r["b"]) for r in ends])
 

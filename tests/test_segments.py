@@ -136,6 +136,24 @@ def test_few_matched_terms_meet_the_postings_without_a_shuffle(stored, monkeypat
         assert "SortMergeJoin [term" not in plan and "hashpartitioning(term" not in plan
 
 
+def test_ranges_of_many_terms_are_no_filter(spark):
+    terms = spark.range(SG.RANGES * SG.RANGE_TERMS + 1).select(F.concat(F.lit("t"), F.col("id")).alias("term"))
+    assert "BETWEEN" not in str(SG.term_ranges(terms)).upper() and terms.where(SG.term_ranges(terms)).count() == terms.count()
+    few = terms.limit(SG.RANGES * SG.RANGE_TERMS)
+    assert few.where(SG.term_ranges(few)).count() == few.count() and "term" in str(SG.term_ranges(few))
+
+
+def test_merge_does_not_shuffle_the_stored_postings_by_document(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "i")
+    SG.merge(spark, root, spark.createDataFrame(pages(40, 2), COLS), batch=0, buckets=4)
+    plans, write = {}, SG._write
+    monkeypatch.setattr(SG, "_write", lambda rows, root, table, version: (
+        plans.update({table: rows._jdf.queryExecution().executedPlan().toString()}), write(rows, root, table, version)))
+    SG.merge(spark, root, spark.createDataFrame(pages(10, 3), COLS), batch=1)
+    for table in ("documents", "postings"):
+        assert "LeftAnti" in plans[table] and "hashpartitioning(doc_id" not in plans[table]
+
+
 def test_newest_rows_carry_their_texts_once(spark):
     rows = [("u", "a", "first", "2024-01-01", 1, 0.5), ("u", "b", "second", "2024-01-02", 0, None),
             ("u", "c", "third", "2024-01-02", 1, 0.1), ("v", "d", None, None, None, None)]
